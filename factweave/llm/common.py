@@ -122,13 +122,13 @@ def fold(column: str, parts: int) -> Column:
 
 
 def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
-    """About `most` rows at most, picked by a hash of the key, the same at each run."""
-    n = df.count()
-    return df if n <= most else df.where(F.pmod(F.xxhash64(F.lit(11), key), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+    """About `most` rows at most, picked by a hash of the key, the same at each run; weight says how many rows each stands for."""
+    share = min(1.0, most / max(1, df.count()))
+    return df.where(F.pmod(F.xxhash64(F.lit(11), key), F.lit(1 << 30)) < int(share * (1 << 30))).withColumn("weight", F.lit(1 / share))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, keep: Column, per_class: int) -> DataFrame:
-    """(doc_id, text, quality) of at most about per_class rows of each class, the bounded sample that models are fitted on."""
+    """(doc_id, text, quality, weight) of about per_class rows at most of each class, the bounded sample that models are fitted on."""
     chosen = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & keep).dropDuplicates(["doc_id"])
     both = [bounded_sample(chosen.where(F.col("quality") == q), "doc_id", per_class) for q in (0, 1)]
     return docs.select("doc_id", "text").join(F.broadcast(both[0].unionByName(both[1])), "doc_id")
@@ -142,8 +142,8 @@ def bitmap_of(hashes: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.nda
 
     Only its words come to the driver: their number has the bound bits / 32 at any size of the input.
     """
-    at = F.pmod(F.col(column), F.lit(bits))
-    rows = hashes.select(F.shiftright(at, 5).alias("w"), F.shiftleft(F.lit(1).cast("long"), F.pmod(at, F.lit(32)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    at = f"pmod(`{column}`, {bits}L)"
+    rows = hashes.selectExpr(f"shiftright({at}, 5) AS w", f"shiftleft(1L, cast({at} % 32 AS int)) AS b").groupBy("w").agg(F.bit_or("b").alias("b"))
     out = np.zeros(bits // 32, np.uint32)
     got = rows.toArrow()
     out[got.column(0).to_numpy()] = got.column(1).to_numpy().astype(np.uint32)

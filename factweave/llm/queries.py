@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .repeats import op9
 from .sentencepiece_rounds import op7
 
 QUERIES = {
     "op7_sentencepiece": op7,
+    "op9_suffix_dedup": op9,
 }
 ORACLE_SQL: dict[str, str] = {}
