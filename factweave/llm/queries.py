@@ -5,12 +5,14 @@ from __future__ import annotations
 from .attention_mil import op1
 from .near_duplicates import op10
 from .pii_votes import op2
+from .quality_trees import op6
 from .repeats import op9
 from .sentencepiece_rounds import op7
 
 QUERIES = {
     "op1_quality_mil": op1,
     "op2_pii": op2,
+    "op6_quality_rules": op6,
     "op7_sentencepiece": op7,
     "op9_suffix_dedup": op9,
     "op10_minhash": op10,
