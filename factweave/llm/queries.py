@@ -8,10 +8,12 @@ from .pii_votes import op2
 from .quality_trees import op6
 from .repeats import op9
 from .sentencepiece_rounds import op7
+from .word_backoff import op4
 
 QUERIES = {
     "op1_quality_mil": op1,
     "op2_pii": op2,
+    "op4_language_id": op4,
     "op6_quality_rules": op6,
     "op7_sentencepiece": op7,
     "op9_suffix_dedup": op9,
