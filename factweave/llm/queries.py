@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .attention_mil import op1
+from .license_scan import op3
 from .near_duplicates import op10
 from .pii_votes import op2
 from .quality_trees import op6
@@ -13,6 +14,7 @@ from .word_backoff import op4
 QUERIES = {
     "op1_quality_mil": op1,
     "op2_pii": op2,
+    "op3_license_scan": op3,
     "op4_language_id": op4,
     "op6_quality_rules": op6,
     "op7_sentencepiece": op7,
