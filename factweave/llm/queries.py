@@ -9,6 +9,7 @@ from .pii_votes import op2
 from .quality_trees import op6
 from .repeats import op9
 from .sentencepiece_rounds import op7
+from .url_rules import op5
 from .word_backoff import op4
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_pii": op2,
     "op3_license_scan": op3,
     "op4_language_id": op4,
+    "op5_url_rules": op5,
     "op6_quality_rules": op6,
     "op7_sentencepiece": op7,
     "op9_suffix_dedup": op9,
