@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .attention_mil import op1
+from .decontaminate import op8
 from .license_scan import op3
 from .near_duplicates import op10
 from .pii_votes import op2
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_url_rules": op5,
     "op6_quality_rules": op6,
     "op7_sentencepiece": op7,
+    "op8_decontamination": op8,
     "op9_suffix_dedup": op9,
     "op10_minhash": op10,
 }
