@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, fold, labelled_sample, map_rows, table, words_of
+from .common import WordHashes, fold, keep_rows, labelled_sample, map_rows, table, words_of
 
 PASSAGE, PER_CLASS = 64, 2000
 CLASSES = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".", b",;:", b"!", b"?", b"#*$%&", b"|<>", b"'\"()-", b"=_~^{}[]\\/@+`", bytes(range(128, 256)))
@@ -135,20 +135,34 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Atten
     return AttentionNet().fit(bags, rows["quality"].to_numpy(float), rows["weight"].to_numpy(float))
 
 
+def _scorer(net: AttentionNet):
+    hashes = WordHashes()
+
+    def score(texts: list) -> np.ndarray:
+        bags = [encode(t, hashes) for t in texts]
+        return net.score(np.concatenate(bags), np.append(0, np.cumsum([len(b) for b in bags])[:-1]))
+
+    return score
+
+
 def scored(docs: DataFrame, net: AttentionNet) -> DataFrame:
     """doc_id and score of every whole text."""
 
     def make():
-        hashes = WordHashes()
+        score = _scorer(net)
+        return lambda rows: {"doc_id": rows["doc_id"], "score": score(rows["text"])}
 
-        def run(rows):
-            bags = [encode(t, hashes) for t in rows["text"]]
-            score = net.score(np.concatenate(bags), np.append(0, np.cumsum([len(b) for b in bags])[:-1]))
-            return {"doc_id": rows["doc_id"], "score": score}
+    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, score double")
 
-        return run
 
-    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, score double")
+def accepted(docs: DataFrame, net: AttentionNet, least: float = 0.3) -> DataFrame:
+    """The documents, with all their columns, that score at least so much."""
+
+    def make():
+        score = _scorer(net)
+        return lambda texts: score(texts) >= least
+
+    return keep_rows(docs, make)
 
 
 def op1(spark, sf_dir) -> DataFrame:

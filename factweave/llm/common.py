@@ -153,3 +153,24 @@ def bitmap_of(hashes: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.nda
 def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     at = hashes.view(np.uint64) & np.uint64(len(bitmap) * 32 - 1)
     return (bitmap[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) != 0
+
+
+MOST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is not among ids; rows without doc_id stay. The ids are broadcast only if they are few."""
+    ids = written(ids.select("doc_id").distinct(), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list], np.ndarray]]) -> DataFrame:
+    """The rows, with all their columns, whose text gets a true from make()'s function; nothing is shuffled."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for piece in slices(batches, at):
+            yield piece.filter(pa.array(np.asarray(f(piece.column(at).to_pylist()), bool)))
+
+    return docs.mapInArrow(run, docs.schema)
