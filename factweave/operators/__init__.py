@@ -1 +1 @@
-
+"""Relational and graph operators over fact tables."""

@@ -1 +1 @@
-
+"""Readers and writers of raw facts."""

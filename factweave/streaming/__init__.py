@@ -1 +1 @@
-
+"""Snapshots as a stream."""
