@@ -1,7 +1,7 @@
 """Graph operators over edge tables (source, target).
 
-Closures are joins in rounds: each round's frontier is de-duplicated, written to the checkpoint folder and joined with the
-edges, until it is empty. Strong components use the colouring method (forward and backward minimum labels), also in
+Closures of graphs over SMALL_GRAPH edges are joins in rounds: each round's frontier is de-duplicated, written to the
+checkpoint folder and joined with the edges, until it is empty. Smaller graphs, counted first, are broadcast. Strong components use the colouring method (forward and backward minimum labels), also in
 rounds. Orders whose rules look at one node after another (peeling, depth-first order, clustering) run in one pandas
 group for each project or level, which are small by nature.
 """
@@ -28,8 +28,53 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def reach(edges: DataFrame, roots: DataFrame, most_hops: int | None = None, with_roots: bool = True) -> DataFrame:
-    """(root, node, hops): all nodes that each root reaches, with the fewest hops; roots is (root, node)."""
+def _neighbours(edges: DataFrame, most: int) -> dict | None:
+    """Adjacency of a graph with at most `most` edges, which is counted first; else None."""
+    edges = edges.select("source", "target").distinct().persist()
+    try:
+        if edges.count() > most:
+            return None
+        out = defaultdict(list)
+        rows = edges.toArrow()
+        for a, b in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+            out[a].append(b)
+        return dict(out)
+    finally:
+        edges.unpersist()
+
+
+def reach(edges: DataFrame, roots: DataFrame, most_hops: int | None = None, with_roots: bool = True, small: int = SMALL_GRAPH) -> DataFrame:
+    """(root, node, hops): all nodes that each root reaches, with the fewest hops; roots is (root, node).
+
+    A graph of at most `small` edges is broadcast and walked breadth first, root by root, in parallel over roots; a larger
+    one is joined in rounds.
+    """
+    near = _neighbours(edges, small)
+    if near is not None:
+        shared = edges.sparkSession.sparkContext.broadcast(near)
+        kinds = dict(roots.dtypes)
+
+        def walk(batches):
+            for rows in batches:
+                out = []
+                for root, own in rows.groupby("root")["node"]:
+                    seen = dict.fromkeys(own, 0)
+                    front, hop = list(seen), 0
+                    while front and (most_hops is None or hop < most_hops):
+                        hop += 1
+                        step = []
+                        for n in front:
+                            for m in shared.value.get(n, ()):
+                                if m not in seen:
+                                    seen[m] = hop
+                                    step.append(m)
+                        front = step
+                    out += [(root, n, h) for n, h in seen.items() if with_roots or h]
+                yield pd.DataFrame(out, columns=["root", "node", "hops"])
+
+        grouped = roots.select("root", "node").distinct().groupBy("root").agg(F.collect_set("node").alias("nodes"))
+        flat = grouped.select("root", F.explode("nodes").alias("node"))
+        return flat.mapInPandas(walk, f"root {kinds['root']}, node {kinds['node']}, hops int").groupBy("root", "node").agg(F.min("hops").alias("hops"))
     edges = edges.select("source", "target").distinct()
     seen = _cut(roots.select("root", "node").distinct().withColumn("hops", F.lit(0)))
     front, hop = seen, 0
@@ -104,18 +149,12 @@ def tarjan(nodes: list, edges: list[tuple]) -> list[list]:
 
 
 def strong_components(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
-    """(node, component): the component's smallest node. Graphs of at most `small` edges go through one task."""
-    edges = _cut(edges.select("source", "target").distinct())
+    """(node, component): the component's smallest node. Graphs of at most `small` edges are solved on the driver."""
     kind = dict(edges.dtypes)["source"]
-    if edges.count() <= small:
-
-        def run(batches):
-            rows = pd.concat(list(batches) or [pd.DataFrame({"source": [], "target": []})])
-            pairs = list(zip(rows["source"], rows["target"]))
-            parts = tarjan(list({x for p in pairs for x in p}), pairs)
-            yield pd.DataFrame([(n, part[0]) for part in parts for n in part], columns=["node", "component"])
-
-        return edges.coalesce(1).mapInPandas(run, f"node {kind}, component {kind}")
+    near = _neighbours(edges, small)
+    if near is not None:
+        return _condensed(edges, near, kind).select("node", "component")
+    edges = _cut(edges.select("source", "target").distinct())
     done = None
     while True:
         colour = _least_label(edges)
@@ -143,9 +182,25 @@ def _least_label(edges: DataFrame) -> DataFrame:
         colour = new
 
 
-def depths(edges: DataFrame) -> DataFrame:
-    """(node, component, in_cycle, depth): the longest path to a sink in the graph of components, relaxed in rounds."""
-    parts = _cut(strong_components(edges))
+def _condensed(edges: DataFrame, near: dict, kind: str) -> DataFrame:
+    """(node, component, in_cycle, depth) of a small graph. Components close after all that they lead to, so depths follow in that order."""
+    nodes = set(near) | {b for x in near.values() for b in x}
+    home: dict = {}
+    depth: dict = {}
+    rows = []
+    for part in tarjan(list(nodes), [(a, b) for a, x in near.items() for b in x]):
+        home |= dict.fromkeys(part, part[0])
+        depth[part[0]] = max((depth[home[b]] + 1 for a in part for b in near.get(a, ()) if home[b] != part[0]), default=0)
+        rows += [(n, part[0], len(part) > 1, depth[part[0]]) for n in part]
+    return edges.sparkSession.createDataFrame(pd.DataFrame(rows, columns=["node", "component", "in_cycle", "depth"]) if rows else [], f"node {kind}, component {kind}, in_cycle boolean, depth int")
+
+
+def depths(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+    """(node, component, in_cycle, depth): the longest path to a sink in the graph of components; for large graphs relaxed in rounds."""
+    near = _neighbours(edges, small)
+    if near is not None:
+        return _condensed(edges, near, dict(edges.dtypes)["source"])
+    parts = _cut(strong_components(edges, small))
     size = parts.groupBy("component").agg((F.count("node") > 1).alias("in_cycle"))
     a = parts.select(F.col("node").alias("source"), F.col("component").alias("a"))
     b = parts.select(F.col("node").alias("target"), F.col("component").alias("b"))

@@ -115,11 +115,12 @@ def keil_commands(spark: SparkSession, path: str, target: str) -> DataFrame:
 
 def device_pack(spark: SparkSession, path: str) -> DataFrame:
     """(device, define, header) of a device pack: what a device lacks comes from its subfamily, then its family."""
-    family = spark.read.format("xml").option("rowTag", "family").load(path)
-    up = family.select(F.col("_Dfamily").alias("family"), F.col("compile").alias("fc") if "compile" in family.columns else F.lit(None).cast("struct<_define:string,_header:string>").alias("fc"), F.explode("subFamily").alias("s"))
-    inner = up.select("family", "fc", "s.compile", F.explode("s.device").alias("d")) if "compile" in up.select("s.*").columns else up.select("family", "fc", F.col("fc").alias("compile"), F.explode("s.device").alias("d"))
-    own = F.col("d.compile") if "compile" in inner.select("d.*").columns else F.col("compile")
-    return inner.select(F.col("d._Dname").alias("device"), F.coalesce(own["_define"], F.col("compile._define"), F.col("fc._define")).alias("define"), F.coalesce(own["_header"], F.col("compile._header"), F.col("fc._header")).alias("header"))
+    compile_ = "compile STRUCT<_define: STRING, _header: STRING>"
+    schema = f"_Dfamily STRING, {compile_}, subFamily ARRAY<STRUCT<_DsubFamily: STRING, {compile_.replace(' ', ': ', 1)}, device: ARRAY<STRUCT<_Dname: STRING, {compile_.replace(' ', ': ', 1)}>>>>"
+    family = spark.read.schema(schema).format("xml").option("rowTag", "family").load(path)
+    inner = family.select(F.col("compile").alias("fc"), F.explode("subFamily").alias("s")).select("fc", F.col("s.compile").alias("sc"), F.explode("s.device").alias("d"))
+    first = lambda field: F.coalesce(F.col(f"d.compile.{field}"), F.col(f"sc.{field}"), F.col(f"fc.{field}"))
+    return inner.select(F.col("d._Dname").alias("device"), first("_define").alias("define"), first("_header").alias("header"))
 
 
 def _yaml(path: str):
