@@ -9,16 +9,19 @@ equal offsets, so they can only meet at triggers with equal bytes.
   touch, and each with its first place in corpus order (doc_id, position).
 * Parse: the triggers of all documents in corpus order. An occurrence that is not the first of its phrase is covered
   whole: each of its strings starts earlier, at the phrase's first place.
-* Where a trigger stands in several different phrases, the strings of the first places of these phrases are brought
-  into the order of phrase suffixes. Suffixes count up to LENGTH bytes, so that only their classes of equal prefixes
-  matter, not the order between classes: a class is keyed by two hashes and its first member in corpus order is kept.
+* Where a trigger stands in several different phrases, the strings of these phrases' first places are brought together.
+  Suffixes count up to LENGTH bytes, so that only their classes of equal prefixes matter, not the order between classes.
+  Up to FEW phrases of a trigger are compared directly, by how far their contexts agree to the left and to the right of
+  the trigger. Triggers with more phrases have their suffixes keyed by two hashes and the first of each class is kept by
+  an aggregate, so that no task gets all phrases of a common trigger.
 
 Documents are read three times and never shuffled for the search: what is shuffled is the triggers' hashes, then the
-places whose trigger repeats (found through a bitmap of fixed size that lets no repeat pass unseen), then the suffixes
-of phrases that differ. Hashes have 64 bits and are compared in pairs.
+places whose trigger repeats (found through a bitmap of fixed size that lets no repeat pass unseen), then the contexts
+or suffixes of phrases that differ. Hashes have 64 bits and are compared in pairs.
 
 Null and empty texts have no bytes. A row without doc_id has no place in the order; it is kept whole. Rows that share a
-doc_id and a text are the same place, so neither comes earlier; both keep what only they hold.
+doc_id and a text are the same place, so neither comes earlier; both keep what only they hold. For rows that share a
+doc_id but not a text, which of them comes first at equal strings is not defined.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +37,7 @@ from .common import bitmap_of, in_bitmap, map_rows, mix, signed, written
 
 LENGTH, TRIGGER = 100, 40
 CHUNK = 1 << 18
+FEW = 48
 BITS = 1 << 26
 _TABLES = [np.random.default_rng(s).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for s in (3, 4)]
 _BASE = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
@@ -66,63 +71,79 @@ class Rolling:
         return mix((self.sums[end] - self.sums[begin]) * self.inv[begin] + (end - begin).astype(np.uint64))
 
     def windows(self, width: int) -> np.ndarray:
+        """Spread hashes of all windows."""
         n = len(self.sums) - width
-        return (self.sums[width:] - self.sums[:n]) * self.inv[:n]
-
-
-def triggers(data: np.ndarray, length: int = LENGTH, trigger: int = TRIGGER, roll: Rolling | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(position, hash, first, last): the triggers with the starts of the strings that are theirs, first to last."""
-    none = np.empty(0, np.int64)
-    if len(data) < length:
-        return none, np.empty(0, np.uint64), none, none
-    span = length - trigger + 1
-    h = mix((roll or Rolling(data, 0)).windows(trigger))
-    low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-    step, n = 1, len(low)
-    while step < span:  # minima of growing powers of two, then of the span
-        move = min(step, span - step)
-        low = np.minimum(low[: n - move], low[move:])
-        n -= move
-        step += move
-    at = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    last = np.append(first[1:], len(at)) - 1
-    return at[first], h[at[first]], first, last
-
-
-def pieces(data: np.ndarray, length: int):
-    """(offset, bytes, strings): parts of a text whose strings' starts tile it, for texts of any length."""
-    n = len(data) - length + 1
-    for a in range(0, max(n, 0), CHUNK):
-        yield a, data[a : min(len(data), a + CHUNK + length - 1)], min(CHUNK, n - a)
-
-
-def phrase_context(data: np.ndarray, at: np.ndarray, length: int, trigger: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    reach = length - trigger
-    return np.maximum(at - reach, 0), np.minimum(at + length, len(data)), np.minimum(at, reach), np.minimum(len(data) - at, length)
+        h = (self.sums[width:] - self.sums[:n]) * self.inv[:n]
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(31))
+
+
+class Parts:
+    """Texts, or parts of long ones, side by side in one array. Parts of a text overlap so that the starts of its strings tile it."""
+
+    def __init__(self) -> None:
+        self.bytes: list[np.ndarray] = []
+        self.row: list[int] = []
+        self.offset: list[int] = []
+        self.size = 0
+
+    def add(self, row: int, offset: int, part: np.ndarray) -> None:
+        self.bytes.append(part)
+        self.row.append(row)
+        self.offset.append(offset)
+        self.size += len(part)
+
+    def scan(self, length: int, trigger: int, wide: bool) -> dict[str, np.ndarray]:
+        """row, at, k, first, last of all triggers (at, first and last within the text) and, with wide, the phrase hash v and where its context lies in data."""
+        data = np.concatenate(self.bytes)
+        size = np.array([len(b) for b in self.bytes])
+        end = np.cumsum(size)
+        begin = end - size
+        h = Rolling(data, 0).windows(trigger)
+        span = length - trigger + 1
+        low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+        step, n = 1, len(low)
+        while step < span:  # minima of growing powers of two, then of the span
+            move = min(step, span - step)
+            low = np.minimum(low[: n - move], low[move:])
+            n -= move
+            step += move
+        # Strings that reach into the next part don't count.
+        count = np.maximum(size - length + 1, 0)
+        part = np.repeat(np.arange(len(size)), count)
+        start = np.arange(count.sum()) + np.repeat(begin - np.append(0, np.cumsum(count)[:-1]), count)
+        at = (low[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        head = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (part[1:] != part[:-1]))) if len(at) else np.empty(0, np.int64)
+        first, last = start[head], start[np.append(head[1:], len(at)) - 1] if len(at) else start[head]
+        part, at = part[head], at[head]
+        move = np.array(self.offset, np.int64)[part] - begin[part]
+        out = {"row": np.array(self.row, np.int64)[part], "k": h[at], "at": at + move, "first": first + move, "last": last + move}
+        if wide:
+            reach = length - trigger
+            a, b = np.maximum(at - reach, begin[part]), np.minimum(at + length, end[part])
+            shape = ((at - a) * 4096 + (b - at)).astype(np.uint64) * np.uint64(1 << 24) + ((at - first) * 4096 + (last - first)).astype(np.uint64)
+            out |= {"v": Rolling(data, 1).of(a, b) + mix(shape), "a": a, "b": b, "left": at - a, "data": data, "move": move}
+        return out
+
+
+def scans(texts: list, length: int, trigger: int, wide: bool = True):
+    """Scans of bounded size that together hold all the texts."""
+    parts = Parts()
+    for row, text in enumerate(texts):
+        data = _bytes(text)
+        for a in range(0, max(len(data) - length + 1, 0), CHUNK):
+            parts.add(row, a, data[a : a + CHUNK + length - 1])
+            if parts.size >= CHUNK:
+                yield parts.scan(length, trigger, wide)
+                parts = Parts()
+    if parts.size:
+        yield parts.scan(length, trigger, wide)
 
 
 def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def scan(data: np.ndarray, length: int, trigger: int):
-    """Arrays (position, key, phrase, first, last) of one text."""
-    out = []
-    for offset, part, _ in pieces(data, length):
-        roll = Rolling(part, 0)
-        at, key, first, last = triggers(part, length, trigger, roll)
-        # Starts at the edge of a part belong to triggers that its neighbour may see with other context: what a phrase
-        # says about its context covers what its own strings touch, so parts only make phrases smaller, never wrong.
-        a, b, left, right = phrase_context(part, at, length, trigger)
-        wide = Rolling(part, 1).of(a, b) + mix((left * 4096 + right).astype(np.uint64)) + mix((first - at + 4096).astype(np.uint64) * np.uint64(8191) + (last - at + 4096).astype(np.uint64))
-        out.append((at + offset, key, wide, first + offset, last + offset))
-    if not out:
-        e = np.empty(0, np.int64)
-        return e, e.view(np.uint64), e.view(np.uint64), e, e
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
 PLACES = "k long, v long, doc_id long, at int, first int, last int"
 
 
@@ -131,7 +152,7 @@ def repeated_triggers(docs: DataFrame, length: int, trigger: int) -> DataFrame:
 
     def make():
         def run(rows):
-            keys = [scan(_bytes(t), length, trigger)[1] for t in rows["text"]]
+            keys = [x["k"] for x in scans(rows["text"], length, trigger, wide=False)]
             k, n = np.unique(np.concatenate(keys) if keys else np.empty(0, np.uint64), return_counts=True)
             return {"k": signed(k), "n": np.minimum(n, 2).astype(np.int32)}
 
@@ -151,11 +172,11 @@ def places(docs: DataFrame, seen: np.ndarray, length: int, trigger: int) -> Data
 
     def make():
         def run(rows):
-            cols = []
-            for doc, text in zip(rows["doc_id"], rows["text"]):
-                at, k, v, first, last = scan(_bytes(text), length, trigger)
-                hit = in_bitmap(bits.value, k)
-                cols.append((k[hit], v[hit], np.full(int(hit.sum()), doc, np.int64), at[hit], first[hit], last[hit]))
+            docs_of = np.array(rows["doc_id"], np.int64)
+            cols = [tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64))]
+            for x in scans(rows["text"], length, trigger):
+                hit = in_bitmap(bits.value, x["k"])
+                cols.append((x["k"][hit], x["v"][hit], docs_of[x["row"][hit]], x["at"][hit], x["first"][hit], x["last"][hit]))
             k, v, doc, at, first, last = (np.concatenate(x) for x in zip(*cols))
             turn = np.lexsort((at, doc, v, k))
             k, v, doc, at, first, last = (x[turn] for x in (k, v, doc, at, first, last))
@@ -183,60 +204,116 @@ def places(docs: DataFrame, seen: np.ndarray, length: int, trigger: int) -> Data
     return map_rows(docs.where("doc_id is not null").select("doc_id", "text"), make, PLACES)
 
 
-def suffixes(docs: DataFrame, wanted: np.ndarray, seen: np.ndarray, length: int, trigger: int) -> DataFrame:
-    """(h1, h2, doc_id, at): the strings of the places in the bitmap wanted, the first of each in a slice, and covered starts with h1 null."""
+MEETINGS = "k long, context binary, left_size int, first int, last int, h1 long, h2 long, doc_id long, at int"
+
+
+def meetings(docs: DataFrame, few: np.ndarray, many: np.ndarray, seen: np.ndarray, length: int, trigger: int) -> DataFrame:
+    """For places in the bitmap few: k, context, and the strings' range. For places in many: the hashes of their strings,
+    the first of each in a slice; what comes later in the slice is covered and has neither context nor hashes."""
     context = docs.sparkSession.sparkContext
-    bits, repeats = context.broadcast(wanted), context.broadcast(seen)
+    few_, many_, repeats = context.broadcast(few), context.broadcast(many), context.broadcast(seen)
 
     def make():
         def run(rows):
+            out = {c: [] for c in ("k", "context", "left_size", "first", "last", "h1", "h2", "doc_id", "at")}
+            docs_of = np.array(rows["doc_id"], np.int64)
             cols = []
-            for doc, text in zip(rows["doc_id"], rows["text"]):
-                data = _bytes(text)
-                at, k, _, first, last = scan(data, length, trigger)
-                hit = in_bitmap(repeats.value, k)
-                hit[hit] = in_bitmap(bits.value, place_hash(np.int64(doc), at[hit]))
-                if not hit.any():
-                    continue
-                size = last[hit] - first[hit] + 1
-                start = np.repeat(first[hit] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
-                for offset, part, n in pieces(data, length):
-                    s = start[(start >= offset) & (start < offset + n)] - offset
-                    if len(s):
-                        cols.append((Rolling(part, 0).of(s, s + length), Rolling(part, 1).of(s, s + length), np.full(len(s), doc, np.int64), s + offset))
-            if not cols:
-                return {"h1": [], "h2": [], "doc_id": [], "at": []}
-            h1, h2, doc, at = (np.concatenate(x) for x in zip(*cols))
-            turn = np.lexsort((at, doc, h2, h1))
-            h1, h2, doc, at = (x[turn] for x in (h1, h2, doc, at))
-            new = np.ones(len(h1), bool)
-            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-            lead = np.maximum.accumulate(np.where(new, np.arange(len(h1)), 0))
-            head = new | ((doc == doc[lead]) & (at == at[lead]))
-            keys = [np.ma.masked_array(signed(h), ~head) for h in (h1, h2)]
-            return {"h1": keys[0].tolist(), "h2": keys[1].tolist(), "doc_id": doc, "at": at.astype(np.int32)}
+            for x in scans(rows["text"], length, trigger):
+                doc = docs_of[x["row"]]
+                hit = np.flatnonzero(in_bitmap(repeats.value, x["k"]))
+                place = place_hash(doc[hit], x["at"][hit])
+                data = x["data"].tobytes()
+                own = hit[in_bitmap(few_.value, place)]
+                out["k"] += signed(x["k"][own]).tolist()
+                out["context"] += [data[a:b] for a, b in zip(x["a"][own].tolist(), x["b"][own].tolist())]
+                for c, name in (("left_size", "left"), ("first", "first"), ("last", "last"), ("at", "at")):
+                    out[c] += x[name][own].tolist()
+                out["doc_id"] += doc[own].tolist()
+                own = hit[in_bitmap(many_.value, place)]
+                if len(own):
+                    size = x["last"][own] - x["first"][own] + 1
+                    start = np.repeat(x["first"][own] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+                    s = start - np.repeat(x["move"][own], size)
+                    cols.append((Rolling(x["data"], 0).of(s, s + length), Rolling(x["data"], 1).of(s, s + length), np.repeat(doc[own], size), start))
+            n = len(out["k"])
+            out["h1"], out["h2"] = [None] * n, [None] * n
+            if cols:
+                h1, h2, doc, at = (np.concatenate(c) for c in zip(*cols))
+                turn = np.lexsort((at, doc, h2, h1))
+                h1, h2, doc, at = (c[turn] for c in (h1, h2, doc, at))
+                new = np.ones(len(h1), bool)
+                new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+                lead = np.maximum.accumulate(np.where(new, np.arange(len(h1)), 0))
+                head = new | ((doc == doc[lead]) & (at == at[lead]))
+                for c, h in (("h1", h1), ("h2", h2)):
+                    out[c] += np.ma.masked_array(signed(h), ~head).tolist()
+                out["doc_id"] += doc.tolist()
+                out["at"] += at.tolist()
+                for c in ("k", "context", "left_size", "first", "last"):
+                    out[c] += [None] * len(doc)
+            return out
 
         return run
 
-    return map_rows(docs.where("doc_id is not null").select("doc_id", "text"), make, "h1 long, h2 long, doc_id long, at int")
+    return map_rows(docs.where("doc_id is not null").select("doc_id", "text"), make, MEETINGS)
 
 
-def place_hash(doc, at: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        base = mix(np.array([doc], np.int64).view(np.uint64) + np.uint64(0x632BE59BD9B4E019))
-        return mix(base + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
+def _agreeing(rows: list[tuple], length: int) -> list[tuple[int, int, int]]:
+    """(doc_id, first, last) of covered starts among places of one trigger: (doc_id, at, context, left size, first, last)."""
+    rows.sort(key=lambda r: r[:2])
+    n = len(rows)
+    lefts, rights = np.full((n, length), 256, np.int16), np.full((n, length), 256, np.int16)
+    for i, (_, _, text, left, _, _) in enumerate(rows):
+        data = np.frombuffer(text, np.uint8)
+        lefts[i, :left] = data[:left][::-1]
+        rights[i, : len(data) - left] = data[left:]
+    lefts[lefts == 256] = -1 - np.nonzero(lefts == 256)[0]  # what lies outside a text equals nothing
+    rights[rights == 256] = -1 - np.nonzero(rights == 256)[0]
+    out = []
+    for i in range(1, n):
+        doc, at, _, _, first, last = rows[i]
+        j = i
+        while j and rows[j - 1][:2] == (doc, at):
+            j -= 1
+        if j:
+            left = np.argmin(np.append(lefts[:j] == lefts[i], np.zeros((j, 1), bool), axis=1), axis=1)
+            right = np.argmin(np.append(rights[:j] == rights[i], np.zeros((j, 1), bool), axis=1), axis=1)
+            a, b = np.maximum(at - left, first), np.minimum(at + right - length, last)
+            for x, y in {(int(x), int(y)) for x, y in zip(a, b) if x <= y}:
+                out.append((doc, x, y))
+    return out
+
+
+def compared(rows: DataFrame, length: int) -> DataFrame:
+    """Covered starts among the few phrases of each trigger, read in a stream sorted by trigger."""
 
-def _hashed_places(rows: DataFrame) -> DataFrame:
     def run(batches):
-        import pyarrow as pa
+        at, group = None, []
+        for batch in batches:
+            out = []
+            for k, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != at:
+                    out += _agreeing(group, length) if len(group) > 1 else []
+                    at, group = k, []
+                group.append(tuple(rest))
+            yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate((("doc_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32())))})
+        out = _agreeing(group, length) if len(group) > 1 else []
+        yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate((("doc_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32())))})
 
+    return rows.select("k", "doc_id", "at", "context", "left_size", "first", "last").repartition("k").sortWithinPartitions("k").mapInArrow(run, "doc_id long, first int, last int")
+
+
+def place_hash(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    base = mix(doc.view(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    return mix(base + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _bitmap_of_places(rows: DataFrame) -> np.ndarray:
+    def run(batches):
         for b in batches:
-            doc, at = b.column(0).to_numpy(), b.column(1).to_numpy()
-            base = mix(doc.view(np.uint64) + np.uint64(0x632BE59BD9B4E019))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(mix(base + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))], names=["h"])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(place_hash(b.column(0).to_numpy(), b.column(1).to_numpy())))], names=["h"])
 
-    return rows.select("doc_id", "at").mapInArrow(run, "h long")
+    return bitmap_of(rows.select("doc_id", "at").mapInArrow(run, "h long"), "h", BITS)
 
 
 def covered_starts(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
@@ -245,16 +322,17 @@ def covered_starts(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER
     seen = bitmap_of(again, "k", BITS)
     found = written(places(docs, seen, length, trigger), "places")
     heads = found.where("k is not null")
-    phrases = written(heads.groupBy("k", "v").agg(F.min(F.struct("doc_id", "at")).alias("p")).select("k", "v", F.col("p.doc_id").alias("pd"), F.col("p.at").alias("pa")), "phrases")
+    phrases = written(heads.groupBy("k", "v").agg(F.min("doc_id").alias("pd"), F.min_by("at", "doc_id").alias("pa")), "phrases")
     later = heads.join(phrases, ["k", "v"]).where("doc_id <> pd or at <> pa").select("doc_id", "first", "last")
-    several = phrases.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi").select("k")
-    origin = phrases.join(several, "k", "left_semi").select(F.col("pd").alias("doc_id"), F.col("pa").alias("at"))
-    wanted = bitmap_of(_hashed_places(origin), "h", BITS)
-    strings = written(suffixes(docs, wanted, seen, length, trigger), "suffixes")
-    classes = strings.where("h1 is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("p"), F.max(F.struct("doc_id", "at")).alias("q")).where("p < q").select("h1", "h2", F.col("p.doc_id").alias("pd"), F.col("p.at").alias("pa"))
-    single = strings.join(classes, ["h1", "h2"]).where("doc_id <> pd or at <> pa").select("doc_id", F.col("at").alias("first"), F.col("at").alias("last"))
-    inside = strings.where("h1 is null").select("doc_id", F.col("at").alias("first"), F.col("at").alias("last"))
-    return found.where("k is null").select("doc_id", "first", "last").unionByName(later).unionByName(single).unionByName(inside)
+    number = phrases.groupBy("k").agg(F.count("v").alias("n")).where("n > 1")
+    origin = written(phrases.join(number, "k").select(F.col("pd").alias("doc_id"), F.col("pa").alias("at"), (F.col("n") <= FEW).alias("few")), "origins")
+    met = written(meetings(docs, _bitmap_of_places(origin.where("few")), _bitmap_of_places(origin.where("not few")), seen, length, trigger), "meetings")
+    near = compared(met.where("k is not null"), length)
+    strings = met.where("k is null").select("h1", "h2", "doc_id", F.col("at").alias("first"), F.col("at").alias("last"))
+    classes = strings.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("pd"), F.min_by("first", "doc_id").alias("pa"), F.max("doc_id").alias("qd"), F.max_by("first", "doc_id").alias("qa")).where("pd < qd or pa < qa").select("h1", "h2", "pd", "pa")
+    single = strings.join(classes, ["h1", "h2"]).where("doc_id <> pd or first <> pa").select("doc_id", "first", "last")
+    inside = strings.where("h1 is null").select("doc_id", "first", "last")
+    return found.where("k is null").select("doc_id", "first", "last").unionByName(later).unionByName(near).unionByName(single).unionByName(inside)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, keep_text: bool = True) -> DataFrame:
