@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .joins import first_by
 
 WRITES, READS = ("write", "read_write"), ("read", "read_write")
+#: Access chains that start so go through a pointer; fields and indexes of the variable itself are direct.
+INDIRECT = ("pointer-", "array-decay")
 THREADS = ("task", "callback", "timer", "main")
 
 
@@ -58,12 +60,12 @@ def conflicts(accesses: DataFrame, weak_units: DataFrame | None = None) -> DataF
     An interrupt write with any unprotected thread access, else an unprotected thread write with any interrupt access.
     """
     write = F.col("kind").isin(*WRITES)
-    direct = F.coalesce("via", F.lit("")) == ""
+    direct = ~F.coalesce(F.col("via").rlike("^(" + "|".join(INDIRECT) + ")"), F.lit(False))
     free = ~F.col("protected")
     a = accesses if weak_units is None else accesses.join(weak_units.select("unit", F.lit(True).alias("weak")), "unit", "left")
     a = a.withColumn("weak", F.coalesce("weak", F.lit(False)) if weak_units is not None else F.lit(False))
     unit = a.groupBy("resource", "unit", "unit_kind").agg(
-        F.bool_or(write).alias("w"), F.bool_or(write & direct).alias("dw"), F.bool_or(free).alias("u"), F.bool_or(free & write).alias("uw"), F.bool_or(free & direct & (F.col("kind") != "address_taken")).alias("ud"),
+        F.bool_or(write).alias("w"), F.bool_or(write & direct).alias("dw"), F.bool_or(free).alias("u"), F.bool_or(free & write).alias("uw"), F.bool_or(free & direct).alias("ud"),
         F.bool_and(~free | (F.col("kind") == "address_taken")).alias("addr"), F.bool_or("weak").alias("weak"),
     )
     isr, other = F.col("unit_kind") == "isr", F.col("unit_kind").isin(*THREADS)

@@ -57,7 +57,7 @@ def accesses(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(
         F.concat(F.get_json_object("props", "$.k"), F.lit("/"), F.floor(F.col("value") / 10).cast("string")).alias("resource"), F.concat(kind, F.lit(":"), F.col("user_id").cast("string")).alias("unit"), kind.alias("unit_kind"),
         F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("function"), F.concat(F.lit("src/"), F.pmod("user_id", F.lit(7)).cast("string"), F.lit(".c")).alias("path"), F.col("event_id").alias("line"), access.alias("kind"),
-        F.when(F.pmod("event_id", F.lit(6)) == 0, "field").otherwise("").alias("via"), (F.pmod("event_id", F.lit(4)) == 0).alias("protected"), "user_id", "event_id",
+        F.when(F.pmod("event_id", F.lit(6)) == 0, "field").when(F.pmod("event_id", F.lit(6)) == 1, "pointer-field").otherwise("").alias("via"), (F.pmod("event_id", F.lit(4)) == 0).alias("protected"), "user_id", "event_id",
     )
 
 
@@ -66,7 +66,7 @@ ACCESS_SQL = """acc AS (SELECT json_extract_string(props, '$.k') || '/' || CAST(
     CASE event_type WHEN 'error' THEN 'isr' WHEN 'purchase' THEN 'task' WHEN 'signup' THEN 'timer' WHEN 'click' THEN 'callback' ELSE 'main' END || ':' || user_id AS unit,
     'f' || user_id AS function, 'src/' || (user_id % 7) || '.c' AS path, event_id AS line,
     CASE event_id % 5 WHEN 0 THEN 'write' WHEN 1 THEN 'read' WHEN 2 THEN 'read_write' WHEN 3 THEN 'read' ELSE 'address_taken' END AS kind,
-    CASE WHEN event_id % 6 = 0 THEN 'field' ELSE '' END AS via, event_id % 4 = 0 AS protected, user_id, event_id FROM events)"""
+    CASE event_id % 6 WHEN 0 THEN 'field' WHEN 1 THEN 'pointer-field' ELSE '' END AS via, event_id % 4 = 0 AS protected, user_id, event_id FROM events)"""
 
 
 def role_steps(spark: SparkSession, d: str) -> DataFrame:

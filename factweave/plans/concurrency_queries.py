@@ -29,8 +29,8 @@ def unit_access_summary(spark, d):
     return C.unit_summaries(accesses(spark, d))
 
 
-CONFLICT_SQL = f"""WITH {ACCESS_SQL}, u AS (SELECT resource, unit, unit_kind, bool_or({W}) AS w, bool_or({W} AND via = '') AS dw, bool_or(NOT protected) AS un, bool_or(NOT protected AND {W}) AS uw,
-    bool_or(NOT protected AND via = '' AND kind <> 'address_taken') AS ud, bool_and(protected OR kind = 'address_taken') AS addr FROM acc GROUP BY resource, unit, unit_kind),
+CONFLICT_SQL = f"""WITH {ACCESS_SQL}, u AS (SELECT resource, unit, unit_kind, bool_or({W}) AS w, bool_or({W} AND via NOT LIKE 'pointer-%') AS dw, bool_or(NOT protected) AS un, bool_or(NOT protected AND {W}) AS uw,
+    bool_or(NOT protected AND via NOT LIKE 'pointer-%') AS ud, bool_and(protected OR kind = 'address_taken') AS addr FROM acc GROUP BY resource, unit, unit_kind),
     iw AS (SELECT resource, bool_or(dw) AS direct FROM u WHERE unit_kind = 'isr' AND w GROUP BY resource), ia AS (SELECT DISTINCT resource FROM u WHERE unit_kind = 'isr'),
     ou AS (SELECT resource, bool_or(ud) AS direct, bool_and(addr) AS only_addr FROM u WHERE unit_kind <> 'isr' AND un GROUP BY resource),
     ow AS (SELECT resource, bool_or(ud) AS direct, bool_and(addr) AS only_addr FROM u WHERE unit_kind <> 'isr' AND uw GROUP BY resource),
