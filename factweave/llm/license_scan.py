@@ -85,6 +85,11 @@ def anchors(templates: dict[str, str], least: float = LEAST) -> list[str]:
     return sorted(out)
 
 
+def _once(array: Column) -> Column:
+    """The array, marked so that the optimizer computes it once a row: put into a filter it would be computed for each element."""
+    return F.when(F.spark_partition_id() >= 0, array)
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
@@ -120,10 +125,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     hinted = F.lit(False)
     for word in anchors(templates):
         hinted = hinted | lower.contains(word)
-    cut = docs.select("doc_id", "text").where(F.coalesce(hinted, F.lit(False))).select("doc_id", _words(F.col("text")).alias("words"))
-    cut = cut.select("doc_id", "words", F.transform(_shingles(F.col("words")), lambda s: F.xxhash64(s)).alias("h"))
+    cut = docs.select("doc_id", "text").where(F.coalesce(hinted, F.lit(False))).select("doc_id", _once(_words(F.col("text"))).alias("words"))
+    cut = cut.select("doc_id", "words", _once(F.transform(_shingles(F.col("words")), lambda s: F.xxhash64(s))).alias("h"))
     places = F.filter(F.transform("h", lambda x, i: F.when(x.isin(hashes), i)), lambda i: i.isNotNull())
-    cut = cut.withColumn("places", places).where(F.size("places") > 0)
+    cut = cut.withColumn("places", _once(places)).where(F.size("places") > 0)
     windows = None
     for size in sizes:
         long, step = ceil(1.5 * size), ceil(size / 2)
