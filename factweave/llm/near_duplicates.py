@@ -251,10 +251,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     labelled = members.select("key", "doc_id", "n").join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     second = tile_links(labelled.join(mixed, "key"), load, percent)
-    # Rows of one id with several sets belong together: the classes of an id are links too.
-    same_id = filled.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    whole = components(first.unionByName(written(second, "links")).unionByName(same_id))
-    return told.select("doc_id", "n_shingles").join(whole, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce(F.col("comp") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    # Rows of one id with several sets belong together. Copies need no links: they take the component of their class.
+    several = filled.groupBy("doc_id").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo < hi").select("doc_id")
+    same_id = filled.join(several, "doc_id", "left_semi").join(classes, ["f1", "f2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    whole = components(first.unionByName(written(second, "links")).unionByName(same_id)).withColumnRenamed("doc_id", "rep")
+    own = told.where("doc_id is not null and n_shingles > 0").join(classes, ["f1", "f2"]).select("doc_id", "n_shingles", "rep")
+    bare = told.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"))
+    labelled = own.join(whole, "rep", "left").unionByName(bare.withColumn("comp", F.lit(None).cast("long"))).withColumn("component_id", F.coalesce("comp", "rep"))
+    return labelled.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def op10(spark, sf_dir) -> DataFrame:
