@@ -37,8 +37,9 @@ from .common import bitmap_of, in_bitmap, map_rows, mix, signed, written
 
 LENGTH, TRIGGER = 100, 40
 CHUNK = 1 << 18
-FEW = 48
+FEW = 400
 BITS = 1 << 26
+DOC_BITS = 1 << 24
 _TABLES = [np.random.default_rng(s).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for s in (3, 4)]
 _BASE = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
 
@@ -308,12 +309,12 @@ def place_hash(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(base + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _bitmap_of_places(rows: DataFrame) -> np.ndarray:
+def _bitmap_of_places(rows: DataFrame, bits: int = BITS) -> np.ndarray:
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(signed(place_hash(b.column(0).to_numpy(), b.column(1).to_numpy())))], names=["h"])
 
-    return bitmap_of(rows.select("doc_id", "at").mapInArrow(run, "h long"), "h", BITS)
+    return bitmap_of(rows.select("doc_id", "at").mapInArrow(run, "h long"), "h", bits)
 
 
 def covered_starts(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
@@ -338,11 +339,27 @@ def covered_starts(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER
 def remove_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, keep_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, kept (the remaining bytes) and spans of every document."""
     ranges = covered_starts(docs, length, trigger).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("starts"))
-    both = docs.select("doc_id", "text").join(ranges, "doc_id", "left").select("doc_id", "text", F.col("starts.first").alias("a"), F.col("starts.last").alias("b"))
+    ranges = written(ranges.select("doc_id", F.col("starts.first").alias("a"), F.col("starts.last").alias("b")), "ranges")
+    # Only documents that may lose bytes (by a bitmap of fixed size) are shuffled to meet their ranges.
+    hit = docs.sparkSession.sparkContext.broadcast(_bitmap_of_places(ranges.select("doc_id", F.lit(0).alias("at")), DOC_BITS))
+
+    def may_lose(ids: pa.Array) -> np.ndarray:
+        doc = ids.fill_null(0).to_numpy()
+        return in_bitmap(hit.value, place_hash(doc, np.zeros(len(doc), np.int64))) & ids.is_valid().to_numpy(zero_copy_only=False)
+
+    def losing(batches):
+        for b in batches:
+            yield b.filter(pa.array(may_lose(b.column(0))))
+
+    both = docs.select("doc_id", "text").mapInArrow(losing, "doc_id long, text string").join(ranges, "doc_id", "left").select("doc_id", "text", "a", "b")
     extra = ", kept binary, spans array<struct<begin: long, end: long>>" if keep_text else ""
 
-    def make():
+    def make(whole: bool = False):
         def run(rows):
+            if whole:
+                stay = ~may_lose(pa.array(rows["doc_id"], pa.int64()))
+                rows = {c: [x for x, ok in zip(v, stay) if ok] for c, v in rows.items()}
+                rows["a"] = rows["b"] = [None] * len(rows["doc_id"])
             out = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")} | {"doc_id": rows["doc_id"]}
             for text, a, b in zip(rows["text"], rows["a"], rows["b"]):
                 data = (text or "").encode("utf-8", "surrogatepass")
@@ -369,7 +386,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER
 
         return run
 
-    return map_rows(both, make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + extra)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + extra
+    return map_rows(both, make, schema).unionByName(map_rows(docs.select("doc_id", "text"), lambda: make(whole=True), schema))
 
 
 def op9(spark, sf_dir) -> DataFrame:
