@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 SLICE_CHARS = 4_000_000
+BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
 OWN_DIR = "spark.factweave.sharedDir"
 
 
@@ -37,9 +39,21 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Deletes the tables that this process has written to the shared folder, once no result that reads them is needed."""
+    jvm = spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text_at: int = 1) -> Iterator[pa.RecordBatch]:
     """Pieces of the batches with a bounded number of bytes of text (or a single row)."""
     for batch in batches:
@@ -54,8 +68,15 @@ def slices(batches: Iterable[pa.RecordBatch], text_at: int = 1) -> Iterator[pa.R
                 yield batch.slice(c, min(512, b - c))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Holds the Arrow batches of the session to BATCH_BYTES, so that workers need little memory whatever the texts' lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
     """Maps slices of rows; make() runs once a task and gives the function from columns to columns. Column 1 is the text."""
+    small_batches(df.sparkSession)
     out = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(out)
 
@@ -79,7 +100,7 @@ def words_of(text: str | None, lower: bool = False) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words that agree on all machines; what is kept is bounded."""
 
-    MOST = 400_000
+    MOST = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
@@ -97,18 +118,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@lru_cache
 def odd_constants(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def window_hashes(h: np.ndarray, width: int, seed: int = 7) -> np.ndarray:
-    """A hash of each window of so many words; none if there are fewer words."""
+    """A hash of each window of so many words, from hashes of the words; none if there are fewer words."""
     n = len(h) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     total = np.zeros(n, np.uint64)
     for j, c in enumerate(odd_constants(width, seed)):
-        total += mix(h[j : j + n] + c) * c
+        total += h[j : j + n] * c
     return mix(total)
 
 
@@ -166,6 +188,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list], np.ndarray]]) -> DataFrame:
     """The rows, with all their columns, whose text gets a true from make()'s function; nothing is shuffled."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from .common import map_rows
 
 MARK = "▁"
 LONG = 256
-KEEP = 300_000
+KEEP = 150_000
 NO_RANK = np.int64(1 << 30)
 
 
