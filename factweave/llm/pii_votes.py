@@ -259,31 +259,43 @@ def detect(docs: DataFrame, keep: float = 0.5) -> DataFrame:
     return told.withColumn("accepted", named).drop("spans")
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """The documents with each accepted span replaced by its kind in brackets; all columns stay, n_chars is counted anew."""
-    found = detect(docs).where("size(accepted) > 0").select("doc_id", "accepted").dropDuplicates(["doc_id"])
+def accepted_spans(text: str, weights: np.ndarray, keep: float = 0.5) -> list[tuple[str, int, int]]:
+    """Base spans and the proposals that the classifier accepts."""
+    base = base_spans(text)
+    more = [s for s in proposed_spans(text) if not any(s[1] < b and a < s[2] for _, a, b in base)]
+    if more:
+        packed = np.array([sum(x * 4**k for k, x in enumerate(features(*s[:1], text, *s[1:]))) for s in more])
+        score = _design(np.array([KINDS.index(k) for k, _, _ in more]), packed) @ weights
+        more = [s for s, x in zip(more, score) if x >= np.log(keep / (1 - keep))]
+    return base + more
+
+
+def redact(docs: DataFrame, keep: float = 0.5) -> DataFrame:
+    """The documents with each accepted span replaced by its kind in brackets; all columns stay, n_chars is counted anew.
+
+    The classifier is trained on all rows first; then each row finds its own spans again, so that no text is shuffled.
+    """
+    weights = train(proposals(docs).select(F.explode("spans").alias("s")).select("s.kind", "s.votes", "s.feats"))
     names = docs.columns
 
-    def make():
-        def run(rows):
-            out = []
-            for text, spans in zip(rows["text"], rows["pii_spans"]):
-                if text and spans:
-                    parts, at = [], 0
-                    for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
-                        if s["start"] >= at:
-                            parts += [text[at : s["start"]], f"[{s['kind'].upper()}]"]
-                        at = max(at, s["end"])
-                    text = "".join([*parts, text[at:]])
-                out.append(text)
-            return {"pii_row": rows["pii_row"], "text": out, **{c: rows[c] for c in names if c != "text"}}
+    def clean(text: str | None) -> str | None:
+        spans = accepted_spans(text, weights, keep) if text else []
+        if not spans:
+            return text
+        parts, at = [], 0
+        for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+            if a >= at:
+                parts += [text[at:a], f"[{kind.upper()}]"]
+            at = max(at, b)
+        return "".join([*parts, text[at:]])
 
-        return run
+    def make():
+        return lambda rows: {**rows, "text": [clean(t) for t in rows["text"]]}
 
-    rest = [c for c in names if c != "text"]
-    both = docs.join(found.withColumnRenamed("accepted", "pii_spans"), "doc_id", "left").select(F.lit(0).alias("pii_row"), "text", "pii_spans", *rest)
-    schema = ", ".join(["pii_row int", "text string", *[f"`{c}` {t}" for c, t in docs.dtypes if c != "text"]])
-    out = map_rows(both, make, schema).select(*names)
+    first = ["doc_id", "text"]
+    rest = [c for c in names if c not in first]
+    types = dict(docs.dtypes)
+    out = map_rows(docs.select(*first, *rest), make, ", ".join(f"`{c}` {types[c]}" for c in [*first, *rest])).select(*names)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in names else out
 
 
