@@ -47,9 +47,8 @@ class Tokens(dict):
         core = word.strip(EDGES)
         low = core.lower()
         kind = ENDS * (word[-1:] in b".!?:" or word.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?", b":"))
-        if NUMBER.fullmatch(core) or low in NUMBER_WORDS:
-            kind |= NUM
-        elif (m := JOINED.fullmatch(core)) and m[1].lower() in UNITS:
+        plain = core.isalpha()
+        if low in NUMBER_WORDS or not plain and (NUMBER.fullmatch(core) or (m := JOINED.fullmatch(core)) and m[1].lower() in UNITS):
             kind |= NUM
         elif low in NAMES:
             kind |= NAME
