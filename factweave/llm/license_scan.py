@@ -107,6 +107,12 @@ def _signature(hashes: Column) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("band"), low(k).alias("low")) for k in range(BANDS)])
 
 
+def _spots(size: int, long: int, step: int, before: int) -> Column:
+    """The windows of a class that hold one of the places."""
+    numbers = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(F.greatest(F.floor(p / step) - before + 1, F.lit(0)), F.floor(p / step)))))
+    return F.transform(numbers, lambda w: F.struct(F.lit(size).alias("size"), (w * step).cast("int").alias("start"), F.lit(long).alias("long")))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, license, containment, first_word, n_windows) of each match of each document."""
     templates = TEMPLATES if templates is None else templates
@@ -129,17 +135,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     cut = cut.select("doc_id", "words", _once(F.transform(_shingles(F.col("words")), lambda s: F.xxhash64(s))).alias("h"))
     places = F.filter(F.transform("h", lambda x, i: F.when(x.isin(hashes), i)), lambda i: i.isNotNull())
     cut = cut.withColumn("places", _once(places)).where(F.size("places") > 0)
-    windows = None
+    spots = []
     for size in sizes:
         long, step = ceil(1.5 * size), ceil(size / 2)
-        before = -(-long // step)
-        starts = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(F.greatest(F.floor(p / step) - before + 1, F.lit(0)), F.floor(p / step)))))
-        part = cut.select("doc_id", "words", "h", F.explode(starts).alias("w")).select(
-            "doc_id", F.lit(size).alias("size"), (F.col("w") * step).cast("int").alias("start"), F.slice("words", (F.col("w") * step + 1).cast("int"), F.lit(long + WIDTH - 1)).alias("words"), F.slice("h", (F.col("w") * step + 1).cast("int"), F.lit(long)).alias("h")
-        )
-        windows = part if windows is None else windows.unionByName(part)
-    if windows is None:
+        spots.append(_spots(size, long, step, -(-long // step)))
+    if not spots:
         return cut.select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("first_word"), F.lit(0).cast("long").alias("n_windows")).where("false")
+    placed = cut.select("doc_id", "words", "h", F.explode(F.concat(*spots)).alias("w")).select("doc_id", "words", "h", "w.*")
+    windows = placed.select("doc_id", "size", "start", F.slice("words", F.col("start") + 1, F.col("long") + WIDTH - 1).alias("words"), F.slice("h", F.col("start") + 1, F.col("long")).alias("h"))
     banded = windows.where(F.size("h") > 0).select("doc_id", "size", "start", "words", F.explode(_signature(F.col("h"))).alias("b")).select("doc_id", "size", "start", "words", "b.*")
     found = banded.join(keys, ["size", "band", "low"])
     share = F.size(F.array_intersect("shingles", _shingles(F.col("words")))) / F.col("n")
