@@ -286,20 +286,37 @@ def _agreeing(rows: list[tuple], length: int) -> list[tuple[int, int, int]]:
 
 
 def compared(rows: DataFrame, length: int) -> DataFrame:
-    """Covered starts among the few phrases of each trigger, read in a stream sorted by trigger."""
+    """Covered starts among the few phrases of each trigger, read in a stream sorted by trigger.
+
+    Only the first place of each phrase is held. A trigger that turns out to have more than FEW phrases came through the
+    bitmap by chance; its strings are compared by hash, so it is left out here. So a task holds FEW contexts at most.
+    """
+    few = FEW
+    schema = pa.schema([("doc_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
 
     def run(batches):
-        at, group = None, []
+        trigger, group = None, {}
+
+        def settled() -> list[tuple[int, int, int]]:
+            return _agreeing(list(group.values()), length) if 1 < len(group) <= few else []
+
+        def batch_of(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], x.type) for i, x in enumerate(schema)], schema=schema)
+
         for batch in batches:
             out = []
-            for k, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-                if k != at:
-                    out += _agreeing(group, length) if len(group) > 1 else []
-                    at, group = k, []
-                group.append(tuple(rest))
-            yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate((("doc_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32())))})
-        out = _agreeing(group, length) if len(group) > 1 else []
-        yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate((("doc_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32())))})
+            for k, doc, at, context, left, first, last in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != trigger:
+                    out += settled()
+                    trigger, group = k, {}
+                phrase = (context, left, at - first, last - at)
+                mine = (doc, at, context, left, first, last)
+                if phrase in group:
+                    group[phrase] = min(group[phrase], mine)
+                elif len(group) <= few:
+                    group[phrase] = mine
+            yield batch_of(out)
+        yield batch_of(settled())
 
     return rows.select("k", "doc_id", "at", "context", "left_size", "first", "last").repartition("k").sortWithinPartitions("k").mapInArrow(run, "doc_id long, first int, last int")
 
