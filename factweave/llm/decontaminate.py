@@ -4,7 +4,8 @@ Numbers, names and units become typed placeholders; all else is a word in lower
 of WIDTH tokens (whole items, if shorter) of texts and benchmark items meet by hash join, and as templates by equality.
 Along one alignment of a text and an item, slots must be filled consistently: equal values of the item stand for equal
 values in the text. So re-parameterised questions are caught, and texts that only share a pattern with other fillings
-in each place are not. A document is contaminated by an item of which it holds LEAST of the windows.
+in each place are not. A document is contaminated by an item of which it holds LEAST of the windows, or a run of windows
+that covers RUN consecutive words, however long the item is.
 
 A window needs LITERALS tokens that are no placeholders (fewer in items that have none such), and items with fewer than
 SHORTEST tokens are not looked for: they are in any text. Texts first pass a bitmap of fixed size of the items' window
@@ -18,12 +19,12 @@ import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bitmap_of, in_bitmap, map_rows, signed, table, window_hashes, words_of, written
 
-WIDTH, LITERALS, SHORTEST, LEAST = 8, 4, 5, 0.5
+WIDTH, LITERALS, SHORTEST, LEAST, RUN = 8, 4, 5, 0.5, 13
 MOST_BROADCAST = 500_000
 NUM, NAME, UNIT, ENDS, TITLE = 1, 2, 4, 8, 16
 LOW = np.uint64(31)
@@ -118,21 +119,34 @@ def windows(rows_of: DataFrame, widths: list[int], bitmap: np.ndarray | None = N
     return map_rows(rows_of.select("id", "text"), make, WINDOWS)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
-    """(doc_id, item_id, n_matched, n_windows, coverage, changed_slots) of each document and item that it holds."""
+def run_words(places: Column) -> Column:
+    """The most words that windows cover without a gap; places: structs (nth, item_at, width), nth counting the item's windows."""
+    start = F.struct(F.lit(-1).alias("nth"), F.lit(-1).alias("at"), F.lit(-1).alias("first"), F.lit(0).alias("most"))
+
+    def step(run, x):
+        first = F.when((x["nth"] == run["nth"] + 1) & (x["item_at"] <= run["at"] + x["width"]) & (run["first"] >= 0), run["first"]).otherwise(x["item_at"])
+        return F.struct(x["nth"].alias("nth"), x["item_at"].alias("at"), first.alias("first"), F.greatest(run["most"], x["item_at"] + x["width"] - first).alias("most"))
+
+    return F.aggregate(F.array_sort(places), start, step, lambda run: run["most"])
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, run: int = RUN) -> DataFrame:
+    """(doc_id, item_id, n_matched, n_windows, coverage, run_words, changed_slots) of each document and item that it holds."""
     items = written(windows(benchmark.select(F.col("item_id").alias("id"), "text").where("item_id is not null").dropDuplicates(), [WIDTH]), "items")
     widths = sorted(r[0] for r in items.select(F.least("n_tokens", F.lit(WIDTH))).distinct().collect())
     size = items.groupBy("id").agg(F.count("at").alias("n_windows"))
-    right = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "h", "template", F.col("filled").alias("meant")).join(size.withColumnRenamed("id", "item_id"), "item_id")
+    nth = (F.dense_rank().over(Window.partitionBy("id").orderBy("at")) - 1).alias("nth")
+    right = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), nth, F.least("n_tokens", F.lit(WIDTH)).alias("width"), "h", "template", F.col("filled").alias("meant")).join(size.withColumnRenamed("id", "item_id"), "item_id")
     if items.count() <= MOST_BROADCAST:
         right = F.broadcast(right)
     left = windows(docs.select(F.col("doc_id").alias("id"), "text").where("doc_id is not null"), widths, bitmap_of(items, "h")).withColumnRenamed("id", "doc_id")
-    met = left.join(right, ["h", "template"]).select("doc_id", "item_id", "n_windows", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip("meant", "filled").alias("slots"))
-    lines = met.groupBy("doc_id", "item_id", "n_windows", "shift").agg(F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    met = left.join(right, ["h", "template"]).select("doc_id", "item_id", "n_windows", F.struct("nth", "item_at", "width").alias("place"), (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip("meant", "filled").alias("slots"))
+    lines = met.groupBy("doc_id", "item_id", "n_windows", "shift").agg(F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     lines = lines.where(F.size("slots") == F.size(F.array_distinct(F.col("slots.meant"))))
-    lines = lines.withColumn("changed", F.size(F.filter("slots", lambda s: s["meant"] != s["filled"])))
-    held = lines.groupBy("doc_id", "item_id", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("n_matched"), F.max("changed").cast("long").alias("changed_slots"))
-    return held.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(F.col("coverage") >= least).select("doc_id", "item_id", "n_matched", "n_windows", "coverage", "changed_slots")
+    lines = lines.withColumn("changed", F.size(F.filter("slots", lambda s: s["meant"] != s["filled"]))).withColumn("run_words", run_words(F.col("places")))
+    held = lines.groupBy("doc_id", "item_id", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places.item_at")))).cast("long").alias("n_matched"), F.max("run_words").cast("long").alias("run_words"), F.max("changed").cast("long").alias("changed_slots"))
+    held = held.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where((F.col("coverage") >= least) | (F.col("run_words") >= run))
+    return held.select("doc_id", "item_id", "n_matched", "n_windows", "coverage", "run_words", "changed_slots")
 
 
 def op8(spark, sf_dir) -> DataFrame:
