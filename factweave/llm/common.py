@@ -123,15 +123,20 @@ def odd_constants(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def window_hashes(h: np.ndarray, width: int, seed: int = 7) -> np.ndarray:
-    """A hash of each window of so many words, from hashes of the words; none if there are fewer words."""
+def window_sums(h: np.ndarray, width: int, seed: int = 7) -> np.ndarray:
+    """What window_hashes() mixes: the sum of each window's hashes, each times the constant of its place."""
     n = len(h) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     total = np.zeros(n, np.uint64)
     for j, c in enumerate(odd_constants(width, seed)):
         total += h[j : j + n] * c
-    return mix(total)
+    return total
+
+
+def window_hashes(h: np.ndarray, width: int, seed: int = 7) -> np.ndarray:
+    """A hash of each window of so many words, from hashes of the words; none if there are fewer words."""
+    return mix(window_sums(h, width, seed))
 
 
 def signed(x: np.ndarray) -> np.ndarray:

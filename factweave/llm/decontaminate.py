@@ -7,10 +7,13 @@ values in the text. So re-parameterised questions are caught, and texts that onl
 in each place are not. A document is contaminated by an item of which it holds LEAST of the windows, or a run of windows
 that covers RUN consecutive words, however long the item is.
 
-A window needs LITERALS tokens that are no placeholders (fewer in items that have none such), and items with fewer than
-SHORTEST tokens are not looked for: they are in any text. Texts first pass a bitmap of fixed size of the items' window
-hashes, so only windows that may match are shuffled, however common an item is. Null and empty texts and items match
-nothing.
+Whether a word is a placeholder can depend on its place and case, so windows meet in two more forms: with the first token as
+a word if only its neighbour or case made it a placeholder, and with all tokens as words.
+
+A window needs LITERALS tokens that are no placeholders (fewer in items that have none such). Items with fewer than
+SHORTEST tokens are looked for whole and as words only, as templates of so few tokens are in any text. Texts first pass a
+bitmap of fixed size of the items' window hashes, so only windows that may match are shuffled, however common an item is.
+Null and empty texts and items, and items of marks alone, match nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, in_bitmap, map_rows, signed, table, window_hashes, words_of, written
+from .common import bitmap_of, in_bitmap, map_rows, mix, odd_constants, signed, table, window_hashes, window_sums, words_of, written
 
 WIDTH, LITERALS, SHORTEST, LEAST, RUN = 8, 4, 5, 0.5, 13
 MOST_BROADCAST = 500_000
@@ -61,8 +64,8 @@ class Tokens(dict):
         return h
 
 
-def canonical(words: list[bytes], cache: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """(codes of tokens, kind of the slot or 0)."""
+def canonical(words: list[bytes], cache: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes of tokens, kind of the slot or 0, codes of tokens as words, whether only its place or case makes a token a slot)."""
     code = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
     kind = (code & LOW).astype(np.int64)
     slot = np.where(kind & NUM, NUM, np.where(kind & NAME, NAME, 0))
@@ -73,45 +76,74 @@ def canonical(words: list[bytes], cache: Tokens) -> tuple[np.ndarray, np.ndarray
     if len(words):
         inner[0] = False
     slot = np.where(inner, NAME, slot)
-    out = code & ~LOW
+    plain = code & ~LOW
+    out = plain.copy()
     for k, c in SLOT_CODES.items():
         out[slot == k] = np.uint64(c)
-    return out, slot
+    return out, slot, plain, (slot == UNIT) | inner
+
+
+TEMPLATE, FIRST, PLAIN = 0, 1, 2
 
 
-WINDOWS = "id long, at int, h long, template string, filled array<string>, n_tokens int"
+def forms(code: np.ndarray, plain: np.ndarray, loose: np.ndarray, slot: np.ndarray, width: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(form, hashes of the windows, places where that form differs from the ones before it)."""
+    n = len(code) - width + 1
+    if n <= 0:
+        return []
+    if width < SHORTEST:
+        return [(PLAIN, window_hashes(plain, width), np.ones(n, bool))]
+    slots = np.append(0, np.cumsum(slot > 0))
+    slots = slots[width:] - slots[:-width]
+    sums = window_sums(code, width)
+    found = [(TEMPLATE, mix(sums), np.ones(n, bool))]
+    if loose[:n].any():
+        found.append((FIRST, mix(sums + (plain[:n] - code[:n]) * odd_constants(width, 7)[0]), loose[:n]))
+    if slots.any():
+        found.append((PLAIN, window_hashes(plain, width), slots > loose[:n]))
+    return found
+
+
+WINDOWS = "id long, at int, form int, h long, template string, filled array<string>, n_tokens int"
 
 
 def windows(rows_of: DataFrame, widths: list[int], bitmap: np.ndarray | None = None) -> DataFrame:
-    """Template windows of rows (id, text) whose hash is in the bitmap; with no bitmap, of items (whole if short)."""
+    """Windows of rows (id, text) in all forms whose hash is in the bitmap; with no bitmap, of items (whole if short).
+
+    filled: what the slots of the template hold; for an item's window of words, what its slots would hold.
+    """
     bits = None if bitmap is None else rows_of.sparkSession.sparkContext.broadcast(bitmap)
 
     def make():
         cache = Tokens()
 
         def run(rows):
-            out = {c: [] for c in ("id", "at", "h", "template", "filled", "n_tokens")}
+            out = {c: [] for c in ("id", "at", "form", "h", "template", "filled", "n_tokens")}
             for own, text in zip(rows["id"], rows["text"]):
                 words = words_of(text)
-                if len(words) < SHORTEST:
+                if not words or bits is None and not any(w.strip(EDGES) for w in words):
                     continue
-                code, slot = canonical(words, cache)
+                code, slot, plain, loose = canonical(words, cache)
                 literal = np.append(0, np.cumsum(slot == 0))
                 for width in widths if bits is not None else [min(WIDTH, len(words))]:
-                    h = window_hashes(code, width)
-                    if bits is not None:
-                        at = np.flatnonzero(in_bitmap(bits.value, h)) if len(h) else []
-                    else:
-                        at = np.flatnonzero(literal[width:] - literal[:-width] >= min(LITERALS, width))
-                        at = at if len(at) else np.arange(len(h))
-                    for i in np.asarray(at, np.int64).tolist():
-                        cut = range(i, i + width)
-                        out["id"].append(own)
-                        out["at"].append(i)
-                        out["h"].append(int(signed(h[i : i + 1])[0]))
-                        out["template"].append(" ".join(SLOT_TEXT[slot[j]] if slot[j] else words[j].strip(EDGES).lower().decode("utf-8", "replace") for j in cut))
-                        out["filled"].append([f"{slot[j]}{words[j].strip(EDGES).lower().decode('utf-8', 'replace')}" for j in cut if slot[j]])
-                        out["n_tokens"].append(len(words))
+                    for form, h, own_form in forms(code, plain, loose, slot, width):
+                        if bits is not None:
+                            at = np.flatnonzero(own_form & in_bitmap(bits.value, h))
+                            if width < SHORTEST:
+                                at = at[np.unique(h[at], return_index=True)[1]]
+                        else:
+                            rich = literal[width:] - literal[:-width] >= min(LITERALS, width)
+                            at = np.flatnonzero((rich if rich.any() else True) & own_form)
+                        for i in at.tolist():
+                            as_word = {TEMPLATE: (), FIRST: (i,), PLAIN: range(i, i + width)}[form]
+                            out["id"].append(own)
+                            out["at"].append(i)
+                            out["form"].append(form)
+                            out["h"].append(int(signed(h[i : i + 1])[0]))
+                            cut = [(slot[j], j in as_word, words[j].strip(EDGES).lower().decode("utf-8", "replace")) for j in range(i, i + width)]
+                            out["template"].append(" ".join(w if plain_word or not k else SLOT_TEXT[k] for k, plain_word, w in cut))
+                            out["filled"].append([f"{k}{w}" for k, plain_word, w in cut if k and (not plain_word or form == PLAIN and bits is None)])
+                            out["n_tokens"].append(len(words))
             return out
 
         return run
@@ -134,13 +166,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, ru
     """(doc_id, item_id, n_matched, n_windows, coverage, run_words, changed_slots) of each document and item that it holds."""
     items = written(windows(benchmark.select(F.col("item_id").alias("id"), "text").where("item_id is not null").dropDuplicates(), [WIDTH]), "items")
     widths = sorted(r[0] for r in items.select(F.least("n_tokens", F.lit(WIDTH))).distinct().collect())
-    size = items.groupBy("id").agg(F.count("at").alias("n_windows"))
+    size = items.groupBy("id").agg(F.countDistinct("at").alias("n_windows"))
     nth = (F.dense_rank().over(Window.partitionBy("id").orderBy("at")) - 1).alias("nth")
-    right = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), nth, F.least("n_tokens", F.lit(WIDTH)).alias("width"), "h", "template", F.col("filled").alias("meant")).join(size.withColumnRenamed("id", "item_id"), "item_id")
+    right = items.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), nth, F.least("n_tokens", F.lit(WIDTH)).alias("width"), F.col("form").alias("item_form"), "h", "template", F.col("filled").alias("meant")).join(size.withColumnRenamed("id", "item_id"), "item_id")
     if items.count() <= MOST_BROADCAST:
         right = F.broadcast(right)
     left = windows(docs.select(F.col("doc_id").alias("id"), "text").where("doc_id is not null"), widths, bitmap_of(items, "h")).withColumnRenamed("id", "doc_id")
-    met = left.join(right, ["h", "template"]).select("doc_id", "item_id", "n_windows", F.struct("nth", "item_at", "width").alias("place"), (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip("meant", "filled").alias("slots"))
+    met = left.join(right, ["h", "template"]).withColumn("filled", F.when(F.col("item_form") == PLAIN, F.col("meant")).otherwise(F.col("filled"))).select("doc_id", "item_id", "n_windows", F.struct("nth", "item_at", "width").alias("place"), (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip("meant", "filled").alias("slots"))
     lines = met.groupBy("doc_id", "item_id", "n_windows", "shift").agg(F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     lines = lines.where(F.size("slots") == F.size(F.array_distinct(F.col("slots.meant"))))
     lines = lines.withColumn("changed", F.size(F.filter("slots", lambda s: s["meant"] != s["filled"]))).withColumn("run_words", run_words(F.col("places")))

@@ -22,3 +22,22 @@ def test_a_long_quote_of_a_longer_item(spark):
     assert set(got) == {(1, 1), (2, 1), (5, 1)}
     assert got[1, 1]["n_matched"] == 23 and got[1, 1]["run_words"] == 30 and got[1, 1]["coverage"] < 0.5
     assert got[2, 1]["run_words"] == 13 and got[5, 1]["run_words"] == 59
+
+
+def test_first_words_case_and_short_items(spark):
+    short = "What is the capital of France?"
+    titled = "The old Harbour of Lisbon faces the Tower where the Captain of Madrid met Doctor Moreno near the Garden of Seville"
+    docs = [
+        "Geography quiz\nWhat is the capital of France?",  # the first word is inside a sentence here
+        "quiz: what is the capital of france",  # in lower case
+        "Geography quiz\nWhat is the capital of Spain?",  # another value
+        "Geography quiz\nWhere is the capital of France?",
+        f"{OTHER} {titled.lower()} {OTHER}",
+        "so the answer, Two Plus Two; is known",  # an item of three words, in another case
+        "so the answer is two plus three",
+        "Two - ? -",
+    ]
+    got = found(spark, docs, [short, titled, "two plus two", "  ", None, "- ?"])
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (5, 2), (6, 3)}
+    assert got[3, 1]["changed_slots"] == 1 and got[1, 1]["changed_slots"] == got[2, 1]["changed_slots"] == got[6, 3]["changed_slots"] == 0
+    assert got[5, 2]["coverage"] == 1
