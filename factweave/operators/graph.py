@@ -313,38 +313,76 @@ def polling_order(calls: DataFrame, registrations: DataFrame, entries: DataFrame
     return both.groupBy("project").applyInPandas(run, "project string, unit string, place int")
 
 
-def clusters(edges: DataFrame, seeds: list[int], rounds: int = 400, power: float = 1.0, size_cost: float = 1.0) -> DataFrame:
-    """(seed, node, cluster): cost-driven clustering, each seed in its own task.
-
-    A random node bids for the cluster it is most coupled with (strength over cluster size to a power); it moves if the
-    sum of coupling across clusters, and within them times their size, does not rise. The best state is kept. cluster is
-    the smallest node of the cluster.
+def cluster_once(edges: list[tuple], seed: int, power: float = 1.0, size_cost: float = 1.0, coupling: float = 4.0, most_share: float = 0.5, second_bid: int = 30, worse_move: int = 30, iterations_per_node: int = 30, stable_rounds: int = 8) -> tuple[dict, float, float, int]:
+    """(cluster number of each node, its cost, cost at the start, bids made) of one seed over edges (source, target, weight)."""
+    draw = random.Random(seed)
+    near: dict = defaultdict(lambda: defaultdict(float))
+    for a, b, w in sorted(edges):
+        if a != b and w > 0:
+            near[a][b] += w
+            near[b][a] += w
+    nodes = sorted({n for a, b, _ in edges for n in (a, b)})
+    n_nodes = len(nodes)
+    home = {n: i for i, n in enumerate(nodes)}
+    size = [1] * n_nodes
+    # The sum of the weights within each cluster; all other edges cost outer each.
+    within = [0.0] * n_nodes
+    outer = n_nodes**size_cost
+    most_size = max(2, int(n_nodes * most_share))
+    cost = start = sum(w for n in nodes for w in near[n].values()) / 2 * outer
+    best, best_cost = dict(home), cost
+    bids = idle = 0
+    while bids < iterations_per_node * n_nodes and idle < stable_rounds * n_nodes:
+        bids += 1
+        idle += 1
+        node = nodes[draw.randrange(n_nodes)]
+        old = home[node]
+        pull: dict = defaultdict(float)
+        tied: dict = defaultdict(float)
+        for m, w in near[node].items():
+            pull[home[m]] += w**coupling
+            tied[home[m]] += w
+        offers = sorted((-p / size[c] ** power, c) for c, p in pull.items() if c != old and size[c] < most_size)
+        if not offers:
+            continue
+        new = offers[1 if len(offers) > 1 and draw.randrange(second_bid) == 0 else 0][1]
+        rise = (within[new] + tied[new]) * (size[new] + 1) ** size_cost - within[new] * size[new] ** size_cost - tied[new] * outer
+        rise += (within[old] - tied[old]) * (size[old] - 1) ** size_cost - within[old] * size[old] ** size_cost + tied[old] * outer
+        # Sums of floats: what differs by less than rounding is no gain.
+        gain = rise < -1e-9 * start
+        if gain or draw.randrange(worse_move) == 0:
+            home[node] = new
+            size[old] -= 1
+            size[new] += 1
+            within[old] -= tied[old]
+            within[new] += tied[new]
+            cost += rise
+            if gain:
+                idle = 0
+            if cost < best_cost - 1e-9 * start:
+                best, best_cost = dict(home), cost
+    return best, best_cost, start, bids
+
+
+def clusters(edges: DataFrame, seeds: list[int], **params) -> DataFrame:
+    """(seed, node, cluster): cost-driven clustering, each seed in its own task; params as in cluster_once().
+
+    A random node bids for the clusters it is coupled with (coupling to a power over cluster size to a power) that are below
+    their most size, and takes the best bid, or now and then the second. It moves if the sum of weights across clusters times
+    the number of nodes, and within them times their size, falls, and now and then if not. Bids end at iterations_per_node
+    times the nodes, or after stable_rounds times the nodes without gain. The best state seen is the result. cluster is the
+    smallest node of the cluster.
     """
     kind = dict(edges.dtypes)["source"]
     dealt = edges.select("source", "target", "weight").crossJoin(edges.sparkSession.createDataFrame([(s,) for s in seeds], "seed int"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        draw = random.Random(int(rows["seed"].iloc[0]))
-        near: dict = defaultdict(lambda: defaultdict(float))
-        for a, b, w in sorted(zip(rows["source"], rows["target"], rows["weight"])):
-            near[a][b] += w
-            near[b][a] += w
-        nodes = sorted(near)
-        home = {n: n for n in nodes}
-        members = {n: {n} for n in nodes}
-        cost = lambda n, c, extra: sum(w * ((len(members[c]) + extra) ** size_cost if home[m] == c else len(nodes)) for m, w in near[n].items())
-        for _ in range(rounds):
-            n = draw.choice(nodes)
-            pull: dict = defaultdict(float)
-            for m, w in near[n].items():
-                pull[home[m]] += w / len(members[home[m]]) ** power
-            best = max(sorted(pull), key=lambda c: pull[c])
-            old = home[n]
-            if best != old and cost(n, best, 1) <= cost(n, old, 0):
-                members[old].discard(n)
-                members[best].add(n)
-                home[n] = best
-        return pd.DataFrame([(rows["seed"].iloc[0], n, min(members[home[n]])) for n in nodes], columns=["seed", "node", "cluster"])
+        seed = int(rows["seed"].iloc[0])
+        home = cluster_once(list(zip(rows["source"], rows["target"], rows["weight"])), seed, **params)[0]
+        least: dict = {}
+        for n in sorted(home):
+            least.setdefault(home[n], n)
+        return pd.DataFrame([(seed, n, least[c]) for n, c in home.items()], columns=["seed", "node", "cluster"])
 
     return dealt.groupBy("seed").applyInPandas(run, f"seed int, node {kind}, cluster {kind}")
 
