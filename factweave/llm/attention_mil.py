@@ -6,7 +6,12 @@ times a sigmoid branch) gives each passage a weight, the weighted passage repres
 together from document labels only.
 
 The net is fitted on the driver on a bounded sample of labelled documents, PER_CLASS a class; classes weigh as in all the
-labels. A text without words is a bag of one empty passage.
+labels. Repeated labels of a doc_id count once, and a doc_id that is labelled both ways is left out; rows that share a
+labelled doc_id all take part. The sample and its order depend on nothing but the rows, so the net is the same at each run.
+
+A null or empty text, or one without words, is a bag of one empty passage and is scored like any other. Each row is scored
+by its own text, whatever its doc_id (null, or shared with other rows); further columns play no part. Without any label the
+score is that of the net at its start.
 """
 
 from __future__ import annotations
@@ -130,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Atten
         return run
 
     sample = labelled_sample(docs, labels, F.coalesce(fold("doc_id", 5), F.lit(0)) != 0, per_class).select("doc_id", "text", "quality", "weight")
-    rows = map_rows(sample, make, "doc_id long, quality int, weight double, bag binary").toPandas().sort_values("doc_id")
+    rows = map_rows(sample, make, "doc_id long, quality int, weight double, bag binary").toPandas().sort_values(["doc_id", "bag"])
     bags = [np.frombuffer(b, np.float32).reshape(-1, DIMS) for b in rows["bag"]]
     return AttentionNet().fit(bags, rows["quality"].to_numpy(float), rows["weight"].to_numpy(float))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -26,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one is set only where the session has none."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Only a local session may go without; it gets its own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_DIR, None)
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="factweave-")
         spark.conf.set(OWN_DIR, at)
     return at.rstrip("/")
@@ -46,14 +49,38 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 _written: list[str] = []
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Deletes the tables that this process has written to the shared folder, once no result that reads them is needed."""
+def drop_written(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the tables that this process has written to the shared folder after the first `since`, but for the last `keep`, once no result that reads them is needed."""
     jvm = spark.sparkContext._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    gone = _written[since : len(_written) - keep]
+    _written[since : len(_written) - keep] = []
+    for at in gone:
+        path = jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tables_written() -> int:
+    return len(_written)
+
+
+HOT_SHARE = 1000
+
+
+def join_counted(rows: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with a written table `one` of unique keys and n, how many of the rows have them.
+
+    Keys with more than 1 / HOT_SHARE of the rows, of which there are fewer than HOT_SHARE, are joined by broadcast; the
+    others are shuffled, where none is large.
+    """
+    total = one.agg(F.sum("n")).first()[0] or 0
+    hot = one.where(F.col("n") > total // HOT_SHARE + HOT_SHARE)
+    one = one.drop("n")
+    if hot.isEmpty():
+        return rows.join(one, keys)
+    few = F.broadcast(hot.drop("n"))
+    return rows.join(few, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(one, keys))
+
+
 def slices(batches: Iterable[pa.RecordBatch], text_at: int = 1) -> Iterator[pa.RecordBatch]:
     """Pieces of the batches with a bounded number of bytes of text (or a single row)."""
     for batch in batches:
@@ -148,17 +175,23 @@ def fold(column: str, parts: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
 
 
-def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
-    """About `most` rows at most, picked by a hash of the key, the same at each run; weight says how many rows each stands for."""
-    share = min(1.0, most / max(1, df.count()))
-    return df.where(F.pmod(F.xxhash64(F.lit(11), key), F.lit(1 << 30)) < int(share * (1 << 30))).withColumn("weight", F.lit(1 / share))
+def bounded_sample(df: DataFrame, key: str, group: str, most: int) -> DataFrame:
+    """About `most` rows at most of each value of group (few values), picked by a hash of the key, the same at each run; weight says how many rows each stands for."""
+    count = {r[0]: r[1] for r in df.groupBy(group).count().collect()}
+    if not count:
+        return df.withColumn("weight", F.lit(1.0))
+    share = F.create_map(*[F.lit(x) for g, n in count.items() for x in (g, min(1.0, most / n))])[F.col(group)]
+    return df.withColumn("weight", share).where(F.pmod(F.xxhash64(F.lit(11), key), F.lit(1 << 30)) < F.col("weight") * (1 << 30)).withColumn("weight", 1 / F.col("weight"))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, keep: Column, per_class: int) -> DataFrame:
-    """(doc_id, text, quality, weight) of about per_class rows at most of each class, the bounded sample that models are fitted on."""
-    chosen = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & keep).dropDuplicates(["doc_id"])
-    both = [bounded_sample(chosen.where(F.col("quality") == q), "doc_id", per_class) for q in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(both[0].unionByName(both[1])), "doc_id")
+    """(doc_id, text, quality, weight) of about per_class rows at most of each class, the bounded sample that models are fitted on.
+
+    Repeated labels count once; a doc_id with both labels counts for neither.
+    """
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & keep)
+    chosen = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most").drop("most")
+    return docs.select("doc_id", "text").join(F.broadcast(bounded_sample(chosen, "doc_id", "quality", per_class)), "doc_id")
 
 
 BITMAP_BITS = 1 << 24

@@ -5,7 +5,9 @@ binned statistics, with monotonic constraints on chosen features kept by refusin
 and by passing the middle of such a split down as a bound. The forest is flattened into numpy node arrays, and all rows
 of a batch walk down together.
 
-Null and empty texts have no words; they fail the base rules.
+Null and empty texts have no words; they fail the base rules. Repeated labels of a doc_id count once, and a doc_id that is
+labelled both ways is left out, so that the trees are the same at each run. Each row is judged by its own text, whatever
+its doc_id. Without any label all that pass the base rules are kept.
 """
 
 from __future__ import annotations
@@ -160,7 +162,7 @@ def described(docs: DataFrame, more: str = "") -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Forest:
     """Trees from labelled rows outside the fold crc32(doc_id) mod 5 = 0; classes weigh as in all the labels."""
-    rows = described(labelled_sample(docs, labels, F.coalesce(fold("doc_id", 5), F.lit(0)) != 0, per_class), "quality weight").toPandas().sort_values("doc_id")
+    rows = described(labelled_sample(docs, labels, F.coalesce(fold("doc_id", 5), F.lit(0)) != 0, per_class), "quality weight").toPandas().sort_values(["doc_id", *STATS])
     y = rows["quality"].to_numpy(float)
     return boost(features(rows[list(STATS)].to_numpy()), y, rows["weight"].to_numpy(), [s for _, s in FEATURES])
 

@@ -9,19 +9,23 @@ equal offsets, so they can only meet at triggers with equal bytes.
   touch, and each with its first place in corpus order (doc_id, position).
 * Parse: the triggers of all documents in corpus order. An occurrence that is not the first of its phrase is covered
   whole: each of its strings starts earlier, at the phrase's first place.
-* Where a trigger stands in several different phrases, the strings of these phrases' first places are brought together.
-  Suffixes count up to LENGTH bytes, so that only their classes of equal prefixes matter, not the order between classes.
-  Up to FEW phrases of a trigger are compared directly, by how far their contexts agree to the left and to the right of
-  the trigger. Triggers with more phrases have their suffixes keyed by two hashes and the first of each class is kept by
-  an aggregate, so that no task gets all phrases of a common trigger.
+* Suffix array of the dictionary: the suffixes of phrases whose trigger stands in several phrases, sorted by their bytes.
+  A phrase reaches LENGTH bytes past each string that starts in it, so that neighbours in this order that agree on
+  LENGTH bytes are one class, and what follows in the parse decides nothing but corpus order.
+* Combined: a class stands at all places of its phrases in the parse; all but the first in corpus order are covered.
+
+Suffixes are sorted where equal ones meet. Phrases of a trigger with up to FEW of them go to one task, whose share of the
+suffix array is sorted there; suffixes of triggers with more phrases are dealt and sorted by Spark, so that no task gets
+all phrases of a common trigger. Strings are compared by their bytes; phrases by 128 bits of hashes of trigger and context.
 
 Documents are read three times and never shuffled for the search: what is shuffled is the triggers' hashes, then the
-places whose trigger repeats (found through a bitmap of fixed size that lets no repeat pass unseen), then the contexts
-or suffixes of phrases that differ. Hashes have 64 bits and are compared in pairs.
+places whose trigger repeats (found through a bitmap of fixed size that lets no repeat pass unseen), then the phrases
+or suffixes that may agree in part. Keys with more than a thousandth of the rows are joined by broadcast, the others by
+shuffle.
 
 Null and empty texts have no bytes. A row without doc_id has no place in the order; it is kept whole. Rows that share a
-doc_id and a text are the same place, so neither comes earlier; both keep what only they hold. For rows that share a
-doc_id but not a text, which of them comes first at equal strings is not defined.
+doc_id and a text are the same place, so neither comes earlier; both keep what only they hold. A doc_id with several
+texts is no single place in the order; such rows are kept whole and cover nothing.
 """
 
 from __future__ import annotations
@@ -33,11 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, in_bitmap, map_rows, mix, signed, written
+from .common import bitmap_of, in_bitmap, join_counted, map_rows, mix, signed, written
 
 LENGTH, TRIGGER = 100, 40
 CHUNK = 1 << 18
 FEW = 400
+SORTED = 8192
 BITS = 1 << 26
 DOC_BITS = 1 << 24
 _TABLES = [np.random.default_rng(s).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for s in (3, 4)]
@@ -205,18 +210,34 @@ def places(docs: DataFrame, seen: np.ndarray, length: int, trigger: int) -> Data
     return map_rows(docs.where("doc_id is not null").select("doc_id", "text"), make, PLACES)
 
 
-MEETINGS = "k long, context binary, left_size int, first int, last int, h1 long, h2 long, doc_id long, at int"
+MEETINGS = "k long, context binary, left_size int, first int, last int, string binary, doc_id long, at int"
+
+
+def strings_at(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """The strings of `length` bytes at these places, as fixed-size byte strings that numpy sorts by their bytes."""
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[starts]).view(f"S{length}")[:, 0]
+
+
+def suffix_order(strings: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the strings by bytes, then corpus order; whether each in that order is at the first place of its class)."""
+    turn = np.lexsort((at, doc))
+    turn = turn[np.argsort(strings[turn], kind="stable")]
+    s, d, a = strings[turn], doc[turn], at[turn]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0)) if len(s) else np.empty(0, np.int64)
+    return turn, new | ((d == d[lead]) & (a == a[lead]))
 
 
 def meetings(docs: DataFrame, few: np.ndarray, many: np.ndarray, seen: np.ndarray, length: int, trigger: int) -> DataFrame:
-    """For places in the bitmap few: k, context, and the strings' range. For places in many: the hashes of their strings,
-    the first of each in a slice; what comes later in the slice is covered and has neither context nor hashes."""
+    """For places in the bitmap few: k, context, and the strings' range. For places in many: their strings, the first of
+    each in a slice; what comes later in the slice is covered and has neither context nor string."""
     context = docs.sparkSession.sparkContext
     few_, many_, repeats = context.broadcast(few), context.broadcast(many), context.broadcast(seen)
 
     def make():
         def run(rows):
-            out = {c: [] for c in ("k", "context", "left_size", "first", "last", "h1", "h2", "doc_id", "at")}
+            out = {c: [] for c in ("k", "context", "left_size", "first", "last", "string", "doc_id", "at")}
             docs_of = np.array(rows["doc_id"], np.int64)
             cols = []
             for x in scans(rows["text"], length, trigger):
@@ -234,22 +255,15 @@ def meetings(docs: DataFrame, few: np.ndarray, many: np.ndarray, seen: np.ndarra
                 if len(own):
                     size = x["last"][own] - x["first"][own] + 1
                     start = np.repeat(x["first"][own] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
-                    s = start - np.repeat(x["move"][own], size)
-                    cols.append((Rolling(x["data"], 0).of(s, s + length), Rolling(x["data"], 1).of(s, s + length), np.repeat(doc[own], size), start))
-            n = len(out["k"])
-            out["h1"], out["h2"] = [None] * n, [None] * n
+                    cols.append((strings_at(x["data"], start - np.repeat(x["move"][own], size), length), np.repeat(doc[own], size), start))
+            out["string"] = [None] * len(out["k"])
             if cols:
-                h1, h2, doc, at = (np.concatenate(c) for c in zip(*cols))
-                turn = np.lexsort((at, doc, h2, h1))
-                h1, h2, doc, at = (c[turn] for c in (h1, h2, doc, at))
-                new = np.ones(len(h1), bool)
-                new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-                lead = np.maximum.accumulate(np.where(new, np.arange(len(h1)), 0))
-                head = new | ((doc == doc[lead]) & (at == at[lead]))
-                for c, h in (("h1", h1), ("h2", h2)):
-                    out[c] += np.ma.masked_array(signed(h), ~head).tolist()
-                out["doc_id"] += doc.tolist()
-                out["at"] += at.tolist()
+                string, doc, at = (np.concatenate(c) for c in zip(*cols))
+                turn, head = suffix_order(string, doc, at)
+                raw = string[turn].tobytes()
+                out["string"] += [raw[i * length : (i + 1) * length] if h else None for i, h in enumerate(head.tolist())]
+                out["doc_id"] += doc[turn].tolist()
+                out["at"] += at[turn].tolist()
                 for c in ("k", "context", "left_size", "first", "last"):
                     out[c] += [None] * len(doc)
             return out
@@ -259,55 +273,47 @@ def meetings(docs: DataFrame, few: np.ndarray, many: np.ndarray, seen: np.ndarra
     return map_rows(docs.where("doc_id is not null").select("doc_id", "text"), make, MEETINGS)
 
 
-def _agreeing(rows: list[tuple], length: int) -> list[tuple[int, int, int]]:
-    """(doc_id, first, last) of covered starts among places of one trigger: (doc_id, at, context, left size, first, last)."""
-    rows.sort(key=lambda r: r[:2])
-    n = len(rows)
-    lefts, rights = np.full((n, length), 256, np.int16), np.full((n, length), 256, np.int16)
-    for i, (_, _, text, left, _, _) in enumerate(rows):
-        data = np.frombuffer(text, np.uint8)
-        lefts[i, :left] = data[:left][::-1]
-        rights[i, : len(data) - left] = data[left:]
-    lefts[lefts == 256] = -1 - np.nonzero(lefts == 256)[0]  # what lies outside a text equals nothing
-    rights[rights == 256] = -1 - np.nonzero(rights == 256)[0]
-    out = []
-    for i in range(1, n):
-        doc, at, _, _, first, last = rows[i]
-        j = i
-        while j and rows[j - 1][:2] == (doc, at):
-            j -= 1
-        if j:
-            left = np.argmin(np.append(lefts[:j] == lefts[i], np.zeros((j, 1), bool), axis=1), axis=1)
-            right = np.argmin(np.append(rights[:j] == rights[i], np.zeros((j, 1), bool), axis=1), axis=1)
-            a, b = np.maximum(at - left, first), np.minimum(at + right - length, last)
-            for x, y in {(int(x), int(y)) for x, y in zip(a, b) if x <= y}:
-                out.append((doc, x, y))
-    return out
+def agreeing(phrases: list[tuple], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_id, first, last) of covered starts among phrases (doc_id, at, context, left size, first, last), by the suffix array of their contexts."""
+    doc, at, left, first, last = (np.array([p[i] for p in phrases], np.int64) for i in (0, 1, 3, 4, 5))
+    data = np.frombuffer(b"".join([p[2] for p in phrases]), np.uint8)
+    begin = np.append(0, np.cumsum([len(p[2]) for p in phrases])[:-1])
+    size = last - first + 1
+    start = np.repeat(first - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+    doc = np.repeat(doc, size)
+    turn, head = suffix_order(strings_at(data, start + np.repeat(begin + left - at, size), length), doc, start)
+    doc, start = doc[turn[~head]], start[turn[~head]]
+    turn = np.lexsort((start, doc))
+    doc, start = doc[turn], start[turn]
+    cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1))) if len(doc) else np.empty(0, np.int64)
+    return doc[cut], start[cut], start[np.append(cut[1:], len(doc)) - 1] if len(doc) else start
 
 
 def compared(rows: DataFrame, length: int) -> DataFrame:
     """Covered starts among the few phrases of each trigger, read in a stream sorted by trigger.
 
-    Only the first place of each phrase is held. A trigger that turns out to have more than FEW phrases came through the
-    bitmap by chance; its strings are compared by hash, so it is left out here. So a task holds FEW contexts at most.
+    Only the first place of each phrase is held, and triggers are sorted together up to SORTED phrases. A trigger that
+    turns out to have more than FEW phrases came through the bitmap by chance; its strings are dealt by Spark, so it is
+    left out here. So a task holds SORTED + FEW contexts at most.
     """
-    few = FEW
+    few, most = FEW, SORTED
     schema = pa.schema([("doc_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
 
     def run(batches):
-        trigger, group = None, {}
-
-        def settled() -> list[tuple[int, int, int]]:
-            return _agreeing(list(group.values()), length) if 1 < len(group) <= few else []
+        trigger, group, held = None, {}, []
 
-        def batch_of(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], x.type) for i, x in enumerate(schema)], schema=schema)
+        def found() -> pa.RecordBatch:
+            got = agreeing(held, length) if held else [np.empty(0, np.int64)] * 3
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c).cast(x.type) for c, x in zip(got, schema)], schema=schema)
 
         for batch in batches:
-            out = []
             for k, doc, at, context, left, first, last in zip(*(c.to_pylist() for c in batch.columns)):
                 if k != trigger:
-                    out += settled()
+                    if 1 < len(group) <= few:
+                        held.extend(group.values())
+                        if len(held) >= most:
+                            yield found()
                     trigger, group = k, {}
                 phrase = (context, left, at - first, last - at)
                 mine = (doc, at, context, left, first, last)
@@ -315,8 +321,9 @@ def compared(rows: DataFrame, length: int) -> DataFrame:
                     group[phrase] = min(group[phrase], mine)
                 elif len(group) <= few:
                     group[phrase] = mine
-            yield batch_of(out)
-        yield batch_of(settled())
+        if 1 < len(group) <= few:
+            held.extend(group.values())
+        yield found()
 
     return rows.select("k", "doc_id", "at", "context", "left_size", "first", "last").repartition("k").sortWithinPartitions("k").mapInArrow(run, "doc_id long, first int, last int")
 
@@ -340,22 +347,31 @@ def covered_starts(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER
     seen = bitmap_of(again, "k", BITS)
     found = written(places(docs, seen, length, trigger), "places")
     heads = found.where("k is not null")
-    phrases = written(heads.groupBy("k", "v").agg(F.min("doc_id").alias("pd"), F.min_by("at", "doc_id").alias("pa")), "phrases")
-    later = heads.join(phrases, ["k", "v"]).where("doc_id <> pd or at <> pa").select("doc_id", "first", "last")
-    number = phrases.groupBy("k").agg(F.count("v").alias("n")).where("n > 1")
-    origin = written(phrases.join(number, "k").select(F.col("pd").alias("doc_id"), F.col("pa").alias("at"), (F.col("n") <= FEW).alias("few")), "origins")
+    phrases = written(heads.groupBy("k", "v").agg(F.min(F.struct("doc_id", "at")).alias("p"), F.count("at").alias("n")).select("k", "v", "p.*", "n"), "phrases")
+    first = phrases.select("k", "v", F.col("doc_id").alias("pd"), F.col("at").alias("pa"), "n").where("n > 1")
+    later = join_counted(heads, first, ["k", "v"]).where("doc_id <> pd or at <> pa").select("doc_id", "first", "last")
+    number = phrases.groupBy("k").agg(F.count("v").alias("number")).where("number > 1")
+    origin = written(phrases.join(number, "k").select("doc_id", "at", (F.col("number") <= FEW).alias("few")), "origins")
     met = written(meetings(docs, _bitmap_of_places(origin.where("few")), _bitmap_of_places(origin.where("not few")), seen, length, trigger), "meetings")
     near = compared(met.where("k is not null"), length)
-    strings = met.where("k is null").select("h1", "h2", "doc_id", F.col("at").alias("first"), F.col("at").alias("last"))
-    classes = strings.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("pd"), F.min_by("first", "doc_id").alias("pa"), F.max("doc_id").alias("qd"), F.max_by("first", "doc_id").alias("qa")).where("pd < qd or pa < qa").select("h1", "h2", "pd", "pa")
-    single = strings.join(classes, ["h1", "h2"]).where("doc_id <> pd or first <> pa").select("doc_id", "first", "last")
-    inside = strings.where("h1 is null").select("doc_id", "first", "last")
+    strings = met.where("k is null").select("string", "doc_id", F.col("at").alias("first"), F.col("at").alias("last"))
+    classes = strings.where("string is not null").groupBy("string").agg(F.min(F.struct("doc_id", "first")).alias("p"), F.max(F.struct("doc_id", "first")).alias("q"), F.count("first").alias("n")).where("p < q")
+    classes = written(classes.select("string", F.col("p.doc_id").alias("pd"), F.col("p.first").alias("pa"), "n"), "classes")
+    single = join_counted(strings, classes, ["string"]).where("doc_id <> pd or first <> pa").select("doc_id", "first", "last")
+    inside = strings.where("string is null").select("doc_id", "first", "last")
     return found.where("k is null").select("doc_id", "first", "last").unionByName(later).unionByName(near).unionByName(single).unionByName(inside)
 
 
+def single_texts(docs: DataFrame) -> DataFrame:
+    """docs without the ids that have several texts."""
+    texts = F.struct(F.xxhash64("text"), F.length("text"))
+    several = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(texts).alias("lo"), F.max(texts).alias("hi")).where("lo <> hi").select("doc_id"), "several")
+    return docs if several.isEmpty() else docs.join(several, "doc_id", "left_anti")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, keep_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, kept (the remaining bytes) and spans of every document."""
-    ranges = covered_starts(docs, length, trigger).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("starts"))
+    ranges = covered_starts(single_texts(docs.select("doc_id", "text")), length, trigger).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("starts"))
     ranges = written(ranges.select("doc_id", F.col("starts.first").alias("a"), F.col("starts.last").alias("b")), "ranges")
     # Only documents that may lose bytes (by a bitmap of fixed size) are shuffled to meet their ranges.
     hit = docs.sparkSession.sparkContext.broadcast(_bitmap_of_places(ranges.select("doc_id", F.lit(0).alias("at")), DOC_BITS))
