@@ -1,18 +1,19 @@
 """SentencePiece BPE encoding by vectorised merge rounds, and decoding.
 
-The symbols of all words that are still open lie in one flat numpy array. A round looks up the rank of each
-neighbouring pair, takes the segmented minimum (leftmost on ties) of each word, merges these pairs all at once and
-compacts the array; words in which no pair is left leave it. A word is what starts at a run of word marks: no piece of
-the vocabulary continues past a mark, so merges never cross words. Words longer than LONG symbols, where a merge a
-round would cost the square of the length, go through a heap with the same order of merges.
-
-Null and empty texts have no tokens but begin and end.
+The symbols of all words that are still open lie in flat numpy arrays, each linked to its neighbours. A round takes the
+segmented minimum of the pair ranks of each word and merges all places of that rank at once, from the left and without
+overlaps; then only the pairs beside new symbols get new ranks. Where a merge makes a pair of the same or a better rank, the
+one-at-a-time order would take that pair first, so the word's merges of this round end there. Ids are thus those of the
+library. The arrays are compacted as symbols go, until no pair remains. A word is what starts at a run of word marks: no
+piece of the vocabulary continues past a mark, so merges never cross words. Words of any length go the same way.
+
+Null and empty texts have no tokens but begin and end. Each row is encoded by itself, whatever its doc_id; further columns
+play no part.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 import struct
 from functools import lru_cache
@@ -23,7 +24,6 @@ from pyspark.sql import DataFrame
 from .common import map_rows
 
 MARK = "▁"
-LONG = 256
 KEEP = 150_000
 NO_RANK = np.int64(1 << 30)
 
@@ -94,72 +94,90 @@ class PieceModel:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces go past word marks; words can't be encoded by themselves")
 
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, merged symbol) of pairs of symbols; NO_RANK for pairs that don't merge."""
+        key = left * self.width + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NO_RANK), self.made[at]
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each word by merge rounds."""
-        out: list[list[int]] = [[] for _ in words]
-        chosen = []
-        for k, w in enumerate(words):
-            if len(w) > LONG:
-                out[k] = self._spell(w, self._by_heap([self.ids.get(c, self.none) for c in w]))
-            else:
-                chosen.append(k)
-        if not chosen:
-            return out
-        size = np.array([len(words[k]) for k in chosen], np.int64)
         get, none = self.ids.get, self.none
-        sym = np.array([get(c, none) for k in chosen for c in words[k]], np.int64)
-        seg = np.repeat(np.arange(len(chosen)), size)
+        sym = np.array([get(c, none) for w in words for c in w], np.int64)
+        seg = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        rank, made = np.full(len(sym), NO_RANK), np.zeros(len(sym), np.int64)
+        if len(sym):
+            inner = np.flatnonzero(seg[:-1] == seg[1:])
+            rank[inner], made[inner] = self._pairs(sym[inner], sym[inner + 1])
         done_sym, done_seg = [], []
         while len(sym):
-            key = sym[:-1] * self.width + sym[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = (self.keys[at] == key) & (seg[:-1] == seg[1:])
-            rank = np.append(np.where(hit, self.ranks[at], NO_RANK), NO_RANK)
+            # Compacted: symbols of open words only, side by side; n stands for no neighbour.
+            n = len(sym)
             starts = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
-            best = np.minimum.reduceat(rank << 32 | np.arange(len(sym)), starts)
-            open_ = best >> 32 < NO_RANK
-            where = best[open_] & 0xFFFFFFFF
-            sym[where] = self.made[at[where]]
-            stay = np.ones(len(sym), bool)
-            stay[where + 1] = False
-            alive = np.repeat(open_, np.diff(np.append(starts, len(sym))))
+            size = np.diff(np.append(starts, n))
+            low = np.minimum.reduceat(rank, starts)
+            alive = np.repeat(low < NO_RANK, size)
             done_sym.append(sym[~alive])
             done_seg.append(seg[~alive])
-            sym, seg = sym[stay & alive], seg[stay & alive]
-        sym, seg = np.concatenate(done_sym), np.concatenate(done_seg)
+            sym, seg, rank, made = sym[alive], seg[alive], rank[alive], made[alive]
+            n = len(sym)
+            if not n:
+                break
+            starts = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
+            size = np.diff(np.append(starts, n))
+            after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+            after[starts[1:] - 1], before[starts] = n, n
+            after, before, sym = np.append(after, n), np.append(before, n), np.append(sym, none)
+            live = np.ones(n, bool)
+            left = n
+            while left > n // 2:
+                low = np.minimum.reduceat(rank, starts)
+                if not (low < NO_RANK).any():
+                    break
+                at = np.flatnonzero(rank == np.repeat(np.where(low < NO_RANK, low, -1), size))
+                at = self._commuting(at, sym, seg, rank, made, after, before)
+                gone = after[at]
+                sym[at] = made[at]
+                live[gone], rank[gone] = False, NO_RANK
+                after[at] = after[gone]
+                follow = after[at] < n
+                before[after[at[follow]]] = at[follow]
+                rank[at[~follow]] = NO_RANK
+                fresh = np.unique(np.append(at[follow], before[at][before[at] < n]))
+                rank[fresh], made[fresh] = self._pairs(sym[fresh], sym[after[fresh]])
+                left -= len(at)
+            sym, seg, rank, made = sym[:n][live], seg[live], rank[live], made[live]
+        sym, seg = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (done_sym, done_seg))
         turn = np.argsort(seg, kind="stable")
         sym, seg = sym[turn], seg[turn]
-        ends = np.cumsum(np.bincount(seg, minlength=len(chosen)))
+        ends = np.cumsum(np.bincount(seg, minlength=len(words)))
         odd = set(seg[sym == none].tolist())
         flat = sym.tolist()
-        begin = 0
-        for j, (k, end) in enumerate(zip(chosen, ends.tolist())):
-            out[k] = self._spell(words[k], flat[begin:end]) if j in odd else flat[begin:end]
+        out, begin = [], 0
+        for k, end in enumerate(ends.tolist()[: len(words)]):
+            out.append(self._spell(words[k], flat[begin:end]) if k in odd else flat[begin:end])
             begin = end
         return out
 
-    def _by_heap(self, sym: list[int]) -> list[int]:
-        n = len(sym)
-        prev, after, live = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def offer(a: int, b: int) -> None:
-            if a >= 0 and b < n and (m := self.merges.get((sym[a], sym[b]))):
-                heapq.heappush(heap, (m[0], a, b, sym[a], sym[b]))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
-        while heap:
-            _, a, b, x, y = heapq.heappop(heap)
-            if not (live[a] and live[b]) or sym[a] != x or sym[b] != y or after[a] != b:
-                continue
-            sym[a], live[b] = self.merges[x, y][1], False
-            after[a] = after[b]
-            if after[b] < n:
-                prev[after[b]] = a
-            offer(prev[a], a)
-            offer(a, after[a])
-        return [s for s, ok in zip(sym, live) if ok]
+    def _commuting(self, at: np.ndarray, sym: np.ndarray, seg: np.ndarray, rank: np.ndarray, made: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The places of least rank that merge in this round: from the left without overlaps, up to the first whose merge makes a pair that comes no later."""
+        if len(at) > 1 and (overlap := after[at[:-1]] == at[1:]).any():
+            run = np.flatnonzero(np.append(True, ~overlap))
+            nth = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
+            at = at[nth % 2 == 0]
+        word = seg[at]
+        head = np.append(True, word[1:] != word[:-1])
+        if head.all():
+            return at
+        first = np.repeat(np.flatnonzero(head), np.diff(np.append(np.flatnonzero(head), len(at))))
+        beside = before[at]
+        lefts = sym[beside]
+        merged = np.append(False, after[at[:-1]] == beside[1:]) & (beside < len(seg))
+        lefts[merged] = made[at[np.flatnonzero(merged) - 1]]
+        rights = sym[after[after[at]]]
+        better = (self._pairs(lefts, made[at])[0] <= rank[at]) | (self._pairs(made[at], rights)[0] <= rank[at])
+        stopped = np.cumsum(better) - better
+        return at[stopped == stopped[first]]
 
     def _spell(self, word: str, symbols: list[int]) -> list[int]:
         """Characters that are in no piece become their bytes."""
