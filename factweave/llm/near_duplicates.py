@@ -5,9 +5,11 @@
 2. Each set has ROWS * BANDS minimum hashes. Documents that agree on a whole band are candidates.
 3. First each document is compared with the smallest doc_id of each of its buckets, which costs at most BANDS pairs a
    document. Links found join components.
-4. Buckets that still hold more than one component are compared in tiles of BLOCK members, so that no task gets a
-   whole bucket. In a tile, pairs of one component are left out, and a pair counts only in the first band it shares.
-   A tile gives a spanning forest of the links it found, never all of them.
+4. In buckets that still hold more than one component, members outside the bucket's largest component are compared with
+   all others, in tiles of BLOCK by BLOCK members, so that no task gets a whole bucket. Members of the largest component
+   never meet each other, so a few strays in a bucket of many copies cost no more than one copy of each member. In a tile,
+   pairs of one component are left out, and a pair counts only in the first band it shares. A tile gives a spanning
+   forest of the links it found, never all of them.
 5. A candidate pair is verified in sequence: the signatures are compared BATCH values at a time, and the pair is pruned
    as soon as the posterior probability of reaching the threshold, from a uniform prior, is below MISS. Pairs that
    survive are compared exactly, on their full sets.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import WordHashes, map_rows, mix, odd_constants, signed, slices, window_hashes, words_of, written
+from .common import WordHashes, join_counted, map_rows, mix, odd_constants, signed, slices, window_hashes, words_of, written
 
 ROWS, BANDS, BATCH, BLOCK, MISS = 4, 28, 16, 512, 1e-6
 SALTS = 32
@@ -167,13 +169,25 @@ def hub_links(pairs: DataFrame, load: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, LINKS)
 
 
+def tiles(members: DataFrame) -> DataFrame:
+    """key, i, j, own, doc_id, comp: the tiles (i <= j) of each member; members has key, doc_id, comp.
+
+    The blocks of a bucket are those of all but its largest component, then, from `few` on, those of the largest. Tiles
+    pair a block of the former with any block.
+    """
+    of = members.groupBy("key", "comp").agg(F.count("doc_id").alias("n"))
+    top = of.groupBy("key").agg(F.max(F.struct("n", F.col("comp"))).alias("top"), F.sum("n").alias("all")).select("key", F.col("top.comp").alias("major"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("rest"))
+    stray = F.col("comp") != F.col("major")
+    place = F.xxhash64("doc_id")
+    own = F.when(stray, F.pmod(place, F.col("few").cast("long"))).otherwise(F.col("few") + F.pmod(place, F.col("rest").cast("long"))).cast("int")
+    last = F.when(stray, F.col("few") + F.col("rest") - 1).otherwise(F.col("few") - 1)
+    dealt = members.join(top, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "comp")
+
+
 def tile_links(members: DataFrame, load: DataFrame, percent: int) -> DataFrame:
-    """Links between different components within buckets; members has key, doc_id, comp and n (the bucket's size)."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int")
-    other = F.explode(F.expr("sequence(0, blocks - 1)"))
-    dealt = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "comp").join(load, "doc_id").select("key", "i", "j", "own", "doc_id", "comp", "sig", "items")
+    """Links between different components within buckets; members has key, doc_id and comp."""
+    dealt = tiles(members).join(load, "doc_id").select("key", "i", "j", "own", "doc_id", "comp", "sig", "items")
     least = least_matches(percent / 100)
     schema = to_arrow_schema(LINKS)
 
@@ -219,21 +233,20 @@ def components(links: DataFrame) -> DataFrame:
     """doc_id, comp (the smallest id reachable) of all ids in links (a, b).
 
     Rounds of large-star and small-star moves; each is written to the shared folder, and the work ends when a round
-    changes nothing. Stars get short fast, so the rounds grow with the logarithm of the longest chain.
+    gives the links of the one before, which an anti join tells. Stars get short fast, so the rounds grow with the logarithm of the longest chain.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = None
-    while True:
+    n = edges.count()
+    while n:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = written(small, "links")
-        now = edges.agg(F.count("u"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == before:
+        before, most, edges = edges, n, written(small, "links")
+        n = edges.count()
+        if n == most and edges.join(before, ["u", "v"], "left_anti").isEmpty():
             break
-        before = now
     return edges.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "doc_id")
 
 
@@ -241,24 +254,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """doc_id, n_shingles, component_id, kept of every document; component_id is the smallest doc_id reachable by links."""
     told = written(described(docs, width), "sets")
     filled = told.where("doc_id is not null and n_shingles > 0")
-    classes = written(filled.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    keys = filled.join(classes, ["f1", "f2"]).where("doc_id = rep").select("doc_id", F.explode("bands").alias("key"))
+    least = F.min(F.struct("doc_id", "bands"))
+    classes = written(filled.groupBy("f1", "f2").agg(least.alias("r"), F.count("doc_id").alias("n")).select("f1", "f2", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands"), "n"), "classes")
+    keys = classes.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("key")).distinct()
     buckets = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("most"), F.count("key").alias("n")).where("hub < most")
-    members = written(keys.join(buckets, "key").select("key", "doc_id", "hub", "n"), "buckets")
+    members = written(join_counted(keys, written(buckets.select("key", "hub", "n"), "hubs"), ["key"]).select("key", "doc_id", "hub"), "buckets")
     load = written(payloads(docs, members.select("doc_id").distinct(), width), "payloads")
     first = written(hub_links(members.where("doc_id <> hub").select("hub", "doc_id").distinct(), load, percent), "links")
     comp = components(first)
-    labelled = members.select("key", "doc_id", "n").join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    labelled = members.select("key", "doc_id").join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     second = tile_links(labelled.join(mixed, "key"), load, percent)
     # Rows of one id with several sets belong together. Copies need no links: they take the component of their class.
     several = filled.groupBy("doc_id").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo < hi").select("doc_id")
     same_id = filled.join(several, "doc_id", "left_semi").join(classes, ["f1", "f2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     whole = components(first.unionByName(written(second, "links")).unionByName(same_id)).withColumnRenamed("doc_id", "rep")
-    own = told.where("doc_id is not null and n_shingles > 0").join(classes, ["f1", "f2"]).select("doc_id", "n_shingles", "rep")
-    bare = told.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"))
-    labelled = own.join(whole, "rep", "left").unionByName(bare.withColumn("comp", F.lit(None).cast("long"))).withColumn("component_id", F.coalesce("comp", "rep"))
-    return labelled.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    homes = written(classes.select("f1", "f2", "rep", "n").join(whole, "rep", "left").select("f1", "f2", F.coalesce("comp", "rep").alias("component_id"), "n"), "homes")
+    own = join_counted(filled.select("doc_id", "n_shingles", "f1", "f2"), homes, ["f1", "f2"]).select("doc_id", "n_shingles", "component_id")
+    bare = told.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return own.unionByName(bare).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def op10(spark, sf_dir) -> DataFrame:

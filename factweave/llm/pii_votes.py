@@ -11,13 +11,16 @@ Base spans are what the four fixed rules give. They work left to right without o
 fails its test is dropped and not tried again.
 
 Null and empty texts have no spans. Spans are in code points, the end exclusive. A proposal that overlaps a base span is
-left out; base spans of different kinds may overlap, and redaction joins those that do.
+left out; base spans of different kinds may overlap, and redaction joins those that do. Each row is read by itself, whatever
+its doc_id; repeated rows count as often as they are there. Time is linear in a text but for the sorting of its spans.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -100,8 +103,15 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def proposed_spans(text: str) -> list[tuple[str, int, int]]:
-    return [(kind, *m.span()) for kind, p in PROPOSE.items() for m in p.finditer(text)]
+def proposed_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of proposals that overlap no base span."""
+    got = [(kind, *m.span()) for kind, p in PROPOSE.items() for m in p.finditer(text)]
+    if not got or not base:
+        return got
+    starts, ends = zip(*sorted(s[1:] for s in base))
+    reach = [0, *accumulate(ends, max)]
+    # Of the base spans that start before a proposal ends, the one that reaches farthest decides.
+    return [s for s in got if reach[bisect_left(starts, s[2])] <= s[1]]
 
 
 def _entropy(s: str) -> float:
@@ -176,8 +186,7 @@ def proposals(docs: DataFrame) -> DataFrame:
                     out[f"n_{kind}"].append(sum(k == kind for k, _, _ in base))
                 out["base_sha256"].append(digest(base))
                 found = []
-                more = [s for s in proposed_spans(text) if not any(s[1] < b and a < s[2] for _, a, b in base)]
-                for own, spans in ((True, base), (False, more)):
+                for own, spans in ((True, base), (False, proposed_spans(text, base))):
                     for kind, a, b in spans:
                         v = sum((x + 1) * 3**k for k, x in enumerate(votes(kind, text, a, b)))
                         f = sum(x * 4**k for k, x in enumerate(features(kind, text, a, b)))
@@ -223,19 +232,23 @@ def _design(kind: np.ndarray, feats: np.ndarray) -> np.ndarray:
 
 def train(spans: DataFrame) -> np.ndarray:
     """Weights of the span classifier. Only counts by (kind, votes, features) come to the driver; their number has a bound."""
-    got = spans.groupBy("kind", "votes", "feats").count().toPandas()
-    if got.empty:
-        return np.zeros(len(KINDS) + 4 * FEATURES)
-    got = got.sort_values(["kind", "votes", "feats"])
-    kind, n = got["kind"].to_numpy(), got["count"].to_numpy(float)
-    vote = np.stack([got["votes"].to_numpy() // 3**k % 3 - 1 for k in range(len(LABELERS))], axis=1)
+    got = spans.groupBy("kind", "votes", "feats").count().toPandas().sort_values(["kind", "votes", "feats"])
+    return classifier(*(got[c].to_numpy() for c in ("kind", "votes", "feats", "count")))
+
+
+def classifier(kind: np.ndarray, packed: np.ndarray, feats: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Weights of a ridge logistic regression on the posteriors of counted (kind, votes, features)."""
+    w = np.zeros(len(KINDS) + 4 * FEATURES)
+    if not len(n):
+        return w
+    n = n.astype(float)
+    vote = np.stack([packed // 3**k % 3 - 1 for k in range(len(LABELERS))], axis=1)
     post, _, _ = reliabilities(kind, vote, n)
-    x, w = _design(kind, got["feats"].to_numpy()), np.zeros(len(KINDS) + 4 * FEATURES)
-    n = n / n.sum()
-    for _ in range(25):  # Newton steps of ridge logistic regression
+    x, n = _design(kind, feats), n / n.sum()
+    for _ in range(25):  # Newton steps
         p = 1 / (1 + np.exp(-x @ w))
         grad = x.T @ (n * (p - post)) + 1e-4 * w
-        w -= np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(len(w)), grad)
+        w = w - np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(len(w)), grad)
     return w
 
 
@@ -262,7 +275,7 @@ def detect(docs: DataFrame, keep: float = 0.5) -> DataFrame:
 def accepted_spans(text: str, weights: np.ndarray, keep: float = 0.5) -> list[tuple[str, int, int]]:
     """Base spans and the proposals that the classifier accepts."""
     base = base_spans(text)
-    more = [s for s in proposed_spans(text) if not any(s[1] < b and a < s[2] for _, a, b in base)]
+    more = proposed_spans(text, base)
     if more:
         packed = np.array([sum(x * 4**k for k, x in enumerate(features(*s[:1], text, *s[1:]))) for s in more])
         score = _design(np.array([KINDS.index(k) for k, _, _ in more]), packed) @ weights
