@@ -218,10 +218,18 @@ def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 MOST_IDS = 1_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not among ids; rows without doc_id stay. The ids are broadcast only if they are few."""
-    ids = written(ids.select("doc_id").distinct(), "ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not among those gone; rows without key stay. The keys are broadcast only if they are few."""
+    gone = written(gone.select(key).distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= MOST_IDS else gone, key, "left_anti").select(*docs.columns)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list], np.ndarray]]) -> DataFrame:

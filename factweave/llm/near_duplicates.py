@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import WordHashes, join_counted, map_rows, mix, odd_constants, signed, slices, window_hashes, words_of, written
+from .common import WordHashes, free_name, join_counted, map_rows, mix, odd_constants, signed, slices, window_hashes, without, words_of, written
 
 ROWS, BANDS, BATCH, BLOCK, MISS = 4, 28, 16, 512, 1e-6
 SALTS = 32
@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     filled = told.where("doc_id is not null and n_shingles > 0")
     least = F.min(F.struct("doc_id", "bands"))
     classes = written(filled.groupBy("f1", "f2").agg(least.alias("r"), F.count("doc_id").alias("n")).select("f1", "f2", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands"), "n"), "classes")
-    keys = classes.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("key")).distinct()
+    keys = classes.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("most"), F.count("key").alias("n")).where("hub < most")
     members = written(join_counted(keys, written(buckets.select("key", "hub", "n"), "hubs"), ["key"]).select("key", "doc_id", "hub"), "buckets")
     load = written(payloads(docs, members.select("doc_id").distinct(), width), "payloads")
@@ -275,5 +275,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return own.unionByName(bare).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs but for near duplicates: of each class the row with the least doc_id stays (null last, then the first in the table).
+
+    Rows count by themselves, so that repeated rows, rows that share a doc_id and rows without one are compared like any others.
+    """
+    row = free_name(docs, "row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), width, percent)
+    later = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias(row), "component_id"), "later")
+    members = later.unionByName(later.select(F.col("component_id").alias(row), "component_id").distinct()).join(rows.select(row, "doc_id"), row)
+    stays = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), F.col("doc_id"), F.col(row).alias("at"))).alias("m")).select("component_id", "m.at")
+    return without(rows, members.join(stays, "component_id").where(F.col(row) != F.col("at")), row).select(*docs.columns)
+
+
 def op10(spark, sf_dir) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, percent=80)
