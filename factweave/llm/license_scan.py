@@ -10,7 +10,9 @@ window holds LEAST of its distinct shingles, compared as strings.
 Two exact shortcuts leave out only what cannot match: a text without any anchor word of a template lacks more than
 1 - LEAST of its shingles, and a window without any template shingle agrees on no band.
 
-Null and empty texts match nothing. Rows that share a doc_id count as one document.
+Null and empty texts match nothing. Rows that share a doc_id count as one document; each row without doc_id counts for
+itself and appears with a null id. The templates are a parameter; read_templates() reads a folder of them. Notices that
+share most of their words may both match the same place; containment tells which fits better.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 import re
 from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WIDTH, BANDS, LEAST = 5, 48, 0.8
@@ -53,9 +55,26 @@ TEMPLATES = {
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.
         If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
     "Unlicense": "This is free and unencumbered software released into the public domain",
+    "BSD-3-Clause": """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived
+        from this software without specific prior written permission.""",
+    "LGPL-header": """under the terms of the GNU Lesser General Public License as published by the Free Software Foundation""",
+    "AGPL-3.0-header": """under the terms of the GNU Affero General Public License as published by the Free Software Foundation""",
+    "EPL-2.0": """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0
+        which is available at https://www.eclipse.org/legal/epl-2.0/""",
+    "CC0-1.0": """To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software
+        to the public domain worldwide. This software is distributed without any warranty.""",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+        for any damages arising from the use of this software.""",
 }
 
 
+def read_templates(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Templates from the text files of a folder, each named by its license."""
+    rows = spark.read.text(folder, wholetext=True).select("_metadata.file_name", "value").collect()
+    return {r["file_name"].rsplit(".", 1)[0]: r["value"] for r in rows}
+
+
 def miss_probability(similarity: float, bands: int = BANDS) -> float:
     return (1 - similarity) ** bands
 
@@ -108,9 +127,15 @@ def _signature(hashes: Column) -> Column:
 
 
 def _spots(size: int, long: int, step: int, before: int) -> Column:
-    """The windows of a class that hold one of the places."""
+    """The windows of a class that hold one of the places, each with its own words and shingle hashes, so that no window carries the whole text."""
     numbers = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(F.greatest(F.floor(p / step) - before + 1, F.lit(0)), F.floor(p / step)))))
-    return F.transform(numbers, lambda w: F.struct(F.lit(size).alias("size"), (w * step).cast("int").alias("start"), F.lit(long).alias("long")))
+
+    def window(w: Column) -> Column:
+        start = (w * step).cast("int")
+        words, h = F.slice("words", start + 1, F.lit(long + WIDTH - 1)), F.slice("h", start + 1, F.lit(long))
+        return F.struct(F.lit(size).alias("size"), start.alias("start"), words.alias("words"), h.alias("h"))
+
+    return F.transform(numbers, window)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
@@ -131,8 +156,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     hinted = F.lit(False)
     for word in anchors(templates):
         hinted = hinted | lower.contains(word)
-    cut = docs.select("doc_id", "text").where(F.coalesce(hinted, F.lit(False))).select("doc_id", _once(_words(F.col("text"))).alias("words"))
-    cut = cut.select("doc_id", "words", _once(F.transform(_shingles(F.col("words")), lambda s: F.xxhash64(s))).alias("h"))
+    alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("row")
+    cut = docs.select("doc_id", "text").where(F.coalesce(hinted, F.lit(False))).select("doc_id", alone, _once(_words(F.col("text"))).alias("words"))
+    cut = cut.select("doc_id", "row", "words", _once(F.transform(_shingles(F.col("words")), lambda s: F.xxhash64(s))).alias("h"))
     places = F.filter(F.transform("h", lambda x, i: F.when(x.isin(hashes), i)), lambda i: i.isNotNull())
     cut = cut.withColumn("places", _once(places)).where(F.size("places") > 0)
     spots = []
@@ -141,13 +167,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
         spots.append(_spots(size, long, step, -(-long // step)))
     if not spots:
         return cut.select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("first_word"), F.lit(0).cast("long").alias("n_windows")).where("false")
-    placed = cut.select("doc_id", "words", "h", F.explode(F.concat(*spots)).alias("w")).select("doc_id", "words", "h", "w.*")
-    windows = placed.select("doc_id", "size", "start", F.slice("words", F.col("start") + 1, F.col("long") + WIDTH - 1).alias("words"), F.slice("h", F.col("start") + 1, F.col("long")).alias("h"))
-    banded = windows.where(F.size("h") > 0).select("doc_id", "size", "start", "words", F.explode(_signature(F.col("h"))).alias("b")).select("doc_id", "size", "start", "words", "b.*")
+    windows = cut.select("doc_id", "row", F.explode(F.concat(*spots)).alias("w")).select("doc_id", "row", "w.*").where(F.size("h") > 0)
+    banded = windows.select("doc_id", "row", "size", "start", "words", F.explode(_signature(F.col("h"))).alias("b")).select("doc_id", "row", "size", "start", "words", "b.*")
     found = banded.join(keys, ["size", "band", "low"])
     share = F.size(F.array_intersect("shingles", _shingles(F.col("words")))) / F.col("n")
-    checked = found.select("doc_id", "license", "start", share.alias("containment")).where(F.col("containment") >= LEAST)
-    return checked.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.min("start").alias("first_word"), F.count_distinct("start").alias("n_windows"))
+    checked = found.select("doc_id", "row", "license", "start", share.alias("containment")).where(F.col("containment") >= LEAST)
+    got = checked.groupBy("doc_id", "row", "license").agg(F.max("containment").alias("containment"), F.min("start").alias("first_word"), F.count_distinct("start").alias("n_windows"))
+    return got.drop("row")
 
 
 def op3(spark, sf_dir) -> DataFrame:

@@ -7,8 +7,14 @@ implies the same at least as surely. URLs that no host rule fits are matched thr
 listed under its rarest token only, and its other tokens are checked in the row. The surest rule wins, then the one with
 most support; a URL without any is allowed.
 
-Null URLs and URLs without `://` have an empty host and path, and are allowed. Rules are joined by distinct URL, so that
-repeated rows cost nothing.
+Support and confidence are counted over distinct URLs: a URL is one label, however many rows have it. Tokens that stand in
+the same labelled URLs (equal counts and equal sums of two 64-bit hashes of these) are one token in mining, so that a
+template with many fixed parts does not multiply combinations; a rule's token fits where any of its equals stands. That
+gives the rules of all combinations. Tokens of which one implies the other, but not the reverse, still combine.
+
+Null URLs and URLs without `://` have an empty host and path, and are allowed. Of rules of the same confidence and support,
+one that blocks wins. Rows are judged one by one with the rules broadcast (shuffled beyond MOST_BROADCAST), so repeated
+rows and a URL that holds a third of them need no task of their own.
 """
 
 from __future__ import annotations
@@ -17,6 +23,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 SUPPORT, CONFIDENCE = 0.01, 0.8
 MOST_BROADCAST = 50_000
 # (verdict, host, path)
@@ -56,6 +64,27 @@ def tokens(url: Column, h: Column, p: Column) -> Column:
     return F.array_distinct(F.concat(mark("h:", F.split(h, r"\.")), mark("s:", F.split(p, "/")), mark("x:", F.array(ending)), mark("q:", keys)))
 
 
+def equal_tokens(labelled: DataFrame, support: float) -> dict[str, str]:
+    """Each token of enough labelled URLs (distinct url, tokens) to the least of those that stand in the same URLs.
+
+    There are at most 1 / support times as many as a URL has tokens on average, so they may come to the driver.
+    """
+    least = labelled.count() * support
+    seen = labelled.select(F.explode("tokens").alias("token"), F.xxhash64("url").alias("a"), F.xxhash64(F.lit(1), "url").alias("b"))
+    often = seen.groupBy("token").agg(F.count("token").alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b")).where(F.col("n") >= least)
+    same = often.groupBy("n", "a", "b").agg(F.min("token").alias("first"), F.collect_list("token").alias("tokens"))
+    return {t: r["first"] for r in same.select("first", "tokens").collect() for t in r["tokens"]}
+
+
+def merged(tokens: Column, equal: dict[str, str], only: bool = False) -> Column:
+    """Tokens as the first of their equals; only: without those that are too rare for any rule."""
+    if not equal:
+        return F.array().cast("array<string>") if only else tokens
+    first = F.create_map(*[F.lit(x) for pair in sorted(equal.items()) for x in pair])
+    got = F.transform(tokens, lambda t: first[t] if only else F.coalesce(first[t], t))
+    return F.array_distinct(F.filter(got, lambda t: t.isNotNull()))
+
+
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(items, verdict, confidence, support) of the rules kept, from rows (tokens, verdict)."""
     baskets = labelled.select(F.concat(F.filter("tokens", lambda x: ~x.startswith("=")), F.array(F.concat(F.lit("="), F.col("verdict")))).alias("items"))
@@ -69,24 +98,36 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     return rules.join(beaten, ["items", "verdict"], "left_anti")
 
 
+def inverted(rules: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The rules, each listed under the one of its tokens that the fewest labelled URLs have."""
+    often = labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("token").alias("often"))
+    by_token = rules.select("items", "verdict", "confidence", "support", F.explode("items").alias("token")).join(often, "token")
+    return by_token.groupBy("items", "verdict", "confidence", "support").agg(F.min(F.struct("often", "token")).alias("r")).select("items", "verdict", "confidence", "support", F.col("r.token").alias("token"))
+
+
 def judge(pages: DataFrame, rules=RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
     h, p = host(F.col("url")), path(F.col("url"))
     base = pages.select("page_id", "url").withColumns({"host": h, "path": p})
     rule, verdict = host_rule(F.col("host"), F.col("path"), rules)
     base = base.withColumns({"rule": rule, "ruled": verdict})
-    urls = base.where("url is not null").select("url", "host", "path", "ruled").distinct().withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path")))
-    mined = mine(urls.where("ruled is not null").select("tokens", F.col("ruled").alias("verdict")), support, confidence)
-    # How often a token is in the labels tells which token of a rule is rarest.
-    often = urls.where("ruled is not null").select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("token").alias("often"))
-    by_token = mined.select("items", "verdict", "confidence", "support", F.explode("items").alias("token")).join(often, "token")
-    index = by_token.groupBy("items", "verdict", "confidence", "support").agg(F.min(F.struct("often", "token")).alias("r")).select("items", "verdict", "confidence", "support", F.col("r.token").alias("token")).persist()
-    if index.count() <= MOST_BROADCAST:
-        index = F.broadcast(index)
-    open_ = urls.where("ruled is null").select("url", "tokens", F.explode("tokens").alias("token"))
-    hits = open_.join(index, "token").where(F.size(F.array_except("items", "tokens")) == 0)
-    best = hits.groupBy("url").agg(F.max(F.struct("confidence", "support", "verdict")).alias("m")).select("url", F.col("m.verdict").alias("mined"))
-    return base.join(best, "url", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", "mined", F.lit("allow")).alias("verdict"))
+    urls = base.where("url is not null and ruled is not null").select("url", "host", "path", F.col("ruled").alias("verdict")).distinct()
+    labelled = written(urls.select("url", "verdict", tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens")), "labelled")
+    equal = equal_tokens(labelled, support)
+    labelled = labelled.withColumn("tokens", merged(F.col("tokens"), equal, only=True))
+    index = written(inverted(mine(labelled, support, confidence), labelled), "rules")
+    n_rules = index.count()
+    settled = base.where("ruled is not null or url is null")
+    open_ = base.where("ruled is null and url is not null")
+    done = settled.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"))
+    if not n_rules:
+        return done.unionByName(open_.select("page_id", "host", "path", "rule", F.lit("allow").alias("verdict")))
+    each = open_.select(F.monotonically_increasing_id().alias("row"), "page_id", "host", "path", "rule", merged(tokens(F.col("url"), F.col("host"), F.col("path")), equal).alias("tokens"))
+    each = each.select("row", "page_id", "host", "path", "rule", "tokens", F.explode_outer("tokens").alias("token"))
+    hits = each.join(F.broadcast(index) if n_rules <= MOST_BROADCAST else index, "token", "left")
+    fits = F.col("items").isNotNull() & (F.size(F.array_except("items", "tokens")) == 0)
+    best = hits.groupBy("row", "page_id", "host", "path", "rule").agg(F.max(F.when(fits, F.struct("confidence", "support", "verdict"))).alias("m"))
+    return done.unionByName(best.select("page_id", "host", "path", "rule", F.coalesce("m.verdict", F.lit("allow")).alias("verdict")))
 
 
 def op5(spark, sf_dir) -> DataFrame:
