@@ -2,7 +2,8 @@
 
 Quality classification drops documents it rejects, near-duplicate removal keeps one document of each group (five-word
 shingles, similarity 0.8), decontamination drops documents that hold benchmark items, personal data is replaced by its
-kind, and the last stage encodes what is left.
+kind, and the last stage encodes what is left. Decisions fall on rows, so rows without doc_id, or with one that others share,
+go through all stages like any others.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factweave.llm import attention_mil, decontaminate, near_duplicates, pii_votes, sentencepiece_rounds
-from factweave.llm.common import table, without, written
+from factweave.llm.common import drop_written, table, tables_written, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,11 +19,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, near_duplicates.near_duplicates(docs).where("not kept"))
+    return near_duplicates.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. What stages write on the way goes as soon as their result is written, the result when the next one is."""
+    docs, since = table(spark, sf_dir, "documents"), tables_written()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        drop_written(spark, since, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
