@@ -15,8 +15,9 @@ equal offsets, so they can only meet at triggers with equal bytes.
 * Combined: a class stands at all places of its phrases in the parse; all but the first in corpus order are covered.
 
 Suffixes are sorted where equal ones meet. Phrases of a trigger with up to FEW of them go to one task, whose share of the
-suffix array is sorted there; suffixes of triggers with more phrases are dealt and sorted by Spark, so that no task gets
-all phrases of a common trigger. Strings are compared by their bytes; phrases by 128 bits of hashes of trigger and context.
+suffix array is sorted there; suffixes of triggers with more phrases are dealt and grouped by Spark, so that no task gets
+all phrases of a common trigger; of these, only strings whose hash occurs twice are shuffled whole. Strings are compared by
+their bytes; phrases by 128 bits of hashes of trigger and context.
 
 Documents are read three times and never shuffled for the search: what is shuffled is the triggers' hashes, then the
 places whose trigger repeats (found through a bitmap of fixed size that lets no repeat pass unseen), then the phrases
@@ -37,12 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, in_bitmap, join_counted, map_rows, mix, signed, written
+from .common import bitmap_of, in_bitmap, join_counted, map_rows, mix, signed, small_batches, written
 
 LENGTH, TRIGGER = 100, 40
 CHUNK = 1 << 18
-FEW = 400
-SORTED = 8192
+FEW, SORTED = 4000, 4096
 BITS = 1 << 26
 DOC_BITS = 1 << 24
 _TABLES = [np.random.default_rng(s).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for s in (3, 4)]
@@ -259,11 +259,13 @@ def meetings(docs: DataFrame, few: np.ndarray, many: np.ndarray, seen: np.ndarra
             out["string"] = [None] * len(out["k"])
             if cols:
                 string, doc, at = (np.concatenate(c) for c in zip(*cols))
-                turn, head = suffix_order(string, doc, at)
-                raw = string[turn].tobytes()
+                turn, first = suffix_order(string, doc, at)
+                head = np.empty(len(turn), bool)
+                head[turn] = first
+                raw = string.tobytes()  # in the order of the text, where each string repeats most of the one before and takes little space
                 out["string"] += [raw[i * length : (i + 1) * length] if h else None for i, h in enumerate(head.tolist())]
-                out["doc_id"] += doc[turn].tolist()
-                out["at"] += at[turn].tolist()
+                out["doc_id"] += doc.tolist()
+                out["at"] += at.tolist()
                 for c in ("k", "context", "left_size", "first", "last"):
                     out[c] += [None] * len(doc)
             return out
@@ -347,21 +349,35 @@ def covered_starts(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER
     seen = bitmap_of(again, "k", BITS)
     found = written(places(docs, seen, length, trigger), "places")
     heads = found.where("k is not null")
-    phrases = written(heads.groupBy("k", "v").agg(F.min(F.struct("doc_id", "at")).alias("p"), F.count("at").alias("n")).select("k", "v", "p.*", "n"), "phrases")
-    first = phrases.select("k", "v", F.col("doc_id").alias("pd"), F.col("at").alias("pa"), "n").where("n > 1")
+    phrases = written(heads.groupBy("k", "v").agg(F.min("doc_id").alias("pd"), F.min_by("at", "doc_id").alias("pa"), F.count("at").alias("n")), "phrases")
+    first = phrases.where("n > 1")
     later = join_counted(heads, first, ["k", "v"]).where("doc_id <> pd or at <> pa").select("doc_id", "first", "last")
     number = phrases.groupBy("k").agg(F.count("v").alias("number")).where("number > 1")
-    origin = written(phrases.join(number, "k").select("doc_id", "at", (F.col("number") <= FEW).alias("few")), "origins")
+    origin = written(phrases.join(number, "k").select(F.col("pd").alias("doc_id"), F.col("pa").alias("at"), (F.col("number") <= FEW).alias("few")), "origins")
     met = written(meetings(docs, _bitmap_of_places(origin.where("few")), _bitmap_of_places(origin.where("not few")), seen, length, trigger), "meetings")
     near = compared(met.where("k is not null"), length)
-    strings = met.where("k is null").select("string", "doc_id", F.col("at").alias("first"), F.col("at").alias("last"))
-    classes = strings.where("string is not null").groupBy("string").agg(F.min(F.struct("doc_id", "first")).alias("p"), F.max(F.struct("doc_id", "first")).alias("q"), F.count("first").alias("n")).where("p < q")
+    strings = met.where("k is null and string is not null").select("string", "doc_id", F.col("at").alias("first"), F.col("at").alias("last"))
+    strings = twice(strings)
+    classes = strings.groupBy("string").agg(F.min(F.struct("doc_id", "first")).alias("p"), F.max(F.struct("doc_id", "first")).alias("q"), F.count("first").alias("n")).where("p < q")
     classes = written(classes.select("string", F.col("p.doc_id").alias("pd"), F.col("p.first").alias("pa"), "n"), "classes")
     single = join_counted(strings, classes, ["string"]).where("doc_id <> pd or first <> pa").select("doc_id", "first", "last")
-    inside = strings.where("string is null").select("doc_id", "first", "last")
+    inside = met.where("k is null and string is null").select("doc_id", F.col("at").alias("first"), F.col("at").alias("last"))
     return found.where("k is null").select("doc_id", "first", "last").unionByName(later).unionByName(near).unionByName(single).unionByName(inside)
 
 
+def twice(strings: DataFrame) -> DataFrame:
+    """The strings without most of those that occur once, found through a bitmap of fixed size of the hashes that occur twice."""
+    hashed = strings.withColumn("h", F.xxhash64("string"))
+    seen = strings.sparkSession.sparkContext.broadcast(bitmap_of(hashed.groupBy("h").agg(F.count("h").alias("n")).where("n > 1"), "h", DOC_BITS))
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(in_bitmap(seen.value, b.column(4).to_numpy()))).select(["string", "doc_id", "first", "last"])
+
+    small_batches(strings.sparkSession)
+    return hashed.mapInArrow(run, "string binary, doc_id long, first int, last int")
+
+
 def single_texts(docs: DataFrame) -> DataFrame:
     """docs without the ids that have several texts."""
     texts = F.struct(F.xxhash64("text"), F.length("text"))
