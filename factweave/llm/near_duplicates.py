@@ -173,11 +173,13 @@ def tiles(members: DataFrame) -> DataFrame:
     """key, i, j, own, doc_id, comp: the tiles (i <= j) of each member; members has key, doc_id, comp.
 
     The blocks of a bucket are those of all but its largest component, then, from `few` on, those of the largest. Tiles
-    pair a block of the former with any block.
+    pair a block of the former with any block. A bucket of one block is one tile.
     """
     of = members.groupBy("key", "comp").agg(F.count("doc_id").alias("n"))
-    top = of.groupBy("key").agg(F.max(F.struct("n", F.col("comp"))).alias("top"), F.sum("n").alias("all")).select("key", F.col("top.comp").alias("major"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("rest"))
-    stray = F.col("comp") != F.col("major")
+    top = of.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
+    rest = F.when(F.col("all") > BLOCK, F.ceil(F.col("top.n") / BLOCK)).otherwise(0).cast("int")
+    top = top.select("key", F.col("top.comp").alias("major"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("few"), rest.alias("rest"))
+    stray = (F.col("rest") == 0) | (F.col("comp") != F.col("major"))
     place = F.xxhash64("doc_id")
     own = F.when(stray, F.pmod(place, F.col("few").cast("long"))).otherwise(F.col("few") + F.pmod(place, F.col("rest").cast("long"))).cast("int")
     last = F.when(stray, F.col("few") + F.col("rest") - 1).otherwise(F.col("few") - 1)
