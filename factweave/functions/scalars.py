@@ -90,6 +90,12 @@ def shared_prefix(a: Column, b: Column) -> Column:
     return F.aggregate(same, start, lambda s, x: F.struct((s["n"] + F.when(s["go"] & x, 1).otherwise(0)).alias("n"), (s["go"] & x).alias("go")), lambda s: s["n"])
 
 
+def leading(path: Column) -> Column:
+    """All leading parts of a path, from none to all: '' , 'a', 'a/b', ..."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+
+
 def negation(condition: Column) -> Column:
     """The C text of the opposite condition."""
     c = F.trim(condition)

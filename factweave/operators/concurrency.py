@@ -34,9 +34,17 @@ def domains(reached: DataFrame) -> DataFrame:
     return kinds.select("function", F.when(F.size("k") > 1, F.lit("mixed")).otherwise(F.element_at("k", 1)).alias("domain"))
 
 
-def host_units(dispatchers: DataFrame, reached: DataFrame) -> DataFrame:
-    """(callback, hosts, confidence): units whose code dispatches a callback; one host high, several medium."""
-    got = dispatchers.join(reached, "function").where("unit <> callback").groupBy("callback").agg(F.array_sort(F.collect_set("unit")).alias("h"))
+def host_units(dispatchers: DataFrame, reached: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """(callback, hosts, confidence): units (unit, function reached) whose code dispatches a callback (callback, function); one host high, several medium.
+
+    With entries (unit, function) only innermost hosts count: one that reaches the entry of another host goes.
+    """
+    found = dispatchers.join(reached, "function").where("unit <> callback").select("callback", "unit").distinct()
+    if entries is not None:
+        inner = found.join(entries, "unit").select("callback", F.col("unit").alias("other"), "function")
+        outer = inner.join(reached, "function").where("unit <> other").select("callback", "unit").distinct()
+        found = found.join(outer, ["callback", "unit"], "left_anti")
+    got = found.groupBy("callback").agg(F.array_sort(F.collect_set("unit")).alias("h"))
     return got.select("callback", F.array_join("h", ",").alias("hosts"), F.when(F.size("h") == 1, "high").otherwise("medium").alias("confidence"))
 
 
@@ -92,15 +100,16 @@ def wake_relations(accesses: DataFrame, conditions: DataFrame) -> DataFrame:
 def data_dependencies(accesses: DataFrame, positions: DataFrame, scheduling: str) -> DataFrame:
     """Writer unit to reader unit over shared resources: (from_unit, to_unit, order, resource_count, writes, reads).
 
-    Accesses are counted for each unit first, so that the join multiplies units of a resource, not its accesses. Callbacks
-    with one host stand for it where accesses carries context and context_kind.
+    Accesses are counted for each unit first, so that the join multiplies units of a resource, not its accesses; each pair
+    then meets once for each resource. Callbacks with one host stand for it where accesses carries context and context_kind.
+    positions: unit, place; places only need an order.
     """
     a = accesses if "context" in accesses.columns else accesses.withColumns({"context": F.col("unit"), "context_kind": F.col("unit_kind")})
     per = a.groupBy("resource", "unit", "context", "context_kind").agg(F.count_if(F.col("kind").isin(*WRITES)).alias("writes"), F.count_if(F.col("kind").isin(*READS)).alias("reads"))
     w = per.where("writes > 0").select("resource", F.col("unit").alias("from_unit"), F.col("context").alias("fc"), F.col("context_kind").alias("from_kind"), "writes")
     r = per.where("reads > 0").select("resource", F.col("unit").alias("to_unit"), F.col("context").alias("tc"), F.col("context_kind").alias("to_kind"), "reads")
     pairs = w.join(r, "resource").where("from_unit <> to_unit and fc <> tc")
-    got = pairs.groupBy("from_unit", "to_unit", "fc", "tc", "from_kind", "to_kind").agg(F.count_distinct("resource").alias("resource_count"), F.sum("writes").alias("writes"), F.sum("reads").alias("reads"))
+    got = pairs.groupBy("from_unit", "to_unit", "fc", "tc", "from_kind", "to_kind").agg(F.count(F.lit(1)).alias("resource_count"), F.sum("writes").alias("writes"), F.sum("reads").alias("reads"))
     at = positions.select(F.col("unit").alias("fc"), F.col("place").alias("from_place"))
     to = positions.select(F.col("unit").alias("tc"), F.col("place").alias("to_place"))
     tasks = (F.col("from_kind") == "task") & (F.col("to_kind") == "task")
@@ -161,3 +170,59 @@ def run_map(accesses: DataFrame) -> DataFrame:
     )
     flow = F.when((F.col("iw") & F.col("tw")) | (F.col("iw") & F.col("ir") & F.col("tr")), "mixed").when(F.col("iw") & F.col("tr"), "isr->thread").when(F.col("tw") & F.col("ir"), "thread->isr").otherwise("one-side")
     return agg.where("units > 1").select("resource", "owner", "writers", flow.alias("flow"), (F.col("writers") > 1).alias("multi_writer"), ((F.col("p") > 0) & (F.col("f") > 0)).alias("protection_mismatch"))
+
+
+def _sides(accesses: DataFrame) -> DataFrame:
+    """Per resource and unit: whether it writes and reads, and does so without protection."""
+    write, read, free = F.col("kind").isin(*WRITES), F.col("kind").isin(*READS), ~F.col("protected")
+    return accesses.groupBy("resource", "unit", "unit_kind").agg(F.bool_or(write).alias("w"), F.bool_or(read).alias("r"), F.bool_or(write & free).alias("bw"), F.bool_or(read & free).alias("br"), F.bool_or(free).alias("open"))
+
+
+def run_variables(accesses: DataFrame, atomicity: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Per shared resource: owner (the one group that writes), writer_groups, flow, cross, pollution, mismatch and non_atomic.
+
+    A callback with one host (unit, host) writes for its host. pollution: interrupts and threads both write; mismatch: across
+    contexts, one side is protected throughout and the other is not; non_atomic: across contexts, a composite or wide type
+    (resource, atomicity) that some unit uses without protection.
+    """
+    side = _sides(accesses).join(hosts, "unit", "left")
+    isr = F.col("unit_kind") == "isr"
+    got = side.groupBy("resource").agg(
+        F.count("unit").alias("units"), F.collect_set(F.when(F.col("w"), F.coalesce("host", "unit"))).alias("groups"), F.bool_or(isr & F.col("w")).alias("iw"), F.bool_or(~isr & F.col("w")).alias("tw"), F.bool_or(isr & F.col("r")).alias("ir"), F.bool_or(~isr & F.col("r")).alias("tr"),
+        F.bool_or(isr).alias("i"), F.bool_or(~isr).alias("t"), F.bool_or("w").alias("any_w"), F.bool_or("r").alias("any_r"), F.bool_or("bw").alias("bw"), F.bool_or("br").alias("br"), F.bool_or("open").alias("open"),
+    ).where("units > 1")
+    cross = F.col("i") & F.col("t")
+    flow = F.when(F.col("iw") & F.col("tw"), "mixed").when(F.col("iw") & F.col("tr"), "isr->thread").when(F.col("iw"), "isr<->isr").when(F.col("ir"), "thread->isr").otherwise("thread<->thread")
+    mismatch = cross & ((F.col("any_w") & ~F.col("bw") & F.col("br")) | (F.col("any_r") & ~F.col("br") & F.col("bw")))
+    owner = F.when(F.size("groups") == 1, F.element_at("groups", 1)).when(F.size("groups") == 0, "none")
+    loose = cross & F.col("open") & F.col("atomicity").isin("composite", "wide")
+    return got.join(atomicity, "resource", "left").select("resource", owner.alias("owner"), F.size("groups").alias("writer_groups"), flow.alias("flow"), cross.alias("cross"), (F.col("iw") & F.col("tw")).alias("pollution"), mismatch.alias("mismatch"), F.coalesce(loose, F.lit(False)).alias("non_atomic"))
+
+
+def worst_of_units(accesses: DataFrame, variables: DataFrame, conflicts_of: DataFrame) -> DataFrame:
+    """(unit, worst): conflict, pollution (a thread that writes what interrupts write too), mismatch or shared, over the resources of run_variables()."""
+    known = variables.select("resource", "pollution", "mismatch").join(conflicts_of.select("resource", F.lit(1).alias("c")).distinct(), "resource", "left")
+    mine = _sides(accesses).join(known, "resource")
+    rank = F.when(F.col("c").isNotNull(), 3).when(F.col("pollution") & F.col("w") & (F.col("unit_kind") != "isr"), 2).when(F.col("mismatch"), 1).otherwise(0)
+    return mine.groupBy("unit").agg(F.max(rank).alias("r")).select("unit", F.element_at(F.array(*[F.lit(x) for x in ("shared", "mismatch", "pollution", "conflict")]), F.col("r") + 1).alias("worst"))
+
+
+def dependency_resources(accesses: DataFrame) -> DataFrame:
+    """(from_unit, to_unit, resources): the resources, by name, that one unit writes and another reads."""
+    side = _sides(accesses)
+    w = side.where("w").select("resource", F.col("unit").alias("from_unit"))
+    r = side.where("r").select("resource", F.col("unit").alias("to_unit"))
+    return w.join(r, "resource").where("from_unit <> to_unit").groupBy("from_unit", "to_unit").agg(F.array_sort(F.collect_set("resource")).alias("resources"))
+
+
+def step_variables(steps: DataFrame, accesses: DataFrame, conflicts_of: DataFrame, wakes: DataFrame) -> DataFrame:
+    """(step, resource, kinds, in_critical, conflict, wake, isr_writers): what the step's function touches. in_critical if all sites are.
+
+    steps: step, function; accesses as above; conflicts_of and wakes: resource.
+    """
+    sites = accesses.select("function", "resource", "kind", "protected").distinct()
+    got = steps.join(sites, "function").groupBy("step", "resource").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.bool_and("protected").alias("in_critical"))
+    isr = accesses.where((F.col("unit_kind") == "isr") & (F.col("kind") != "read")).groupBy("resource").agg(F.array_join(F.array_sort(F.collect_set("unit")), ",").alias("isr_writers"))
+    flag = lambda df, name: df.select("resource", F.lit(True).alias(name)).distinct()
+    got = got.join(flag(conflicts_of, "conflict"), "resource", "left").join(flag(wakes, "wake"), "resource", "left").join(isr, "resource", "left")
+    return got.select("step", "resource", "kinds", "in_critical", F.coalesce("conflict", F.lit(False)).alias("conflict"), F.coalesce("wake", F.lit(False)).alias("wake"), F.coalesce("isr_writers", F.lit("")).alias("isr_writers"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from . import graph as G
-from .joins import first_by
+from .joins import first_by, in_spans
 
 
 def live(edges: DataFrame) -> DataFrame:
@@ -117,11 +119,12 @@ def boot_tree(calls: DataFrame, installs: DataFrame, root: str, depth: int = 8)
     return down.join(up.select("node").distinct(), "node", "left_semi")
 
 
-def tree_children(calls: DataFrame, registrations: DataFrame, node: str) -> DataFrame:
-    """(child, hop, line) of a function: calls, then what it registers (an inferred schedule hop), by line."""
-    a = calls.where(F.col("source") == node).select(F.col("target").alias("child"), F.lit("call").alias("hop"), "line")
-    b = registrations.where(F.col("function") == node).select(F.col("target").alias("child"), F.lit("schedule").alias("hop"), "line")
-    return a.unionByName(b).groupBy("child", "hop").agg(F.min("line").alias("line"))
+def tree_children(calls: DataFrame, registrations: DataFrame, node: str | None = None) -> DataFrame:
+    """(node, child, hop, line) of functions (or of one): calls, then what they register (an inferred schedule hop), each once at its first line."""
+    a = calls.select(F.col("source").alias("node"), F.col("target").alias("child"), F.lit("call").alias("hop"), "line")
+    b = registrations.select(F.col("function").alias("node"), F.col("target").alias("child"), F.lit("schedule").alias("hop"), "line")
+    both = a.unionByName(b)
+    return (both if node is None else both.where(F.col("node") == node)).groupBy("node", "child", "hop").agg(F.min("line").alias("line"))
 
 
 def call_pairs(edges: DataFrame) -> DataFrame:
@@ -185,10 +188,10 @@ def machine_transitions(labels: DataFrame, writes: DataFrame, helpers: DataFrame
 
     labels: machine, function, state, line, end_line; writes: function, line, target; helpers: function, line, callee.
     """
-    inside = labels.join(writes.withColumnRenamed("line", "at"), "function").where("at between line and end_line")
+    inside = in_spans(writes.withColumnRenamed("line", "at"), labels, ["function"], "at", "line", "end_line")
     one = inside.select("machine", F.col("state").alias("source"), "target", F.lit("assignment").alias("via"))
-    called = labels.join(helpers.withColumnRenamed("line", "at"), "function").where("at between line and end_line").select("machine", "state", "callee")
-    two = called.join(writes.select(F.col("function").alias("callee"), "target"), "callee").select("machine", F.col("state").alias("source"), "target", F.concat(F.lit("call:"), "callee").alias("via"))
+    called = in_spans(helpers.withColumnRenamed("line", "at"), labels, ["function"], "at", "line", "end_line").select("machine", "state", "callee").distinct()
+    two = called.join(writes.select(F.col("function").alias("callee"), "target").distinct(), "callee").select("machine", F.col("state").alias("source"), "target", F.concat(F.lit("call:"), "callee").alias("via"))
     span = labels.groupBy("machine", "function").agg(F.min("line").alias("lo"), F.max("end_line").alias("hi"))
     three = span.join(writes, "function").where("line < lo or line > hi").select("machine", F.lit(None).cast("string").alias("source"), "target", F.lit("outside-switch").alias("via"))
     return one.unionByName(two).unionByName(three).distinct()
@@ -209,23 +212,158 @@ def round_columns(range_: DataFrame, loops: DataFrame, calls: DataFrame) -> Data
     """
     a = range_.join(loops, "function").where("line >= from_line and end_line <= to_line").select("unit", F.lit("loop").alias("item"), "line", F.col("depth").cast("int").alias("depth"))
     inner = calls.withColumnRenamed("line", "at")
-    b = range_.join(inner, "function").where("at between from_line and to_line").join(loops.select("function", F.col("line").alias("ll"), F.col("end_line").alias("le"), "depth"), "function", "left")
-    b = b.groupBy("unit", "callee", "at").agg(F.coalesce(F.max(F.when(F.col("at").between(F.col("ll"), F.col("le")), F.col("depth") + 1)), F.lit(0)).cast("int").alias("depth")).select("unit", F.concat(F.lit("call:"), "callee").alias("item"), F.col("at").alias("line"), "depth")
+    held = in_spans(inner.select("function", "at").distinct(), loops.select("function", F.col("line").alias("ll"), F.col("end_line").alias("le"), "depth"), ["function"], "at", "ll", "le").groupBy("function", "at").agg((F.max("depth") + 1).alias("depth"))
+    b = in_spans(inner, range_.select("unit", "function", "from_line", "to_line"), ["function"], "at", "from_line", "to_line").join(held, ["function", "at"], "left")
+    b = b.select("unit", F.concat(F.lit("call:"), "callee").alias("item"), F.col("at").alias("line"), F.coalesce("depth", F.lit(0)).cast("int").alias("depth")).distinct()
     return a.unionByName(b)
 
 
+def state_orders(transitions: DataFrame, labels: DataFrame) -> DataFrame:
+    """(machine, state, place, terminal, depth) of each state: depth first along the transitions (machine, source, target, line)
+    from states that nothing leads to, in the order of their labels (machine, state, line), terminal ones last, then targets
+    that have no label. depth is the longest way along later states; terminal states are one below all others.
+
+    Each machine, which has few states, is one group.
+    """
+    both = labels.select("machine", "state", F.lit(None).cast("string").alias("target"), "line").unionByName(transitions.select("machine", F.col("source").alias("state"), "target", "line"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        named = rows[rows["target"].isna()].sort_values(["line", "state"])["state"].drop_duplicates().tolist()
+        steps = rows[rows["target"].notna()].sort_values(["line", "state", "target"])
+        steps = list(dict.fromkeys(zip(steps["state"], steps["target"])))
+        names, last = order_of_states(named, steps)
+        depth = depth_of_states(names, last, set(names) - set(named), steps)
+        return pd.DataFrame([(rows["machine"].iloc[0], n, i, n in last, depth[n]) for i, n in enumerate(names)], columns=["machine", "state", "place", "terminal", "depth"])
+
+    return both.groupBy("machine").applyInPandas(run, f"machine {dict(both.dtypes)['machine']}, state string, place int, terminal boolean, depth int")
+
+
+def order_of_states(named: list[str], steps: list[tuple[str, str]]) -> tuple[list[str], set[str]]:
+    known = set(named)
+    after: dict = {n: [b for a, b in steps if a == n and b in known and b != n] for n in named}
+    ends = {n for n in named if not after[n]}
+    led_to = {b for bs in after.values() for b in bs}
+    order: list[str] = []
+    for start in [n for n in named if n not in led_to] + named:
+        todo = [start]
+        while todo:
+            n = todo.pop()
+            if n not in ends and n not in order:
+                order.append(n)
+                todo += reversed(after[n])
+    order += [n for n in named if n in ends]
+    order += list(dict.fromkeys(b for _, b in steps if b not in known))
+    leaves = {a for a, b in steps if a in known}
+    return order, {n for n in order if n not in leaves}
+
+
+def depth_of_states(names: list[str], last: set[str], extra: set[str], steps: list[tuple[str, str]]) -> dict[str, int]:
+    at = {n: i for i, n in enumerate(names)}
+    onward = [(a, b) for a, b in steps if a in at and at[b] > at[a]]
+    led_to = {b for _, b in onward}
+    depth = dict.fromkeys(names, 0)
+    for i, n in enumerate(names):
+        if n in last:
+            continue
+        if i and n not in led_to and n not in extra:
+            depth[n] = max(depth[n], depth[names[i - 1]] + 1)
+        for a, b in onward:
+            if a == n and b not in last:
+                depth[b] = max(depth[b], depth[n] + 1)
+    deepest = max((depth[n] for n in names if n not in last), default=0)
+    return depth | {n: deepest + 1 for n in names if n in last}
+
+
+def machine_nesting(machines: DataFrame, cases: DataFrame, calls: DataFrame, hops: int = 3) -> DataFrame:
+    """(machine, parent, state, via, hops): the machine in one of whose cases a call leads to this machine's functions in the fewest hops.
+
+    machines: machine, function; cases: machine, function, state, line, end_line; calls: source, target, line. Machines that share
+    a function don't nest. Ties: the least parent, then the earliest case and call.
+    """
+    sites = in_spans(calls.select(F.col("source").alias("function"), F.col("target").alias("via"), F.col("line").alias("at")), cases, ["function"], "at", "line", "end_line")
+    roots = sites.select(F.col("via").alias("root")).distinct().withColumn("node", F.col("root"))
+    near = G.reach_within(calls, roots, hops).select(F.col("root").alias("via"), F.col("node").alias("function"), (F.col("hops") + 1).alias("hops"))
+    hit = sites.select(F.col("machine").alias("parent"), "state", "line", "at", "via").join(near, "via").join(machines, "function").where("machine <> parent")
+    other = machines.select(F.col("machine").alias("parent"), "function").join(machines, "function").select("machine", "parent").distinct()
+    return first_by(hit.join(other, ["machine", "parent"], "left_anti"), ["machine"], F.col("hops"), F.col("parent"), F.col("line"), F.col("at"), F.col("via")).select("machine", "parent", "state", "via", "hops")
+
+
+def state_panel(transitions: DataFrame, conditions: DataFrame) -> DataFrame:
+    """(machine, state, number, target, atom, tag, text): the transitions (machine, source, target, line) of each state in line order, with
+    the rows of their condition steps (machine, source, line, nth, text, kind: if | else | guard-<word>).
+
+    if keeps its text, else negates it, a guard is tagged by its word.
+    """
+    w = Window.partitionBy("machine", "source").orderBy("line", "target")
+    numbered = transitions.withColumn("number", F.row_number().over(w))
+    got = numbered.join(conditions, ["machine", "source", "line"], "left")
+    guard = F.col("kind").startswith("guard-")
+    text = F.when(F.col("kind") == "else", S.negation(F.col("text"))).otherwise(F.col("text"))
+    return got.select("machine", F.col("source").alias("state"), "number", "target", F.col("nth").alias("atom"), F.when(guard, F.substring("kind", 7, 40)).otherwise(F.col("kind")).alias("tag"), text.alias("text"))
+
+
+def condition_steps(places: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(place_id, nth, line, kind, text) of the if and else blocks (function, line, end_line, kind, text) around each place (place_id, function, line), in line order."""
+    hit = in_spans(places.select("place_id", "function", F.col("line").alias("at")), blocks, ["function"], "at", "line", "end_line")
+    return hit.withColumn("nth", F.row_number().over(Window.partitionBy("place_id").orderBy("line", F.desc("end_line"), "kind"))).select("place_id", "nth", "line", "kind", "text")
+
+
+def external_symbols(calls: DataFrame, declarations: DataFrame, libraries: DataFrame) -> DataFrame:
+    """(name, callers, declared_in, library, candidates) of called names without definition.
+
+    calls: source, name; declarations: name, path, line; libraries: path of library files. Candidates are the libraries
+    beside any header that declares the name; the one with the greatest version is picked.
+    """
+    callers = calls.groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("callers"))
+    sites = declarations.join(callers.select("name"), "name", "left_semi")
+    declared = sites.groupBy("name").agg(F.count_distinct("path", "line").alias("declared_in"))
+    beside = sites.select("name", S.directory(F.col("path")).alias("folder")).distinct().join(libraries.select(F.col("path").alias("library"), S.directory(F.col("path")).alias("folder")), "folder")
+    file = F.regexp_extract("library", "[^/]*$", 0)
+    picked = beside.groupBy("name").agg(F.max_by("library", F.struct(S.natural_key(F.lower(file)), F.col("library"))).alias("library"), F.count_distinct("library").alias("candidates"))
+    return callers.join(declared, "name", "left").join(picked, "name", "left").select("name", "callers", F.coalesce("declared_in", F.lit(0)).cast("bigint").alias("declared_in"), "library", F.coalesce("candidates", F.lit(0)).cast("bigint").alias("candidates"))
+
+
+def view_modules(files: DataFrame, depths: DataFrame, region: str = "") -> DataFrame:
+    """(path, module, external, depth, rank) of files: the first two folders within the region, (root), ext:<two parts> outside it, lib:<file> for
+    closed libraries. depth is the most of the module's folders (folder, depth); rank counts from the deepest.
+
+    Each folder counts for its own prefixes, so modules meet folders by equality.
+    """
+    own = F.substring(F.col("path"), len(region) + 1, 4000)
+    parts, all_parts = F.split(own, "/"), F.split("path", "/")
+    inside = F.col("path").startswith(region)
+    lib = F.col("path").startswith("lib:")
+    module = F.when(lib, F.concat(F.lit("lib:"), F.regexp_extract("path", "[^/]*$", 0))).when(~inside, F.concat(F.lit("ext:"), F.array_join(F.slice(all_parts, 1, 2), "/"))).otherwise(S.module_of(own))
+    root = region.rstrip("/") or "."
+    folder = F.when(lib | ~inside, F.regexp_replace(module, "^(ext|lib):", "")).when(F.size(parts) == 1, F.lit(root)).otherwise(F.concat(F.lit(region), module))
+    named = files.select("path", F.regexp_replace(module, "^lib:lib:", "lib:").alias("module"), (lib | ~inside).alias("external"), folder.alias("folder"), (F.size(parts) == 1).alias("is_root"))
+    up = depths.select("depth", F.explode(F.filter(S.leading(F.col("folder")), lambda x: x != "")).alias("folder")).groupBy("folder").agg(F.max("depth").alias("below"))
+    at = depths.groupBy("folder").agg(F.max("depth").alias("own"))
+    most = depths.agg(F.max("depth").alias("most"))
+    got = named.join(up, "folder", "left").join(at, "folder", "left").join(F.broadcast(most))
+    depth = F.when(F.col("is_root") & ~F.col("external"), F.col("own")).otherwise(F.col("below"))
+    return got.select("path", "module", "external", depth.alias("depth"), (F.col("most") - depth).alias("rank"))
+
+
 def tick_of(facts: DataFrame) -> DataFrame:
     """(project, tick_ms): the value found in code, else the declared one."""
     rank = F.when(F.col("basis") == "code", 0).otherwise(1)
     return facts.where("tick_ms is not null").groupBy("project").agg(F.min_by("tick_ms", F.struct(rank, F.col("tick_ms"))).alias("tick_ms"))
 
 
+def numbered(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """rows with place, their number in the order (key, order): the rows of a key are numbered among themselves, after the count of all rows of lesser keys."""
+    size = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    before = size.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(key, "before")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).join(before, key).withColumn("place", (F.col("place") + F.col("before")).cast("bigint")).drop("before")
+
+
 def ordered_merge(parts: list[DataFrame]) -> DataFrame:
     """Shards as one table in the order (unit_index, seq), whichever was done first."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumn("place", F.row_number().over(Window.orderBy("unit_index", "seq")))
+    return numbered(out, "unit_index", "seq")
 
 
 def theme_overview(themes: dict[str, DataFrame]) -> list[dict]:

@@ -9,22 +9,36 @@ group for each project or level, which are small by nature.
 from __future__ import annotations
 
 import random
+import re
+import tempfile
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMALL_GRAPH = 200_000
 
 
+OWN_DIR = "spark.factweave.graphDir"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, the folder that the driver and all executors share. Only a local session may go without that setting; it gets its own folder."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_DIR, None)
+    if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="factweave-")
+        spark.conf.set(OWN_DIR, at)
+    return at.rstrip("/")
+
+
 def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder of spark.checkpoint.dir."""
+    """Cuts the lineage in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -387,24 +401,32 @@ def clusters(edges: DataFrame, seeds: list[int], **params) -> DataFrame:
     return dealt.groupBy("seed").applyInPandas(run, f"seed int, node {kind}, cluster {kind}")
 
 
-def prune_branches(calls: DataFrame, arguments: DataFrame, guards: DataFrame, roots: DataFrame, most_rounds: int = 8) -> DataFrame:
-    """Calls that no observed constant lets happen: (caller, callee, param, wanted, round).
+def prune_branches(calls: DataFrame, arguments: DataFrame, guards: DataFrame, roots: DataFrame, opaque: DataFrame | None = None, most_rounds: int | None = None) -> DataFrame:
+    """Calls that no observed constant lets happen: (site, caller, callee, param, wanted, round).
 
     calls: site, caller, callee; arguments: site, position, value (null: not constant); guards: site, position (a
-    parameter of the caller), equals (the value under which the call happens). A call dies if all values that live,
-    reachable call sites give that parameter are known and none is the guard's. Dead calls change reachability and
+    parameter of the caller), equals (the value under which the call happens). A site is dead if all values that live,
+    reachable call sites give a guard's parameter are known and none is the guard's. A caller's calls of a callee die
+    together, once every site of that pair is dead; each site is recorded with its first guard that tells. Parameters of
+    roots and opaque functions (whose address is taken) have values from elsewhere. Dead calls change reachability and
     values, so this repeats until nothing dies; what died earlier stays recorded.
     """
     dead = None
     live = calls
-    for number in range(1, most_rounds + 1):
+    hidden = roots.select("function") if opaque is None else roots.select("function").union(opaque.select("function"))
+    hidden = hidden.distinct().select(F.col("function").alias("callee"))
+    number = 0
+    while most_rounds is None or number < most_rounds:
+        number += 1
         seen = reach(live.select(F.col("caller").alias("source"), F.col("callee").alias("target")), roots.select(F.lit(0).alias("root"), F.col("function").alias("node")))
         reached = live.join(seen.select(F.col("node").alias("caller")).distinct(), "caller", "left_semi")
-        values = reached.join(arguments, "site").groupBy("callee", "position").agg(F.collect_set("value").alias("values"), F.bool_or(F.col("value").isNull()).alias("open"))
-        verdict = live.join(guards, "site").join(values.withColumnRenamed("callee", "caller"), ["caller", "position"]).where(~F.col("open") & (F.size("values") > 0) & ~F.array_contains("values", F.col("equals")))
-        new = _cut(verdict.select("site", "caller", "callee", F.col("position").alias("param"), F.col("equals").alias("wanted"), F.lit(number).alias("round")))
+        values = reached.join(arguments, "site").join(hidden, "callee", "left_anti").groupBy("callee", "position").agg(F.collect_set("value").alias("values"), F.bool_or(F.col("value").isNull()).alias("open"))
+        told = reached.join(guards, "site").join(values.withColumnRenamed("callee", "caller"), ["caller", "position"]).where(~F.col("open") & (F.size("values") > 0) & ~F.array_contains("values", F.col("equals")))
+        verdict = told.groupBy("site").agg(F.min(F.struct("position", "equals")).alias("g"))
+        pairs = reached.join(verdict, "site", "left").groupBy("caller", "callee").agg(F.bool_and(F.col("g").isNotNull()).alias("all")).where("all").select("caller", "callee")
+        new = _cut(reached.join(pairs, ["caller", "callee"], "left_semi").join(verdict, "site").select("site", "caller", "callee", F.col("g.position").alias("param"), F.col("g.equals").alias("wanted"), F.lit(number).alias("round")))
         if new.isEmpty():
             break
         dead = new if dead is None else dead.unionByName(new)
-        live = _cut(live.join(new.select("caller", "callee").distinct(), ["caller", "callee"], "left_anti"))
+        live = _cut(live.join(new.select("site"), "site", "left_anti"))
     return new if dead is None else dead

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,47 +14,85 @@ def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 def nearest_definition(uses: DataFrame, definitions: DataFrame) -> DataFrame:
     """Binds (use_id, name, path) to one definition (symbol_id, name, def_path): the same file, then the longest shared
-    path prefix, the shortest path, the greatest symbol id. In the same file the smallest id wins."""
-    both = uses.join(definitions, "name")
-    same = F.col("path") == F.col("def_path")
-    picked = first_by(both.withColumn("same_file", same).withColumn("shared", S.shared_prefix(F.col("path"), F.col("def_path"))), ["use_id"], F.desc("same_file"), F.when(same, F.col("symbol_id")), F.desc("shared"), F.length("def_path"), F.desc("symbol_id"))
-    return picked.select("use_id", "name", "symbol_id", "same_file", "shared")
+    path prefix, the shortest path, the greatest symbol id. In the same file the smallest id wins.
+
+    Definitions are reduced to the best of each name and path prefix first, so that a use meets one row for each of its
+    prefixes and never all definitions of a common name.
+    """
+    own = definitions.groupBy("name", F.col("def_path").alias("path")).agg(F.min("symbol_id").alias("own"))
+    best = F.max(F.struct(-F.length("def_path"), F.col("symbol_id").alias("symbol_id"))).alias("b")
+    of = definitions.select("name", "symbol_id", "def_path", F.explode(S.leading(F.col("def_path"))).alias("prefix")).groupBy("name", "prefix").agg(best)
+    tries = uses.select("use_id", "name", F.posexplode(S.leading(F.col("path"))).alias("shared", "prefix"))
+    near = tries.join(of, ["name", "prefix"]).groupBy("use_id").agg(F.max(F.struct("shared", F.col("b.symbol_id").alias("symbol_id"))).alias("m"))
+    got = uses.join(own, ["name", "path"], "left").join(near, "use_id")
+    same = F.col("own").isNotNull()
+    return got.select("use_id", "name", F.coalesce("own", "m.symbol_id").alias("symbol_id"), same.alias("same_file"), F.when(same, F.size(F.split("path", "/"))).otherwise(F.col("m.shared")).alias("shared"))
+
+
+def in_spans(points: DataFrame, spans: DataFrame, key: list[str], at: str, first: str, last: str) -> DataFrame:
+    """Points joined with all spans that hold them, first and last included.
+
+    A span goes to a level by the power of two above its length, where it touches two bins at most; a point looks into one
+    bin of each level that its key has. So both sides meet by equality, near each other, and never all of a key.
+    """
+    level = F.length(F.bin(F.col(last) - F.col(first)))
+    dealt = spans.where(F.col(first) <= F.col(last)).withColumn("_level", level)
+    dealt = dealt.withColumn("_bin", F.explode(F.array_distinct(F.array(F.expr(f"shiftright(cast(`{first}` as bigint), _level)"), F.expr(f"shiftright(cast(`{last}` as bigint), _level)")))))
+    levels = dealt.select(*key, "_level").distinct()
+    tries = points.join(levels, key).withColumn("_bin", F.expr(f"shiftright(cast(`{at}` as bigint), _level)"))
+    return tries.join(dealt, [*key, "_level", "_bin"]).where(F.col(at).between(F.col(first), F.col(last))).drop("_level", "_bin")
 
 
 def enclosing(points: DataFrame, spans: DataFrame, *key: str) -> DataFrame:
     """For each point (key, point_id, line) the smallest span (key, span_id, line_from, line_to) that holds it; ties: the earliest start, then id."""
-    hit = points.join(spans, list(key)).where("line between line_from and line_to")
-    return first_by(hit, ["point_id"], F.col("line_to") - F.col("line_from"), F.col("line_from"), F.col("span_id")).select(*key, "point_id", "line", "span_id")
+    hit = in_spans(points, spans, list(key), "line", "line_from", "line_to")
+    least = F.min(F.struct((F.col("line_to") - F.col("line_from")).alias("size"), "line_from", "span_id")).alias("m")
+    return hit.groupBy(*key, "point_id", "line").agg(least).select(*key, "point_id", "line", F.col("m.span_id").alias("span_id"))
 
 
 def inside(points: DataFrame, spans: DataFrame, *key: str) -> DataFrame:
     """Points (key, point_id, line, column) with start <= (line, column) < stop of spans (key, span_id, begin_line, begin_column, end_line, end_column), each pair once."""
     at = F.struct("line", "column")
-    return points.join(spans, list(key)).where((at >= F.struct(F.col("begin_line"), F.col("begin_column"))) & (at < F.struct(F.col("end_line"), F.col("end_column")))).select(*key, "point_id", "span_id")
+    near = in_spans(points, spans, list(key), "line", "begin_line", "end_line")
+    return near.where((at >= F.struct(F.col("begin_line"), F.col("begin_column"))) & (at < F.struct(F.col("end_line"), F.col("end_column")))).select(*key, "point_id", "span_id")
 
 
 def nesting(blocks: DataFrame, *key: str) -> DataFrame:
     """Blocks (key, block_id, line_from, line_to) with parent (nearest enclosing block) and depth (number of enclosing blocks).
 
-    Blocks of a function nest, so that a block is enclosed by those that start no later and end no earlier.
+    Blocks of a function nest. So of the blocks that start before another those that have not ended enclose it, which two
+    running counts tell, and its parent is the last block before it that is one level up.
     """
-    outer = blocks.select(*key, F.col("block_id").alias("outer_id"), F.col("line_from").alias("a"), F.col("line_to").alias("b"))
-    pairs = blocks.join(outer, list(key)).where("a <= line_from and b >= line_to and (a < line_from or b > line_to or outer_id < block_id) and outer_id <> block_id")
-    got = pairs.groupBy(*key, "block_id").agg(F.count("outer_id").alias("depth"), F.max_by("outer_id", F.struct(F.col("a"), -F.col("b"), F.col("outer_id"))).alias("parent"))
-    return blocks.join(got, [*key, "block_id"], "left").select(*key, "block_id", "parent", F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"))
+    order = Window.partitionBy(*key).orderBy("line_from", F.desc("line_to"), "block_id")
+    numbered = blocks.withColumn("nth", F.row_number().over(order) - 1)
+    starts = numbered.select(*key, "block_id", "nth", F.col("line_from").alias("at"), F.lit(0).alias("ends"))
+    stops = numbered.select(*key, F.lit(None).alias("block_id"), F.lit(None).cast("int").alias("nth"), F.col("line_to").alias("at"), F.lit(1).alias("ends"))
+    before = Window.partitionBy(*key).orderBy("at", "ends").rowsBetween(Window.unboundedPreceding, -1)
+    own = starts.unionByName(stops).withColumn("ended", F.coalesce(F.sum("ends").over(before), F.lit(0))).where("ends = 0").withColumn("depth", F.col("nth") - F.col("ended"))
+    offer = own.select(*key, F.col("depth").alias("level"), "nth", F.col("block_id").alias("outer_id"), F.lit(None).alias("block_id"), "depth")
+    ask = own.select(*key, (F.col("depth") - 1).alias("level"), "nth", F.lit(None).alias("outer_id"), "block_id", "depth")
+    last = Window.partitionBy(*key, "level").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    got = offer.unionByName(ask).withColumn("parent", F.last("outer_id", True).over(last)).where("block_id is not null")
+    return got.select(*key, "block_id", "parent", F.col("depth").cast("bigint").alias("depth"))
 
 
 def hazard_over_yield(accesses: DataFrame, yields: DataFrame, *key: str) -> DataFrame:
     """Variables written before a yield and read after it with no write in between (two-sided as-of join).
 
     accesses: key, name, kind (read | write), line; yields: key, line. Gives key, name, yield_line, write_line, read_line.
+    A read is the first after a yield if the yield lies between it and the read before, and after its last write: running
+    maxima give that span for each read, and yields are looked up in it.
     """
-    both = accesses.join(yields.select(*key, F.col("line").alias("yield_line")), list(key))
-    wrote = F.max(F.when((F.col("kind") == "write") & (F.col("line") < F.col("yield_line")), F.col("line"))).alias("write_line")
-    again = F.min(F.when((F.col("kind") == "write") & (F.col("line") > F.col("yield_line")), F.col("line"))).alias("rewrite_line")
-    read = F.min(F.when((F.col("kind") == "read") & (F.col("line") > F.col("yield_line")), F.col("line"))).alias("read_line")
-    got = both.groupBy(*key, "name", "yield_line").agg(wrote, again, read)
-    return got.where("write_line is not null and read_line is not null and (rewrite_line is null or rewrite_line > read_line)").drop("rewrite_line")
+    of = [*key, "name"]
+    lines = accesses.groupBy(*of, "line").agg(F.bool_or(F.col("kind") == "write").alias("w"), F.bool_or(F.col("kind") == "read").alias("r"))
+    past = Window.partitionBy(*of).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumns({"wrote": F.max(F.when(F.col("w"), F.col("line"))).over(past), "seen": F.max(F.when(F.col("r"), F.col("line"))).over(past)})
+    # A write on the yield's own line is neither before nor after it; then the one before that counts.
+    with_past = lines.withColumn("wrote_before", F.max(F.when(F.col("w"), F.col("wrote"))).over(past))
+    spans = with_past.where("r and not w and wrote is not null").select(*of, F.col("line").alias("read_line"), "wrote", "wrote_before", F.greatest("wrote", "seen").alias("low"), (F.col("line") - 1).alias("high"))
+    hit = in_spans(yields.select(*key, F.col("line").alias("yield_line")).distinct(), spans, list(key), "yield_line", "low", "high")
+    write = F.when(F.col("wrote") < F.col("yield_line"), F.col("wrote")).otherwise(F.col("wrote_before"))
+    return hit.select(*of, "yield_line", write.alias("write_line"), "read_line").where("write_line is not null")
 
 
 def slot_match(stores: DataFrame, calls: DataFrame) -> DataFrame:
@@ -148,9 +185,19 @@ def text_only(found: DataFrame, known: DataFrame) -> DataFrame:
     return found.join(known.select("source", "target").distinct(), ["source", "target"], "left_anti").select("source", "target").distinct()
 
 
-def bypasses(calls: DataFrame, includes_within: DataFrame) -> DataFrame:
-    """Calls (source, target: files) whose source does not include the target's contract within the hops of includes_within (root, node)."""
-    return calls.where("source <> target").join(includes_within.select(F.col("root").alias("source"), F.col("node").alias("target")), ["source", "target"], "left_anti").select("source", "target").distinct()
+def bypasses(calls: DataFrame, includes: DataFrame) -> DataFrame:
+    """Calls (source, target: files) whose source does not include the target's contract within three hops of includes (source, target)."""
+    pairs = calls.where("source <> target").select("source", "target").distinct()
+    return pairs.join(reached_pairs(pairs, includes), ["source", "target"], "left_anti")
+
+
+def reached_pairs(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The pairs (source, target) with a way of three edges at most, met in the middle: one step from each end, then an edge or nothing between."""
+    e = edges.select("source", "target").distinct()
+    fore = pairs.join(e.select("source", F.col("target").alias("a")), "source").unionByName(pairs.withColumn("a", F.col("source")))
+    back = fore.join(e.select(F.col("source").alias("b"), "target"), "target").unionByName(fore.withColumn("b", F.col("target"))).select("source", "target", "a", "b").distinct()
+    linked = back.where("a <> b").join(e.select(F.col("source").alias("a"), F.col("target").alias("b")), ["a", "b"], "left_semi")
+    return back.where("a = b").select("source", "target").union(linked.select("source", "target")).distinct()
 
 
 def type_only_includes(includes: DataFrame, uses: DataFrame) -> DataFrame:
@@ -172,12 +219,10 @@ def compare_roots(reached: DataFrame, a: Column, b: Column) -> DataFrame:
 def interrupt_handlers(irqs: DataFrame, vectors: DataFrame) -> DataFrame:
     """(irq, handler): X_IRQn to X_IRQHandler, then X_Handler; digits to the vector slot of that number."""
     base = F.regexp_replace("irq", "_IRQn$", "")
-    tries = F.when(F.col("irq").rlike("^[0-9]+$"), F.array(F.struct(F.lit(0).alias("rank"), F.lit(None).cast("string").alias("name"), F.col("irq").try_cast("int").alias("slot")))).otherwise(
-        F.array(*[F.struct(F.lit(k).alias("rank"), F.concat(base, F.lit(end)).alias("name"), F.lit(None).cast("int").alias("slot")) for k, end in enumerate(("_IRQHandler", "_Handler"))])
-    )
-    wide = irqs.select("irq", F.explode(tries).alias("t")).select("irq", "t.*")
-    hit = wide.join(vectors, (wide["name"] == vectors["handler"]) | (wide["slot"] == vectors["vector"]))
-    return first_by(hit, ["irq"], F.col("rank"), F.col("handler")).select("irq", "handler")
+    names = irqs.where(~F.col("irq").rlike("^[0-9]+$")).select("irq", F.posexplode(F.array(*[F.concat(base, F.lit(end)) for end in ("_IRQHandler", "_Handler")])).alias("rank", "handler"))
+    named = names.join(vectors.select("handler").distinct(), "handler").select("irq", "rank", "handler")
+    slots = irqs.where(F.col("irq").rlike("^[0-9]+$")).withColumn("vector", F.col("irq").try_cast("int")).join(vectors, "vector").select("irq", F.lit(0).alias("rank"), "handler")
+    return named.unionByName(slots).groupBy("irq").agg(F.min(F.struct("rank", "handler")).alias("m")).select("irq", "m.handler")
 
 
 def control_targets(controls: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -187,18 +232,45 @@ def control_targets(controls: DataFrame, definitions: DataFrame) -> DataFrame:
 
 
 def pair_sections(calls: DataFrame) -> DataFrame:
-    """Begin and end calls (function, line, what: begin | end) paired in source order, a nested begin skipped: (function, begin_line, end_line; null if unterminated)."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out, begin = [], None
-        for line, what in sorted(zip(rows["line"], rows["what"])):
-            if what == "begin" and begin is None:
-                begin = line
-            elif what == "end" and begin is not None:
-                out.append((rows["function"].iloc[0], begin, line))
-                begin = None
-        if begin is not None:
-            out.append((rows["function"].iloc[0], begin, None))
-        return pd.DataFrame(out, columns=["function", "begin_line", "end_line"]).astype({"end_line": "Int64"})
-
-    return calls.groupBy("function").applyInPandas(run, f"function {dict(calls.dtypes)['function']}, begin_line bigint, end_line bigint")
+    """Begin and end calls (function, line, what: begin | end) paired in source order, a nested begin skipped: (function, begin_line, end_line; null if unterminated).
+
+    A begin opens a section if what came before it is no begin, and an end closes one if what came before it is no end.
+    """
+    w = Window.partitionBy("function").orderBy("line", "what")
+    acts = calls.withColumn("past", F.coalesce(F.lag("what").over(w), F.lit("end"))).where("what <> past")
+    return acts.withColumn("end_line", F.lead("line").over(w)).where("what = 'begin'").select("function", F.col("line").cast("bigint").alias("begin_line"), F.col("end_line").cast("bigint").alias("end_line"))
+
+
+def wrapper_roles(calls: DataFrame) -> DataFrame:
+    """(function, rule, what) of wrappers, from (function, rule, what: begin | end): a function that begins one rule it never ends, and ends none, or the reverse."""
+    sides = calls.groupBy("function", "rule").agg(F.bool_or(F.col("what") == "begin").alias("b"), F.bool_or(F.col("what") == "end").alias("e")).where("b <> e")
+    one = sides.groupBy("function").agg(F.count_if("b").alias("begins"), F.count_if("e").alias("ends"), F.min("rule").alias("rule"))
+    return one.where("begins + ends = 1").select("function", "rule", F.when(F.col("begins") == 1, "begin").otherwise("end").alias("what"))
+
+
+def wrapper_sections(calls: DataFrame, roles: DataFrame) -> DataFrame:
+    """(function, rule, begin_line, end_line): calls (function, line, callee) of begin and end wrappers of a rule, paired in source order."""
+    acts = calls.join(roles.select(F.col("function").alias("callee"), "rule", "what"), "callee").select(F.struct("function", "rule").alias("function"), "line", "what")
+    return pair_sections(acts).select("function.function", "function.rule", "begin_line", "end_line")
+
+
+def image_symbol_ids(symbols: DataFrame, sources: DataFrame, functions: DataFrame, variables: DataFrame) -> DataFrame:
+    """(name, kind, object, source_path, symbol_id) of image symbols (name, kind, object): code is looked up among the functions of
+    the object's source file, all else among its variables outside functions.
+
+    sources: object, source_path; functions: path, name, symbol_id, in_header; variables: path, name, symbol_id, parent.
+    """
+    known = functions.where("not in_header").select(F.lit(True).alias("code"), "path", "name", "symbol_id").unionByName(variables.where("parent is null").select(F.lit(False).alias("code"), "path", "name", "symbol_id"))
+    one = known.groupBy("code", F.col("path").alias("source_path"), "name").agg(F.max("symbol_id").alias("symbol_id"))
+    got = symbols.join(sources, "object", "left").withColumn("code", F.col("kind") == "code")
+    return got.join(one, ["code", "source_path", "name"], "left").select("name", "kind", "object", "source_path", "symbol_id")
+
+
+def reference_edges(references: DataFrame, functions: DataFrame) -> DataFrame:
+    """(source, target, lines): references (path, line, target) by the smallest function (path, symbol_id, line, end_line) that holds them, lines in order.
+
+    References of one line share their owner, so each place is looked up once.
+    """
+    points = references.select("path", "line").distinct().withColumn("point_id", F.struct("path", "line"))
+    owner = enclosing(points, functions.select("path", F.col("symbol_id").alias("span_id"), F.col("line").alias("line_from"), F.col("end_line").alias("line_to")), "path")
+    return references.join(owner.select("path", "line", "span_id"), ["path", "line"]).groupBy(F.col("span_id").alias("source"), "target").agg(F.array_sort(F.collect_set("line")).alias("lines"))

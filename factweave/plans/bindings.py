@@ -29,25 +29,48 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def part_graph(spark: SparkSession, d: str, flag: str = "R", least: float = 44) -> DataFrame:
-    """(source, target): parts that follow each other in an order."""
+def part_steps(spark: SparkSession, d: str) -> DataFrame:
+    """(source, target, flag, quantity): parts that follow each other in an order."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("source"), F.lead("l_partkey").over(w).alias("target"), "l_returnflag", "l_quantity")
-    return rows.where((F.col("l_returnflag") == flag) & (F.col("l_quantity") > least) & F.col("target").isNotNull() & (F.col("source") != F.col("target"))).select("source", "target").distinct()
+    rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("source"), F.lead("l_partkey").over(w).alias("target"), F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("quantity"))
+    return rows.where("target is not null and source <> target")
+
+
+def part_graph(spark: SparkSession, d: str, flag: str = "R", least: float = 44) -> DataFrame:
+    """(source, target): parts of which one, returned in a large quantity, precedes the other in an order; a sparse graph."""
+    return part_steps(spark, d).where((F.col("flag") == flag) & (F.col("quantity") > least)).select("source", "target").distinct()
+
+
+def whole_graph(spark: SparkSession, d: str, flag: str | None = None) -> DataFrame:
+    """(source, target): all parts that follow each other in an order (in lines of that flag)."""
+    rows = part_steps(spark, d)
+    return (rows if flag is None else rows.where(F.col("flag") == flag)).select("source", "target").distinct()
+
+
+STEP_SQL = """SELECT l_partkey AS s, lead(l_partkey) OVER (PARTITION BY l_orderkey
+        ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS t, l_returnflag AS f, l_quantity AS q FROM lineitem"""
 
 
 def part_graph_sql(name: str = "edges", flag: str = "R", least: float = 44) -> str:
-    return f"""{name} AS (SELECT DISTINCT s AS source, t AS target FROM (SELECT l_partkey AS s, lead(l_partkey) OVER (PARTITION BY l_orderkey
-        ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS t, l_returnflag AS f, l_quantity AS q FROM lineitem) x
-        WHERE f = '{flag}' AND q > {least} AND t IS NOT NULL AND s <> t)"""
+    return f"""{name} AS (SELECT DISTINCT s AS source, t AS target FROM ({STEP_SQL}) x WHERE f = '{flag}' AND q > {least} AND t IS NOT NULL AND s <> t)"""
+
+
+def whole_graph_sql(name: str = "edges", flag: str | None = None) -> str:
+    return f"""{name} AS (SELECT DISTINCT s AS source, t AS target FROM ({STEP_SQL}) x WHERE t IS NOT NULL AND s <> t{f" AND f = '{flag}'" if flag else ""})"""
+
+
+def all_roots(edges: DataFrame) -> DataFrame:
+    """Every node that has an edge out, each as its own root."""
+    return edges.select(F.col("source").alias("root")).distinct().withColumn("node", F.col("root"))
 
 
-def part_roots(edges: DataFrame, n: int = 20) -> DataFrame:
-    """The n least nodes that have an edge out, each as its own root."""
-    return edges.select(F.col("source").alias("root")).distinct().orderBy("root").limit(n).withColumn("node", F.col("root"))
+def top_roots(edges: DataFrame) -> DataFrame:
+    """Every node that has an edge out and none in, each as its own root."""
+    return all_roots(edges).join(edges.select(F.col("target").alias("root")).distinct(), "root", "left_anti").select("root", "node")
 
 
-ROOTS_SQL = "roots AS (SELECT DISTINCT source AS root FROM edges ORDER BY 1 LIMIT 20)"
+ROOTS_SQL = "roots AS (SELECT DISTINCT source AS root FROM edges)"
+TOP_SQL = "roots AS (SELECT DISTINCT source AS root FROM edges WHERE source NOT IN (SELECT target FROM edges))"
 
 
 def accesses(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
@@ -64,8 +63,7 @@ def wake_relations(spark, d):
 )
 def data_dependencies(spark, d):
     a = accesses(spark, d)
-    first = a.where("unit_kind = 'task'").groupBy("unit").agg(F.min("line").alias("l"))
-    places = first.select("unit", (F.row_number().over(Window.orderBy("l", "unit")) - 1).alias("place"))
+    places = a.where("unit_kind = 'task'").groupBy("unit").agg(F.min("line").alias("l")).select("unit", F.struct("l", "unit").alias("place"))
     return C.data_dependencies(a, places, "cooperative")
 
 
@@ -96,13 +94,13 @@ def function_domains(spark, d):
 
 @query(
     "execution_units",
-    f"""WITH {ACCESS_SQL}, reg AS (SELECT unit_kind AS kind, 'function:' || path || ':n' || (user_id % 40) AS target, CASE WHEN event_id % 3 = 0 THEN 'ast.call' ELSE 'rtos.create' END AS rule, path, line, function FROM acc WHERE event_id % 10 < 3),
+    f"""WITH {ACCESS_SQL}, reg AS (SELECT unit_kind AS kind, 'function:' || path || ':n' || (user_id % 40) AS target, CASE WHEN event_id % 3 = 0 THEN 'ast.call' ELSE 'rtos.create' END AS rule, path, line, function FROM acc),
     f AS (SELECT *, row_number() OVER (PARTITION BY kind, target ORDER BY rule LIKE 'ast.%', path, line, function) AS r, count(*) OVER (PARTITION BY kind, target) - 1 AS also FROM reg),
     n AS (SELECT *, regexp_extract(target, '([^:]+)$', 1) AS name FROM f WHERE r = 1), t AS (SELECT *, row_number() OVER (PARTITION BY kind, name ORDER BY target) AS k FROM n)
     SELECT kind || ':' || name || CASE WHEN k > 1 THEN '#' || k ELSE '' END AS unit, kind, target, rule, function, line, also FROM t""",
 )
 def execution_units(spark, d):
-    a = accesses(spark, d).where("event_id % 10 < 3")
+    a = accesses(spark, d)
     reg = a.select(F.col("unit_kind").alias("kind"), F.concat(F.lit("function:"), "path", F.lit(":n"), F.pmod("user_id", F.lit(40)).cast("string")).alias("target"), F.when(F.col("event_id") % 3 == 0, "ast.call").otherwise("rtos.create").alias("rule"), "path", "line", "function")
     return C.execution_units(reg)
 
@@ -126,30 +124,55 @@ def interrupt_matrix(spark, d):
     return A.interrupt_matrix(accesses(spark, d).where("unit_kind in ('isr', 'task')").select("unit", "unit_kind", F.col("resource").alias("function")).distinct())
 
 
-@query(
-    "tick_counters",
-    f"""WITH {ACCESS_SQL}, isr AS (SELECT DISTINCT function FROM acc WHERE unit_kind = 'isr' AND line % 7 = 0), a AS (SELECT acc.*, acc.function IN (SELECT function FROM isr) AS i FROM acc WHERE unit_kind <> 'isr' OR line % 7 = 0)
-    SELECT resource, count(*) FILTER ({W}) AS writes, count(*) FILTER (kind = 'read' AND NOT i) AS reads FROM a GROUP BY resource
-    HAVING count(*) FILTER ({W}) BETWEEN 1 AND 3 AND count(*) FILTER ({W} AND (kind <> 'read_write' OR unit_kind <> 'isr')) = 0 AND count(*) FILTER (kind = 'read' AND NOT i) > 0""",
-)
-def tick_counters(spark, d):
-    return A.tick_counters(accesses(spark, d).where("unit_kind <> 'isr' or line % 7 = 0"))
-
-
 @query("resource_sides", f"WITH {ACCESS_SQL} SELECT unit, function, line, kind, protected FROM acc WHERE resource = (SELECT min(resource) FROM acc)")
 def resource_sides(spark, d):
     a = accesses(spark, d)
     return a.join(F.broadcast(a.agg(F.min("resource").alias("resource"))), "resource").select("unit", "function", "line", "kind", "protected")
 
 
-@query("effective_contexts", "SELECT * FROM (VALUES ('task:a', 'task:a', 'task'), ('callback:b', 'task:a', 'task'), ('timer:c', 'task:a', 'task'), ('callback:d', 'callback:d', 'callback'), ('isr:e', 'isr:e', 'isr')) t(unit, context, context_kind)")
-def effective_contexts(spark, d):
-    rows = [("task:a", "task", None), ("callback:b", "callback", "task:a"), ("timer:c", "timer", "callback:b"), ("callback:d", "callback", None), ("isr:e", "isr", "task:a")]
-    return C.effective_contexts(spark.createDataFrame(rows, "unit string, unit_kind string, host string"))
+SIDE_SQL = f"""side AS (SELECT resource, unit, unit_kind, bool_or({W}) AS w, bool_or({R}) AS r, bool_or({W} AND NOT protected) AS bw, bool_or({R} AND NOT protected) AS br, bool_or(NOT protected) AS o FROM acc GROUP BY resource, unit, unit_kind),
+    hosts AS (SELECT DISTINCT 'callback:' || user_id AS unit, 'task:' || (user_id % 20) AS host FROM acc WHERE unit_kind = 'callback' AND user_id % 3 = 0), atom AS (SELECT DISTINCT resource, CASE length(resource) % 3 WHEN 0 THEN 'composite' WHEN 1 THEN 'wide' ELSE 'single-word' END AS atomicity FROM acc),
+    var AS (SELECT resource, list(DISTINCT coalesce(host, s.unit)) FILTER (w) AS g, bool_or(w AND unit_kind = 'isr') AS iw, bool_or(w AND unit_kind <> 'isr') AS tw, bool_or(r AND unit_kind = 'isr') AS ir, bool_or(r AND unit_kind <> 'isr') AS tr, bool_or(unit_kind = 'isr') AND bool_or(unit_kind <> 'isr') AS cross_, bool_or(w) AS aw, bool_or(r) AS ar, bool_or(bw) AS bw, bool_or(br) AS br, bool_or(o) AS o
+    FROM side s LEFT JOIN hosts h ON h.unit = s.unit GROUP BY resource HAVING count(*) > 1),
+    run AS (SELECT resource, CASE WHEN len(g) = 1 THEN g[1] WHEN g IS NULL THEN 'none' END AS owner, coalesce(len(g), 0)::INT AS writer_groups, CASE WHEN iw AND tw THEN 'mixed' WHEN iw AND tr THEN 'isr->thread' WHEN iw THEN 'isr<->isr' WHEN ir THEN 'thread->isr' ELSE 'thread<->thread' END AS flow, cross_ AS "cross", iw AND tw AS pollution,
+    cross_ AND (aw AND NOT bw AND br OR ar AND NOT br AND bw) AS mismatch, cross_ AND o AND atomicity IN ('composite', 'wide') AS non_atomic FROM var JOIN atom USING (resource))"""
+
+
+def run_facts(a):
+    """Hosts of some callbacks, and an atomicity for each resource."""
+    hosts = a.where("unit_kind = 'callback' and user_id % 3 = 0").select(F.concat(F.lit("callback:"), F.col("user_id").cast("string")).alias("unit"), F.concat(F.lit("task:"), (F.col("user_id") % 20).cast("string")).alias("host")).distinct()
+    kind = F.when(F.length("resource") % 3 == 0, "composite").when(F.length("resource") % 3 == 1, "wide").otherwise("single-word")
+    return a.select("resource", kind.alias("atomicity")).distinct(), hosts
+
+
+@query("run_variables", f"WITH {ACCESS_SQL}, {SIDE_SQL} SELECT * FROM run")
+def run_variables(spark, d):
+    a = accesses(spark, d)
+    return C.run_variables(a, *run_facts(a))
+
+
+@query(
+    "worst_of_units",
+    CONFLICT_SQL + f""", {SIDE_SQL}, bad AS (SELECT resource FROM one UNION SELECT resource FROM two), m AS (SELECT side.unit, CASE WHEN run.resource IN (SELECT resource FROM bad) THEN 3 WHEN pollution AND w AND unit_kind <> 'isr' THEN 2 WHEN mismatch THEN 1 ELSE 0 END AS k FROM side JOIN run USING (resource))
+    SELECT unit, CASE max(k) WHEN 3 THEN 'conflict' WHEN 2 THEN 'pollution' WHEN 1 THEN 'mismatch' ELSE 'shared' END AS worst FROM m GROUP BY unit""",
+)
+def worst_of_units(spark, d):
+    a = accesses(spark, d)
+    return C.worst_of_units(a, C.run_variables(a, *run_facts(a)), C.conflicts(a))
+
+
+@query("dependency_lists", f"WITH {ACCESS_SQL}, w AS (SELECT DISTINCT resource, unit FROM acc WHERE {W}), r AS (SELECT DISTINCT resource, unit FROM acc WHERE {R}) SELECT w.unit AS from_unit, r.unit AS to_unit, string_agg(resource, ',' ORDER BY resource) AS resources FROM w JOIN r USING (resource) WHERE w.unit <> r.unit GROUP BY w.unit, r.unit")
+def dependency_lists(spark, d):
+    return C.dependency_resources(accesses(spark, d)).withColumn("resources", F.array_join("resources", ","))
 
 
-@query("run_modes", "SELECT * FROM (VALUES ('task:a', 'periodic', 'high', 50.0::DOUBLE), ('task:b', 'event-driven', 'high', NULL), ('main:main', 'busy-poll', 'medium', NULL), ('isr:x', 'one-shot', 'medium', NULL), ('task:c', 'periodic', 'high', NULL), ('task:d', 'unknown', 'low', NULL)) t(unit, mode, confidence, period_ms)")
-def run_modes(spark, d):
-    units = spark.createDataFrame([("task:a", "fa", True), ("task:b", "fb", True), ("main:main", "m", True), ("isr:x", "x", True), ("task:c", "fc", True), ("task:d", "fd", False)], "unit string, function string, analysed boolean")
-    rows = [("fa", 1, True, [("delay", 0.05, "s")]), ("fb", 1, True, [("wait", None, None), ("delay", 5.0, "ms")]), ("m", 1, True, []), ("x", 1, False, []), ("fc", 1, True, [("delay", 1.0, "ms"), ("delay", 2.0, "tick")]), ("fd", 1, True, [])]
-    return C.run_modes(units, spark.createDataFrame(rows, "function string, loop_id int, infinite boolean, blocking array<struct<kind: string, value: double, unit: string>>"))
+@query(
+    "step_variables",
+    CONFLICT_SQL + f""", bad AS (SELECT resource FROM one UNION SELECT resource FROM two), wk AS (SELECT DISTINCT resource FROM acc WHERE via = 'field'), st AS (SELECT DISTINCT event_id AS step, 'f' || ((event_id * 7) % 400) AS function FROM acc WHERE unit_kind = 'task'), site AS (SELECT DISTINCT function, resource, kind, protected FROM acc),
+    isr AS (SELECT resource, string_agg(DISTINCT unit, ',' ORDER BY unit) AS isr_writers FROM acc WHERE unit_kind = 'isr' AND kind <> 'read' GROUP BY resource)
+    SELECT step, resource, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, bool_and(protected) AS in_critical, resource IN (SELECT resource FROM bad) AS conflict, resource IN (SELECT resource FROM wk) AS wake, coalesce((SELECT isr_writers FROM isr WHERE isr.resource = s.resource), '') AS isr_writers FROM st JOIN site s USING (function) GROUP BY step, resource""",
+)
+def step_variables(spark, d):
+    a = accesses(spark, d)
+    steps = a.where("unit_kind = 'task'").select(F.col("event_id").alias("step"), F.concat(F.lit("f"), F.pmod(F.col("event_id") * 7, F.lit(400)).cast("string")).alias("function"))
+    return C.step_variables(steps, a, C.conflicts(a), a.where("via = 'field'").select("resource"))

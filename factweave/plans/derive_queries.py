@@ -1,4 +1,4 @@
-"""Queries of the derivations, mostly over small inline facts."""
+"""Queries of the derivations."""
 
 from __future__ import annotations
 
@@ -8,99 +8,23 @@ from ..operators import derive as D
 from .bindings import ACCESS_SQL, accesses, part_graph, part_graph_sql, query, table
 
 
-def rows(spark, schema, *values):
-    return spark.createDataFrame(list(values), schema)
-
-
-@query("entries", "SELECT * FROM (VALUES ('reset', 'r', false), ('main', 'l', true)) t(kind, symbol_id, superloop)")
-def entries(spark, d):
-    functions = rows(spark, "symbol_id string, name string", ("r", "Reset_Handler"), ("l", "loop"), ("s1", "setup"), ("s2", "setup"))
-    return D.entries(functions, rows(spark, "function string, superloop boolean", ("loop", True), ("setup", False)))
-
-
-@query("idle_exceptions", "SELECT * FROM (VALUES ('NMI_Handler', -14)) t(handler, vector)")
-def idle_exceptions(spark, d):
-    vectors = rows(spark, "handler string, vector int", ("NMI_Handler", -14), ("SysTick_Handler", -1), ("Hard", -13), ("TIM", 3))
-    return D.idle_exceptions(vectors, rows(spark, "source string", ("Hard",)), rows(spark, "function string", ("SysTick_Handler",))).select("handler", "vector")
-
-
 @query("dispatch_edges", f"WITH {ACCESS_SQL} SELECT DISTINCT function AS source, 'f' || ((user_id * 3) % 40) AS target, 'dispatches' AS relation FROM acc WHERE unit_kind = 'callback' AND function <> 'f' || ((user_id * 3) % 40)")
 def dispatch_edges(spark, d):
     a = accesses(spark, d).where("unit_kind = 'callback'")
     return D.dispatch_edges(a.select(F.col("function").alias("dispatcher"), F.concat(F.lit("f"), F.pmod(F.col("user_id") * 3, F.lit(40)).cast("string")).alias("callback")))
 
 
-BLOCK_SQL = "blk AS (SELECT p_partkey AS function, p_name AS callee, CASE WHEN p_size % 2 = 0 THEN 'wait' ELSE 'delay' END AS kind, p_size AS line FROM part WHERE p_partkey % 17 = 0)"
-
-
-@query(
-    "nearest_blocking",
-    f"""WITH RECURSIVE {part_graph_sql()}, {BLOCK_SQL}, h(root, node, hops) AS (SELECT node, node, 0 FROM (SELECT source AS node FROM edges UNION SELECT target FROM edges UNION SELECT function FROM blk) x UNION SELECT h.root, e.target, h.hops + 1 FROM h JOIN edges e ON h.node = e.source WHERE h.hops < 3),
-    m AS (SELECT root, node, min(hops) AS hops FROM h GROUP BY root, node) SELECT root AS function, callee, kind, hops FROM m JOIN blk ON blk.function = m.node QUALIFY row_number() OVER (PARTITION BY root ORDER BY hops, kind <> 'wait', line, callee) = 1""",
-)
-def nearest_blocking(spark, d):
-    b = table(spark, d, "part").where("p_partkey % 17 = 0").select(F.col("p_partkey").alias("function"), F.col("p_name").alias("callee"), F.when(F.col("p_size") % 2 == 0, "wait").otherwise("delay").alias("kind"), F.col("p_size").alias("line"))
-    return D.nearest_blocking(part_graph(spark, d), b)
-
-
 @query("infinite_in_callees", f"WITH RECURSIVE {part_graph_sql()}, h(root, node, hops) AS (SELECT DISTINCT source, source, 0 FROM edges UNION SELECT h.root, e.target, h.hops + 1 FROM h JOIN edges e ON h.node = e.source WHERE h.hops < 3), m AS (SELECT root, node, min(hops) AS hops FROM h GROUP BY root, node HAVING min(hops) > 0) SELECT root AS function, min(hops) AS hops FROM m WHERE node % 13 = 0 GROUP BY root")
 def infinite_in_callees(spark, d):
     loops = table(spark, d, "part").select(F.col("p_partkey").alias("function"), (F.col("p_partkey") % 13 == 0).alias("infinite"))
     return D.infinite_in_callees(part_graph(spark, d), loops)
 
 
-def bindings(spark):
-    assigns = rows(spark, "callback string, struct_type string, field string", ("cb1", "dev", "on_rx"), ("cb2", None, "hook"), ("cb1", "dev", "on_rx"))
-    tables = rows(spark, "callback string, struct_type string, index int", ("cb1", "dev", 1), ("cb3", "ops", 9))
-    stores = "callback string, callee_stores struct<struct_type: string, field: string>"
-    return D.indirect_bindings(assigns, tables, rows(spark, stores, ("cb1", ("bus", "cb")), ("cb4", None)), rows(spark, "struct_type string, index int, field string", ("dev", 1, "on_tx")))
-
-
-@query("indirect_bindings", "SELECT * FROM (VALUES ('cb1', 'dev', 'on_rx', 'struct-field-assign'), ('cb2', NULL, 'hook', 'pointer-assign'), ('cb1', 'dev', 'on_tx', 'init-table'), ('cb1', 'bus', 'cb', 'param-store')) t(callback, struct_type, field, form)")
-def indirect_bindings(spark, d):
-    return bindings(spark)
-
-
-@query("callback_details", "SELECT * FROM (VALUES ('cb1', 'param-store', 'cb,on_rx,on_tx'), ('cb2', 'pointer-assign', 'hook')) t(callback, form, fields)")
-def callback_details(spark, d):
-    return D.callback_details(bindings(spark))
-
-
-@query("enabled_interrupts", "SELECT * FROM (VALUES (1, 'TIM2_IRQn', 'literal'), (2, '5', 'parameter'), (2, '7', 'parameter'), (3, NULL, 'unresolved')) t(site, irq, basis)")
-def enabled_interrupts(spark, d):
-    sites = rows(spark, "site int, function string, argument string, is_parameter boolean", (1, "f", "TIM2_IRQn", False), (2, "g", "n", True), (3, "h", "m", True))
-    return D.enabled_interrupts(sites, rows(spark, "function string, parameter string, constant string", ("g", "n", "5"), ("g", "n", "7"), ("f", "n", "1")))
-
-
-@query("inherited_modes", "SELECT * FROM (VALUES ('task:a', 'periodic', 50.0::DOUBLE, false), ('callback:b', 'periodic', 50.0, true), ('callback:c', 'one-shot', NULL, false)) t(unit, mode, period_ms, inherited)")
-def inherited_modes(spark, d):
-    modes = rows(spark, "unit string, mode string, period_ms double", ("task:a", "periodic", 50.0), ("callback:b", "one-shot", None), ("callback:c", "one-shot", None))
-    return D.inherit_modes(modes, rows(spark, "unit string, host string", ("callback:b", "task:a")))
-
-
 @query("image_totals", "SELECT count(*) AS objects, sum(l_linenumber + 2 * l_linenumber + l_suppkey)::BIGINT AS rom, sum(l_suppkey + 7)::BIGINT AS ram FROM lineitem")
 def image_totals(spark, d):
     return D.image_totals(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("object"), F.col("l_linenumber").alias("code"), (F.col("l_linenumber") * 2).alias("ro"), F.col("l_suppkey").alias("rw"), F.lit(7).alias("zi")))
 
 
-@query("image_staleness", "SELECT * FROM (VALUES (1, 1, 1)) t(newer, missing, unlinked)")
-def image_staleness(spark, d):
-    image = rows(spark, "source_path string, mtime bigint", ("a.c", 10), ("b.c", 10), (None, 10))
-    return D.staleness(image, rows(spark, "path string, mtime bigint", ("a.c", 11), ("b.c", 9), ("z.c", 5)))
-
-
-@query("boot_tree", "SELECT * FROM (VALUES ('main', 0), ('init', 1), ('bus', 2)) t(node, hops)")
-def boot_tree(spark, d):
-    calls = rows(spark, "source string, target string", ("main", "init"), ("init", "bus"), ("init", "log"), ("main", "idle"))
-    return D.boot_tree(calls, rows(spark, "function string", ("bus",)), "main")
-
-
-@query("tree_children", "SELECT * FROM (VALUES ('init', 'call', 4), ('task_a', 'schedule', 9)) t(child, hop, line)")
-def tree_children(spark, d):
-    calls = rows(spark, "source string, target string, line int", ("main", "init", 4), ("main", "init", 7), ("init", "x", 1))
-    return D.tree_children(calls, rows(spark, "function string, target string, line int", ("main", "task_a", 9)), "main")
-
-
 @query("call_pairs", "SELECT l_suppkey AS source, l_partkey % 40 AS target, l_linenumber AS line, bool_and(l_returnflag = 'R') AS dispatched FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL")
 def call_pairs(spark, d):
     e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), F.pmod("l_partkey", F.lit(40)).alias("target"), F.col("l_linenumber").alias("line"), F.when(F.col("l_returnflag") == "R", "dispatches").when(F.col("l_returnflag") == "A", "calls").otherwise("reads").alias("relation"))
@@ -112,76 +36,12 @@ def exports(spark, d):
     return D.exports(table(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "F", "1-URGENT").otherwise("5-LOW").alias("source_path"), F.col("o_orderpriority").alias("target_path"), F.col("o_custkey").alias("target")))
 
 
-@query("edge_detail", "SELECT * FROM (VALUES ('calls', 7, '1,2,3,4,5,6'), ('includes', 1, '3')) t(measure, edges, lines)")
-def edge_detail(spark, d):
-    edges = [("a.c", "b.c", "calls", i) for i in range(1, 8)] + [("a.c", "b.h", "includes", 3), ("b.c", "a.c", "calls", 1)]
-    return D.edge_detail(rows(spark, "source string, target string, measure string, line int", *edges), ["a.c"], ["b.c", "b.h"])
-
-
-@query("extern_declarations", "SELECT * FROM (VALUES ('a.h', 'f', 2, 'f.c', true), ('a.c', 'g', 5, NULL, false)) t(path, name, line, defined_in, via_header)")
-def extern_declarations(spark, d):
-    decl = rows(spark, "path string, line int, name string", ("a.h", 9, "f"), ("a.h", 2, "f"), ("a.c", 5, "g"), ("f.c", 1, "f"))
-    return D.extern_declarations(decl, rows(spark, "path string, name string", ("f.c", "f"), ("x.c", "g"), ("y.c", "g")))
-
-
-@query("named_enums", "SELECT * FROM (VALUES ('a.h', 5, 'mode_t'), ('a.h', 9, 'color'), ('a.h', 20, NULL), ('b.h', 5, 'late_t')) t(file, end_line, name)")
-def named_enums(spark, d):
-    enums = rows(spark, "file string, end_line int, name string", ("a.h", 5, None), ("a.h", 9, "color"), ("a.h", 20, None), ("b.h", 5, None))
-    return D.name_enums(enums, rows(spark, "file string, line int, alias string", ("a.h", 5, "mode_t"), ("a.h", 4, "old_t"), ("b.h", 4, "late_t"), ("a.h", 9, "no_t")))
-
-
-@query("task_priorities", "SELECT * FROM (VALUES ('t1', '3', 'argument'), ('t2', '40', 'attr-initializer'), ('t3', '7', 'attr-initializer'), ('t4', NULL, 'unresolved')) t(unit, text, basis)")
-def task_priorities(spark, d):
-    tasks = rows(spark, "unit string, path string, argument string, attribute string", ("t1", "a.c", "3", "x"), ("t2", "a.c", None, "x"), ("t3", "z.c", None, "y"), ("t4", "z.c", None, "x"))
-    return D.task_priorities(tasks, rows(spark, "attribute string, path string, text string", ("x", "a.c", "40"), ("x", "b.c", "41"), ("y", "q.c", "7")))
-
-
 @query("machine_owners", f"WITH {ACCESS_SQL}, m AS (SELECT DISTINCT user_id % 25 AS machine, function FROM acc) SELECT machine, string_agg(DISTINCT unit, ',' ORDER BY unit) AS owners FROM m JOIN (SELECT DISTINCT unit, function FROM acc) r USING (function) GROUP BY machine")
 def machine_owners(spark, d):
     a = accesses(spark, d)
     return D.machine_owners(a.select(F.pmod("user_id", F.lit(25)).alias("machine"), "function").distinct(), a.select("unit", "function").distinct())
 
 
-@query("machine_coupling", "SELECT * FROM (VALUES ('m1', 'm2')) t(machine, other)")
-def machine_coupling(spark, d):
-    conditions = rows(spark, "machine string, condition string", ("m1", "bus_ready() && own(3)"), ("m2", "x > 1"))
-    functions = rows(spark, "name string, path string", ("bus_ready", "bus.c"), ("own", "led.c"))
-    return D.machine_coupling(conditions, functions, rows(spark, "machine string, path string", ("m1", "led.c"), ("m2", "bus.c")))
-
-
-@query("machine_transitions", "SELECT * FROM (VALUES ('m', 'OFF', 'ON', 'assignment'), ('m', 'ON', 'FAULT', 'call:fail'), ('m', NULL, 'OFF', 'outside-switch')) t(machine, source, target, via)")
-def machine_transitions(spark, d):
-    labels = rows(spark, "machine string, function string, state string, line int, end_line int", ("m", "step", "OFF", 10, 14), ("m", "step", "ON", 15, 19))
-    writes = rows(spark, "function string, line int, target string", ("step", 12, "ON"), ("fail", 2, "FAULT"), ("step", 30, "OFF"))
-    return D.machine_transitions(labels, writes, rows(spark, "function string, line int, callee string", ("step", 17, "fail")))
-
-
-ROUND = "unit string, function string, line int, end_line int, superloop boolean"
-
-
-def round_facts(spark):
-    units = rows(spark, ROUND, ("main:loop", "loop", 1, 30, True), ("task:a", "fa", 40, 80, False), ("isr:x", "fx", 90, 95, False))
-    loops = rows(spark, "function string, line int, end_line int, depth int, infinite boolean", ("loop", 5, 9, 0, True), ("fa", 45, 75, 0, True), ("fa", 50, 60, 1, True), ("fx", 91, 92, 0, False))
-    return units, loops
-
-
-@query("round_ranges", "SELECT * FROM (VALUES ('main:loop', 1, 30, 'superloop'), ('task:a', 45, 75, 'loop'), ('isr:x', 90, 95, 'body')) t(unit, from_line, to_line, kind)")
-def round_ranges(spark, d):
-    return D.round_ranges(*round_facts(spark))
-
-
-@query("round_columns", "SELECT * FROM (VALUES ('main:loop', 'loop', 5, 0), ('task:a', 'loop', 45, 0), ('task:a', 'loop', 50, 1), ('isr:x', 'loop', 91, 0), ('task:a', 'call:put', 55, 2), ('task:a', 'call:get', 70, 1), ('isr:x', 'call:ack', 94, 0)) t(unit, item, line, depth)")
-def round_columns(spark, d):
-    units, loops = round_facts(spark)
-    ranges = D.round_ranges(units, loops).join(units.select("unit", "function"), "unit")
-    return D.round_columns(ranges, loops, rows(spark, "function string, callee string, line int", ("fa", "put", 55), ("fa", "get", 70), ("fa", "early", 41), ("fx", "ack", 94)))
-
-
-@query("tick_of", "SELECT * FROM (VALUES ('a', 1.0::DOUBLE), ('b', 10.0)) t(project, tick_ms)")
-def tick_of(spark, d):
-    return D.tick_of(rows(spark, "project string, basis string, tick_ms double", ("a", "declared", 10.0), ("a", "code", 1.0), ("b", "declared", 10.0), ("b", "code", None)))
-
-
 @query("ordered_merge", "SELECT c_nationkey AS unit_index, c_custkey AS seq, row_number() OVER (ORDER BY c_nationkey, c_custkey) AS place FROM customer")
 def ordered_merge(spark, d):
     c = table(spark, d, "customer").select(F.col("c_nationkey").alias("unit_index"), F.col("c_custkey").alias("seq"))

@@ -8,20 +8,20 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators import graph as G
 from ..operators import joins as J
-from .bindings import ROOTS_SQL, part_graph, part_graph_sql, part_roots, query, table
+from .bindings import STEP_SQL, part_graph, part_graph_sql, part_steps, query, table, whole_graph, whole_graph_sql
 
 FAN_SQL = """fan AS (SELECT node, count(DISTINCT CASE WHEN NOT o THEN other END) AS fan_in, count(DISTINCT CASE WHEN o THEN other END) AS fan_out FROM
     (SELECT source AS node, target AS other, true AS o FROM edges UNION ALL SELECT target, source, false FROM edges) x GROUP BY node)"""
 
 
-@query("hotspots", f"WITH {part_graph_sql()}, {FAN_SQL} SELECT node, fan_in, fan_out, fan_in + fan_out AS total FROM fan ORDER BY total DESC, fan_in DESC, fan_out DESC, node LIMIT 25")
+@query("hotspots", f"WITH {whole_graph_sql()}, {FAN_SQL} SELECT node, fan_in, fan_out, fan_in + fan_out AS total FROM fan ORDER BY total DESC, fan_in DESC, fan_out DESC, node LIMIT 25")
 def hotspots(spark, d):
-    return A.hotspots(part_graph(spark, d))
+    return A.hotspots(whole_graph(spark, d))
 
 
-@query("fan_in_out", f"WITH {part_graph_sql()}, {FAN_SQL} SELECT node, fan_in, fan_out FROM fan")
+@query("fan_in_out", f"WITH {whole_graph_sql()}, {FAN_SQL} SELECT node, fan_in, fan_out FROM fan")
 def fan_in_out(spark, d):
-    return A.fan(part_graph(spark, d))
+    return A.fan(whole_graph(spark, d))
 
 
 CLOSURE_SQL = "walk(root, node) AS (SELECT source, target FROM edges UNION SELECT w.root, e.target FROM walk w JOIN edges e ON w.node = e.source)"
@@ -48,73 +48,41 @@ def dag_depth(spark, d):
 REACH_SQL = "far(root, node) AS (SELECT root, root FROM roots UNION SELECT f.root, e.target FROM far f JOIN edges e ON f.node = e.source)"
 
 
-@query("closure_roots", f"WITH RECURSIVE {part_graph_sql()}, {ROOTS_SQL}, {REACH_SQL} SELECT root, node FROM far")
-def closure_roots(spark, d):
-    e = part_graph(spark, d)
-    return G.reach(e, part_roots(e)).select("root", "node")
-
-
-@query("unreached", f"WITH RECURSIVE {part_graph_sql()}, {ROOTS_SQL}, {REACH_SQL} SELECT node FROM (SELECT source AS node FROM edges UNION SELECT target FROM edges) n WHERE node NOT IN (SELECT node FROM far)")
-def unreached(spark, d):
-    e = part_graph(spark, d)
-    nodes = e.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-    return nodes.join(G.reach(e, part_roots(e)).select("node").distinct(), "node", "left_anti")
-
-
 HOPS_SQL = "hop(root, node, hops) AS (SELECT root, root, 0 FROM roots UNION SELECT h.root, e.target, h.hops + 1 FROM hop h JOIN edges e ON h.node = e.source WHERE h.hops < {n})"
 
 
-@query("closure_bounded3", f"WITH RECURSIVE {part_graph_sql()}, {ROOTS_SQL}, {HOPS_SQL.format(n=3)} SELECT root, node, min(hops) AS hops FROM hop GROUP BY root, node")
-def closure_bounded3(spark, d):
-    e = part_graph(spark, d)
-    return G.reach_within(e, part_roots(e), 3)
-
-
-@query(
-    "shortest_chain",
-    f"""WITH RECURSIVE {part_graph_sql()}, {ROOTS_SQL}, {HOPS_SQL.format(n=40)}, near AS (SELECT root, node, min(hops) AS hops FROM hop GROUP BY root, node)
-    SELECT n.root, n.node, n.hops, min(p.node) AS parent FROM near n LEFT JOIN (SELECT p.root, p.node, p.hops, e.target FROM near p JOIN edges e ON e.source = p.node) p
-    ON p.root = n.root AND p.target = n.node AND p.hops + 1 = n.hops GROUP BY n.root, n.node, n.hops""",
-)
-def shortest_chain(spark, d):
-    e = part_graph(spark, d)
-    return G.shortest_chains(e, part_roots(e))
-
-
-CALLS_SQL = part_graph_sql("calls", "A", 48)
+CALLS_SQL = whole_graph_sql("calls", "A")
 
 
 @query(
     "contract_bypass",
-    f"""WITH RECURSIVE {part_graph_sql()}, {CALLS_SQL}, near(root, node, hops) AS (SELECT source, source, 0 FROM calls UNION SELECT h.root, e.target, h.hops + 1 FROM near h JOIN edges e ON h.node = e.source WHERE h.hops < 3)
-    SELECT source, target FROM calls c WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.root = c.source AND n.node = c.target)""",
+    f"""WITH {part_graph_sql()}, {CALLS_SQL}, near AS (SELECT source AS a, target AS b FROM edges UNION SELECT e.source, f.target FROM edges e JOIN edges f ON f.source = e.target
+    UNION SELECT e.source, g.target FROM edges e JOIN edges f ON f.source = e.target JOIN edges g ON g.source = f.target)
+    SELECT source, target FROM calls c WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.a = c.source AND n.b = c.target)""",
 )
 def contract_bypass(spark, d):
-    calls = part_graph(spark, d, "A", 48)
-    near = G.reach_within(part_graph(spark, d), calls.select(F.col("source").alias("root"), F.col("source").alias("node")).distinct(), 3)
-    return J.bypasses(calls, near)
+    return J.bypasses(whole_graph(spark, d, "A"), part_graph(spark, d))
 
 
-@query("type_only_includes", f"WITH {part_graph_sql(least=30)}, {part_graph_sql('calls', 'A', 20)} SELECT source, target FROM edges EXCEPT SELECT source, target FROM calls")
+@query("type_only_includes", f"WITH {whole_graph_sql('edges', 'R')}, {CALLS_SQL} SELECT source, target FROM edges EXCEPT SELECT source, target FROM calls")
 def type_only_includes(spark, d):
-    return J.type_only_includes(part_graph(spark, d, least=30), part_graph(spark, d, "A", 20))
+    return J.type_only_includes(whole_graph(spark, d, "R"), whole_graph(spark, d, "A"))
 
 
 BRAND_SQL = "JOIN part a ON a.p_partkey = e.source JOIN part b ON b.p_partkey = e.target"
 
 
 def tagged_edges(spark, d):
+    """(source, target, measure): brands whose parts follow each other, each pair of parts once for each flag; all from one pass over the lines."""
     part = table(spark, d, "part").select("p_partkey", "p_brand")
-    out = None
-    for measure, flag, least in (("includes", "R", 44), ("calls", "A", 48), ("reads", "N", 49)):
-        e = part_graph(spark, d, flag, least).join(part.select(F.col("p_partkey").alias("source"), F.col("p_brand").alias("a")), "source").join(part.select(F.col("p_partkey").alias("target"), F.col("p_brand").alias("b")), "target")
-        e = e.select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit(measure).alias("measure"))
-        out = e if out is None else out.unionByName(e)
-    return out
+    measure = F.when(F.col("flag") == "R", "includes").when(F.col("flag") == "A", "calls").otherwise("reads")
+    e = part_steps(spark, d).select("source", "target", measure.alias("measure")).distinct()
+    e = e.join(part.select(F.col("p_partkey").alias("source"), F.col("p_brand").alias("a")), "source").join(part.select(F.col("p_partkey").alias("target"), F.col("p_brand").alias("b")), "target")
+    return e.select(F.col("a").alias("source"), F.col("b").alias("target"), "measure")
 
 
-EDGE8_SQL = f"""{part_graph_sql()}, {CALLS_SQL}, {part_graph_sql('reads', 'N', 49)}, tagged AS (SELECT a.p_brand AS source, b.p_brand AS target, m FROM
-    (SELECT *, 'includes' AS m FROM edges UNION ALL SELECT *, 'calls' FROM calls UNION ALL SELECT *, 'reads' FROM reads) e {BRAND_SQL})"""
+EDGE8_SQL = f"""tagged AS (SELECT a.p_brand AS source, b.p_brand AS target, m FROM
+    (SELECT DISTINCT s AS source, t AS target, CASE f WHEN 'R' THEN 'includes' WHEN 'A' THEN 'calls' ELSE 'reads' END AS m FROM ({STEP_SQL}) x WHERE t IS NOT NULL AND s <> t) e {BRAND_SQL})"""
 
 
 @query(
@@ -138,7 +106,7 @@ def peel_sequence(spark, d):
 
 
 def supplier_edges(spark, d):
-    """(source, target, weight): how often two suppliers follow each other in an order, with the line flag and quantity of part_graph()."""
+    """(source, target, weight): how often two suppliers follow each other in an order, in lines of large quantities that came back or were accepted."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), F.lead("l_suppkey").over(w).alias("target"), "l_returnflag", "l_quantity")
     rows = rows.where("target <> source and (l_returnflag = 'R' and l_quantity > 44 or l_returnflag = 'A' and l_quantity > 48)")
@@ -153,21 +121,3 @@ def cluster_members(spark, d):
 @query("cluster_stability")
 def cluster_stability(spark, d):
     return A.stability(cluster_members(spark, d))
-
-
-@query(
-    "pruned_calls",
-    "SELECT * FROM (VALUES (2, 'g', 'h', 0, 2, 1), (4, 'h', 'k', 0, 9, 2)) t(site, caller, callee, param, wanted, round)",
-)
-def pruned_calls(spark, d):
-    calls = spark.createDataFrame([(1, "main", "g"), (2, "g", "h"), (3, "g", "i"), (4, "h", "k"), (5, "main", "h")], "site int, caller string, callee string")
-    arguments = spark.createDataFrame([(1, 0, 1), (2, 0, 9), (5, 0, 3), (3, 0, None)], "site int, position int, value int")
-    guards = spark.createDataFrame([(2, 0, 2), (3, 0, 1), (4, 0, 9)], "site int, position int, equals int")
-    return G.prune_branches(calls, arguments, guards, spark.createDataFrame([("main",)], "function string"))
-
-
-@query("polling_order", "SELECT * FROM (VALUES ('p', 'task:a', 0), ('p', 'task:b', 1), ('p', 'task:c', 2)) t(project, unit, place)")
-def polling_order(spark, d):
-    calls = spark.createDataFrame([("p", "main", "init", 10)], "project string, source string, target string, line int")
-    regs = spark.createDataFrame([("p", "init", "task:a", 20), ("p", "init", "task:b", 30), ("p", "main", "task:c", 11)], "project string, function string, unit string, line int")
-    return G.polling_order(calls, regs, spark.createDataFrame([("p", "main")], "project string, function string"))

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import graph as G
 from ..operators import joins as J
-from .bindings import ACCESS_SQL, ROOTS_SQL, accesses, part_graph, part_graph_sql, part_roots, query, table
-from .graph_queries import REACH_SQL
+from .bindings import query, table, whole_graph, whole_graph_sql
 
 DEFS_SQL = """defs AS (SELECT split_part(p_name, ' ', 1) AS name, 'src/' || replace(p_brand, '#', '') || '/' || p_type || '/' || (p_partkey % 9) || '.c' AS def_path, 'function:' || p_partkey AS symbol_id FROM part),
     uses AS (SELECT s_suppkey AS use_id, split_part(p_name, ' ', 1) AS name, 'src/' || replace(p_brand, '#', '') || '/' || p_type || '/' || (s_suppkey % 9) || '.c' AS path FROM supplier JOIN part ON p_partkey = s_suppkey * 7)"""
@@ -56,12 +54,6 @@ def interval_inside(spark, d):
     return J.inside(points.withColumn("column", F.pmod("point_id", F.lit(80))), spans, "user_id")
 
 
-@query("block_nesting", "SELECT * FROM (VALUES ('f', 1, NULL, 0), ('f', 2, 1, 1), ('f', 3, 2, 2), ('f', 4, 1, 1), ('g', 5, NULL, 0)) t(function, block_id, parent, depth)")
-def block_nesting(spark, d):
-    rows = [("f", 1, 1, 20), ("f", 2, 3, 9), ("f", 3, 5, 6), ("f", 4, 12, 15), ("g", 5, 1, 4)]
-    return J.nesting(spark.createDataFrame(rows, "function string, block_id int, line_from int, line_to int"), "function")
-
-
 @query(
     "yield_hazard",
     """WITH a AS (SELECT user_id, event_type AS name, CASE WHEN event_id % 2 = 0 THEN 'write' ELSE 'read' END AS kind, event_id AS line FROM events WHERE event_type IN ('click', 'view')), y AS (SELECT user_id, event_id AS yield_line FROM events WHERE event_type = 'error'),
@@ -74,19 +66,6 @@ def yield_hazard(spark, d):
     return J.hazard_over_yield(a, e.where("event_type = 'error'").select("user_id", F.col("event_id").alias("line")), "user_id")
 
 
-SLOT_SQL = "stores AS (SELECT p_partkey AS callback, p_brand AS struct_type, p_type || p_size AS field FROM part WHERE p_partkey % 11 = 0), calls AS (SELECT p_partkey AS call_id, p_brand AS struct_type, p_type || p_size AS field FROM part WHERE p_partkey % 7 = 0)"
-
-
-@query(
-    "slot_match",
-    f"""WITH {SLOT_SQL}, strong AS (SELECT DISTINCT call_id, callback FROM calls JOIN stores USING (struct_type, field)) SELECT call_id, callback, false AS weak_match FROM strong
-    UNION ALL SELECT DISTINCT c.call_id, s.callback, true FROM calls c JOIN stores s USING (field) WHERE c.call_id NOT IN (SELECT call_id FROM strong)""",
-)
-def slot_match(spark, d):
-    p = table(spark, d, "part").withColumn("field", F.concat("p_type", F.col("p_size").cast("string")))
-    return J.slot_match(p.where("p_partkey % 11 = 0").select(F.col("p_partkey").alias("callback"), F.col("p_brand").alias("struct_type"), "field"), p.where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("call_id"), F.col("p_brand").alias("struct_type"), "field"))
-
-
 @query(
     "bound_arguments",
     """WITH c AS (SELECT o_orderkey AS call_id, o_orderstatus AS callee, [o_orderpriority, CAST(o_custkey AS VARCHAR), 'x'] AS args FROM orders), p(callee, position, parameter) AS (VALUES ('F', 0, 'prio'), ('F', 1, 'owner'), ('O', 1, 'owner'), ('P', 3, 'none'))
@@ -97,12 +76,6 @@ def bound_arguments(spark, d):
     return J.bind_arguments(calls, spark.createDataFrame([("F", 0, "prio"), ("F", 1, "owner"), ("O", 1, "owner"), ("P", 3, "none")], "callee string, position int, parameter string"))
 
 
-@query("traced_constants", "SELECT * FROM (VALUES ('h', 'p', '7', 0), ('h', 'p', '5', 1), ('h', 'p', '4', 2), ('g', 'q', '5', 0), ('g', 'q', '4', 1), ('f', 'r', '4', 0), ('f', 'r', '1', 1), ('g', 'q', '1', 2), ('e', 's', '1', 0)) t(function, parameter, constant, hops)")
-def traced_constants(spark, d):
-    rows = [("h", "p", "g", "q", True), ("h", "p", "m", "7", False), ("g", "q", "f", "r", True), ("g", "q", "m", "5", False), ("f", "r", "m", "4", False), ("f", "r", "e", "s", True), ("e", "s", "m", "1", False)]
-    return J.trace_constants(spark.createDataFrame(rows, "function string, parameter string, caller string, argument string, is_parameter boolean"))
-
-
 VOTES_SQL = "votes AS (SELECT l_suppkey AS object, p_brand AS path FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 40)"
 
 
@@ -116,13 +89,6 @@ def vote_match(spark, d):
     return J.majority(votes, "object", "path")
 
 
-@query("object_sources", "SELECT * FROM (VALUES ('led.o', 'src/led.c', 'functions'), ('gpio.o', 'src/gpio.c', 'name'), ('tie.o', NULL, 'none')) t(object, source_path, match)")
-def object_sources(spark, d):
-    votes = spark.createDataFrame([("led.o", "src/led.c"), ("led.o", "src/led.c"), ("led.o", "src/x.c"), ("tie.o", "a/tie.c"), ("tie.o", "b/tie.c")], "object string, path string")
-    files = spark.createDataFrame([("src/led.c",), ("src/gpio.c",), ("a/tie.c",), ("b/tie.c",)], "path string")
-    return J.object_sources(votes, spark.createDataFrame([("led.o",), ("gpio.o",), ("tie.o",)], "object string"), files)
-
-
 @query("longest_module", "SELECT p_name AS path, CASE WHEN regexp_full_match(p_name, '[^/]* wid[^/]et') THEN 'm3' WHEN regexp_full_match(p_name, 'small [^/]*') THEN 'm2' WHEN regexp_full_match(p_name, 's[^/]*') THEN 'm1' END AS module FROM part")
 def longest_module(spark, d):
     return J.longest_pattern(table(spark, d, "part").select(F.col("p_name").alias("path")), [("m1", "s*"), ("m2", "small *"), ("m3", "* wid?et")])
@@ -147,22 +113,11 @@ def macro_resolution(spark, d):
     return J.resolve_names(uses, table(spark, d, "benchmark").select(F.col("item_id").alias("path"), word("text")).distinct())
 
 
-@query(
-    "variable_symbols",
-    f"""WITH {ACCESS_SQL}, v AS (SELECT DISTINCT resource AS name, path AS var_path, 'variable:' || path || ':' || resource AS symbol_id, user_id % 3 = 0 AS is_static FROM acc WHERE event_id % 13 = 0),
-    one AS (SELECT name, var_path, min(symbol_id) AS symbol_id FROM v GROUP BY name, var_path), sh AS (SELECT name, min(symbol_id) AS s FROM v WHERE NOT is_static GROUP BY name)
-    SELECT a.event_id AS access_id, a.resource AS name, coalesce(one.symbol_id, sh.s) AS symbol_id FROM acc a LEFT JOIN one ON one.name = a.resource AND one.var_path = a.path LEFT JOIN sh ON sh.name = a.resource""",
-)
-def variable_symbols(spark, d):
-    a = accesses(spark, d)
-    v = a.where("event_id % 13 = 0").groupBy(F.col("resource").alias("name"), F.col("path").alias("var_path"), F.concat(F.lit("variable:"), "path", F.lit(":"), "resource").alias("symbol_id")).agg(F.bool_and(F.col("user_id") % 3 == 0).alias("is_static"))
-    return J.variable_symbols(a.select(F.col("event_id").alias("access_id"), "path", F.col("resource").alias("name")), v)
-
-
-@query("external_refs", "WITH def AS (SELECT split_part(p_name, ' ', 2) AS name, min('function:' || p_partkey) AS symbol_id FROM part WHERE p_size < 10 AND p_brand = 'Brand#2' GROUP BY 1) SELECT p_partkey AS source, coalesce(symbol_id, 'external:' || split_part(p_name, ' ', 2)) AS target FROM part LEFT JOIN def ON def.name = split_part(p_name, ' ', 2)")
+@query("external_refs", "WITH def AS (SELECT split_part(p_name, ' ', 1) AS name, min('function:' || p_partkey) AS symbol_id FROM part GROUP BY 1) SELECT p_partkey AS source, coalesce(symbol_id, 'external:' || split_part(p_name, ' ', 2)) AS target FROM part LEFT JOIN def ON def.name = split_part(p_name, ' ', 2)")
 def external_refs(spark, d):
-    p = table(spark, d, "part").withColumn("name", F.split_part("p_name", F.lit(" "), F.lit(2)))
-    return J.call_edges(p.select(F.col("p_partkey").alias("source"), "name"), p.where("p_size < 10 and p_brand = 'Brand#2'").select("name", F.concat(F.lit("function:"), F.col("p_partkey").cast("string")).alias("symbol_id")))
+    p = table(spark, d, "part")
+    word = lambda k: F.split_part("p_name", F.lit(" "), F.lit(k)).alias("name")
+    return J.call_edges(p.select(F.col("p_partkey").alias("source"), word(2)), p.select(word(1), F.concat(F.lit("function:"), F.col("p_partkey").cast("string")).alias("symbol_id")))
 
 
 @query(
@@ -177,9 +132,9 @@ def displaced_locations(spark, d):
     return J.displaced_locations(edges).withColumn("lines", F.array_join(F.col("lines").cast("array<string>"), ","))
 
 
-@query("text_only_calls", f"WITH {part_graph_sql('found', 'A', 45)}, {part_graph_sql('known', 'A', 48)} SELECT source, target FROM found EXCEPT SELECT source, target FROM known")
+@query("text_only_calls", f"WITH {whole_graph_sql('found')}, {whole_graph_sql('known', 'N')} SELECT source, target FROM found EXCEPT SELECT source, target FROM known")
 def text_only_calls(spark, d):
-    return J.text_only(part_graph(spark, d, "A", 45), part_graph(spark, d, "A", 48))
+    return J.text_only(whole_graph(spark, d), whole_graph(spark, d, "N"))
 
 
 @query(
@@ -192,32 +147,12 @@ def enum_of_states(spark, d):
     return J.enum_of_states(table(spark, d, "events").select(F.col("user_id").alias("machine"), F.col("event_type").alias("state")), spark.createDataFrame(rows, "enum string, member string, named boolean"))
 
 
-@query("compared_roots", f"WITH RECURSIVE {part_graph_sql()}, {ROOTS_SQL}, {REACH_SQL}, two AS (SELECT root, row_number() OVER (ORDER BY count(*) DESC, root) AS r FROM far GROUP BY root) SELECT node FROM far WHERE root = (SELECT root FROM two WHERE r = 1) INTERSECT SELECT node FROM far WHERE root = (SELECT root FROM two WHERE r = 2)")
-def compared_roots(spark, d):
-    e = part_graph(spark, d)
-    far = G.reach(e, part_roots(e))
-    a, b = [r["root"] for r in far.groupBy("root").count().orderBy(F.desc("count"), "root").limit(2).collect()]
-    return J.compare_roots(far, F.lit(a), F.lit(b))
-
-
-@query("interrupt_handlers", "SELECT * FROM (VALUES ('TIM2_IRQn', 'TIM2_IRQHandler'), ('SysTick_IRQn', 'SysTick_Handler'), ('7', 'USART_IRQHandler')) t(irq, handler)")
-def interrupt_handlers(spark, d):
-    vectors = spark.createDataFrame([(2, "TIM2_IRQHandler"), (-1, "SysTick_Handler"), (7, "USART_IRQHandler"), (3, "TIM2_Handler")], "vector int, handler string")
-    return J.interrupt_handlers(spark.createDataFrame([("TIM2_IRQn",), ("SysTick_IRQn",), ("7",), ("NONE_IRQn",)], "irq string"), vectors)
-
-
 @query("control_targets", "SELECT p_partkey AS control_id, CASE WHEN p_size % 5 = 0 THEN 'f' || p_partkey WHEN n = 1 THEN o END AS target FROM part LEFT JOIN (SELECT CAST(s_nationkey AS VARCHAR) AS k, count(*) AS n, min('t' || s_suppkey) AS o FROM supplier GROUP BY 1) x ON k = CAST(p_size AS VARCHAR) AND p_size % 5 <> 0")
 def control_targets(spark, d):
     c = table(spark, d, "part").select(F.col("p_partkey").alias("control_id"), F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("function"), F.when(F.col("p_size") % 5 != 0, F.col("p_size").cast("string")).alias("argument"))
     return J.control_targets(c, table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("name"), F.concat(F.lit("t"), F.col("s_suppkey").cast("string")).alias("symbol_id")))
 
 
-@query("critical_sections", "SELECT * FROM (VALUES ('f', 2, 9), ('f', 12, NULL), ('g', 4, 5)) t(function, begin_line, end_line)")
-def critical_sections(spark, d):
-    rows = [("f", 2, "begin"), ("f", 5, "begin"), ("f", 9, "end"), ("f", 10, "end"), ("f", 12, "begin"), ("g", 1, "end"), ("g", 4, "begin"), ("g", 5, "end")]
-    return J.pair_sections(spark.createDataFrame(rows, "function string, line bigint, what string"))
-
-
 @query("symbol_parts", "SELECT p_partkey, 'src/' || p_brand || '.c' AS path, p_name AS name FROM part")
 def symbol_parts(spark, d):
     p = table(spark, d, "part")

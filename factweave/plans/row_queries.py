@@ -1,4 +1,4 @@
-"""Queries over all rows. Those of the same names without _all leave rows out by a modulo or a range, as their SQL does."""
+"""Queries whose roles all rows take: every part stores and calls, every event refers."""
 
 from __future__ import annotations
 
@@ -16,22 +16,22 @@ FIELD_SQL = "stores AS (SELECT p_partkey AS callback, p_brand AS struct_type, p_
 
 
 @query(
-    "slot_match_all",
+    "slot_match",
     f"""WITH {FIELD_SQL}, strong AS (SELECT DISTINCT call_id, callback FROM calls JOIN stores USING (struct_type, field)) SELECT call_id, callback, false AS weak_match FROM strong
     UNION ALL SELECT DISTINCT c.call_id, s.callback, true FROM calls c JOIN stores s USING (field) WHERE c.call_id NOT IN (SELECT call_id FROM strong)""",
 )
-def slot_match_all(spark, d):
+def slot_match(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("struct_type"), F.concat("p_type", F.col("p_size").cast("string")).alias("field"))
     return J.slot_match(p.withColumnRenamed("p_partkey", "callback"), p.withColumnRenamed("p_partkey", "call_id"))
 
 
 @query(
-    "variable_symbols_all",
+    "variable_symbols",
     f"""WITH {ACCESS_SQL}, v AS (SELECT resource AS name, path AS var_path, 'variable:' || path || ':' || resource AS symbol_id, bool_and(user_id % 3 = 0) AS is_static FROM acc GROUP BY resource, path),
     sh AS (SELECT name, min(symbol_id) AS s FROM v WHERE NOT is_static GROUP BY name)
     SELECT a.event_id AS access_id, a.resource AS name, coalesce(v.symbol_id, sh.s) AS symbol_id FROM acc a LEFT JOIN v ON v.name = a.resource AND v.var_path = a.path LEFT JOIN sh ON sh.name = a.resource""",
 )
-def variable_symbols_all(spark, d):
+def variable_symbols(spark, d):
     a = accesses(spark, d)
     v = a.groupBy(F.col("resource").alias("name"), F.col("path").alias("var_path"), F.concat(F.lit("variable:"), "path", F.lit(":"), "resource").alias("symbol_id")).agg(F.bool_and(F.col("user_id") % 3 == 0).alias("is_static"))
     return J.variable_symbols(a.select(F.col("event_id").alias("access_id"), "path", F.col("resource").alias("name")), v)
@@ -41,33 +41,33 @@ CALL_SQL = "blk AS (SELECT p_partkey AS function, p_name AS callee, CASE WHEN p_
 
 
 @query(
-    "nearest_blocking_all",
+    "nearest_blocking",
     f"""WITH RECURSIVE {part_graph_sql()}, {CALL_SQL}, h(root, node, hops) AS (SELECT node, node, 0 FROM (SELECT source AS node FROM edges UNION SELECT target FROM edges UNION SELECT function FROM blk) x UNION SELECT h.root, e.target, h.hops + 1 FROM h JOIN edges e ON h.node = e.source WHERE h.hops < 3),
     m AS (SELECT root, node, min(hops) AS hops FROM h GROUP BY root, node) SELECT root AS function, callee, kind, hops FROM m JOIN blk ON blk.function = m.node QUALIFY row_number() OVER (PARTITION BY root ORDER BY hops, kind <> 'wait', line, callee) = 1""",
 )
-def nearest_blocking_all(spark, d):
+def nearest_blocking(spark, d):
     b = table(spark, d, "part").select(F.col("p_partkey").alias("function"), F.col("p_name").alias("callee"), F.when(F.col("p_size") % 2 == 0, "wait").otherwise("delay").alias("kind"), F.col("p_size").alias("line"))
     return D.nearest_blocking(part_graph(spark, d), b)
 
 
 @query(
-    "tick_counters_all",
+    "tick_counters",
     f"""WITH {ACCESS_SQL}, isr AS (SELECT DISTINCT function FROM acc WHERE unit_kind = 'isr'), a AS (SELECT acc.*, acc.function IN (SELECT function FROM isr) AS i FROM acc)
     SELECT resource, count(*) FILTER ({W}) AS writes, count(*) FILTER (kind = 'read' AND NOT i) AS reads FROM a GROUP BY resource
     HAVING count(*) FILTER ({W}) BETWEEN 1 AND 3 AND count(*) FILTER ({W} AND (kind <> 'read_write' OR unit_kind <> 'isr')) = 0 AND count(*) FILTER (kind = 'read' AND NOT i) > 0""",
 )
-def tick_counters_all(spark, d):
+def tick_counters(spark, d):
     return A.tick_counters(accesses(spark, d))
 
 
-@query("merged_references_all", f"WITH {ACCESS_SQL} SELECT DISTINCT path, line, user_id AS \"column\" FROM acc")
-def merged_references_all(spark, d):
+@query("merged_references", f"WITH {ACCESS_SQL} SELECT DISTINCT path, line, user_id AS \"column\" FROM acc")
+def merged_references(spark, d):
     """Three shards that together hold all events; those divisible by 6 are in two."""
     a = accesses(spark, d).select("path", "line", F.col("user_id").alias("column"), "event_id")
     return O.merged_references([a.where(x).drop("event_id") for x in ("event_id % 2 = 0", "event_id % 3 = 0", "coalesce(event_id % 2 <> 0 and event_id % 3 <> 0, true)")])
 
 
-@query("hyperperiod_all", "SELECT p_brand, list_reduce(list(DISTINCT CASE WHEN p_size % 4 = 0 THEN p_size ELSE p_size % 6 + 1 END::BIGINT), lambda x, y: lcm(x, y)) AS hyperperiod FROM part GROUP BY p_brand")
-def hyperperiod_all(spark, d):
+@query("hyperperiod", "SELECT p_brand, list_reduce(list(DISTINCT CASE WHEN p_size % 4 = 0 THEN p_size ELSE p_size % 6 + 1 END::BIGINT), lambda x, y: lcm(x, y)) AS hyperperiod FROM part GROUP BY p_brand")
+def hyperperiod(spark, d):
     p = table(spark, d, "part").select("p_brand", F.when(F.col("p_size") % 4 == 0, F.col("p_size")).otherwise(F.col("p_size") % 6 + 1).cast("bigint").alias("v")).distinct()
     return p.groupBy("p_brand").agg(S.lcm_of("v").alias("hyperperiod"))

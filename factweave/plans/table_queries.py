@@ -10,7 +10,7 @@ from ..operators import aggregates as A
 from ..operators import ordering as O
 from ..sources import projects as P
 from ..sources import text_scans as X
-from .bindings import ACCESS_SQL, PATHS_SQL, STEPS_SQL, accesses, page_paths, part_graph, part_graph_sql, query, role_steps, table
+from .bindings import ACCESS_SQL, PATHS_SQL, STEPS_SQL, accesses, page_paths, query, role_steps, table, whole_graph, whole_graph_sql
 
 CODE = "len(list_filter(string_split(regexp_replace(text, '/\\*.*?\\*/|//[^\\n]*', '', 'gs'), chr(10)), lambda x: trim(x, ' ') <> ''))"
 
@@ -35,11 +35,6 @@ def coverage_focus(spark, d):
     return A.coverage_of(page_paths(spark, d).select("path", (F.col("page_id") % 2 == 0).alias("analysed")), "BLOG.*/en/**")
 
 
-@query("merged_units", "SELECT * FROM (VALUES ('src/app/led', 2), ('src/main.c', 1), ('src/app/x.h', 1), ('lib/led.h', 1)) t(unit, files)")
-def merged_units(spark, d):
-    return A.merge_units(spark.createDataFrame([("src/app/led.c",), ("src/app/led.h",), ("src/main.c",), ("src/app/x.h",), ("lib/led.h",)], "path string"))
-
-
 @query("line_counts", f"SELECT doc_id, len(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)))::BIGINT AS total_lines, {CODE}::BIGINT AS code_lines FROM documents WHERE text <> ''")
 def line_counts(spark, d):
     return table(spark, d, "documents").where("text <> ''").select("doc_id", S.total_lines(F.col("text")).alias("total_lines"), S.code_lines(F.col("text")).alias("code_lines"))
@@ -47,11 +42,11 @@ def line_counts(spark, d):
 
 @query(
     "risk_score",
-    f"""WITH {part_graph_sql()}, fan AS (SELECT node, count(DISTINCT CASE WHEN NOT o THEN other END) AS i, count(DISTINCT CASE WHEN o THEN other END) AS u FROM (SELECT source AS node, target AS other, true AS o FROM edges UNION ALL SELECT target, source, false FROM edges) x GROUP BY node)
+    f"""WITH {whole_graph_sql()}, fan AS (SELECT node, count(DISTINCT CASE WHEN NOT o THEN other END) AS i, count(DISTINCT CASE WHEN o THEN other END) AS u FROM (SELECT source AS node, target AS other, true AS o FROM edges UNION ALL SELECT target, source, false FROM edges) x GROUP BY node)
     SELECT node, least(100, least(40, 2 * (i + u)) + least(20, 2 * (p_size % 13)) + least(20, 8 * (p_size % 4)) + CASE WHEN p_size % 9 = 0 THEN 15 ELSE 0 END + least(5, floor(p_retailprice / 400)))::BIGINT AS risk_score FROM fan JOIN part ON p_partkey = node""",
 )
 def risk_score(spark, d):
-    got = A.fan(part_graph(spark, d)).join(table(spark, d, "part"), F.col("p_partkey") == F.col("node"))
+    got = A.fan(whole_graph(spark, d)).join(table(spark, d, "part"), F.col("p_partkey") == F.col("node"))
     return got.select("node", A.risk(F.col("fan_in"), F.col("fan_out"), F.col("p_size") % 13, F.col("p_size") % 4, F.col("p_size") % 9 == 0, F.col("p_retailprice")).alias("risk_score"))
 
 
@@ -81,11 +76,6 @@ def use_counts(spark, d):
     return A.use_counts(accesses(spark, d).withColumn("column", F.col("user_id")), "function", "kind")
 
 
-@query("scheduling", "SELECT * FROM (VALUES ('a', 'preemptive'), ('b', 'cooperative'), ('c', 'unknown')) t(project, scheduling)")
-def scheduling(spark, d):
-    return A.scheduling(spark.createDataFrame([("a", "cooperative"), ("a", "preemptive"), ("b", "cooperative"), ("b", None), ("c", None)], "project string, scheduling string"))
-
-
 @query("duplicate_definitions", "SELECT p_name AS name, count(*) AS definitions FROM part GROUP BY p_name HAVING count(*) > 1")
 def duplicate_definitions(spark, d):
     return A.duplicate_definitions(table(spark, d, "part").select(F.col("p_name").alias("name")))
@@ -99,19 +89,6 @@ def memory_modules(spark, d):
     return A.memory_by_module(o.join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("p_partkey") == F.col("l_partkey")), "p_brand")
 
 
-@query("hyperperiod", "SELECT p_brand, list_reduce(list(DISTINCT CASE WHEN p_size % 4 = 0 THEN p_size ELSE p_size % 6 + 1 END::BIGINT), lambda x, y: lcm(x, y)) AS hyperperiod FROM part WHERE p_size <= 20 GROUP BY p_brand")
-def hyperperiod(spark, d):
-    p = table(spark, d, "part").where("p_size <= 20").select("p_brand", F.when(F.col("p_size") % 4 == 0, F.col("p_size")).otherwise(F.col("p_size") % 6 + 1).cast("bigint").alias("v")).distinct()
-    return p.groupBy("p_brand").agg(S.lcm_of("v").alias("hyperperiod"))
-
-
-@query("loop_bounds", "SELECT * FROM (VALUES (1, 10), (2, 4), (3, 5), (4, NULL), (5, 0), (6, 11)) t(id, most)")
-def loop_bounds(spark, d):
-    rows = [(1, 0, 10, "<", 1), (2, 0, 10, "<", 3), (3, 10, 0, ">", -2), (4, 0, 10, "<", -1), (5, 10, 0, "<", 1), (6, 0, 10, "<=", 1)]
-    df = spark.createDataFrame(rows, "id int, a int, b int, c string, s int")
-    return df.select("id", S.loop_maximum(F.col("a"), F.col("b"), F.col("c"), F.col("s")).alias("most"))
-
-
 @query("loop_classes", "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'macro' WHEN value > 90 AND event_type = 'view' THEN 'main' WHEN value > 90 THEN 'inner-infinite' WHEN event_id % 5 = 0 THEN 'wait' WHEN user_id % 2 = 0 THEN 'iter' WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN 'busy-var' WHEN event_id % 3 = 0 AND event_id % 7 = 0 THEN 'busy-hw' WHEN event_id % 3 = 0 THEN 'busy-poll' ELSE 'iter' END AS loop_class FROM events")
 def loop_classes(spark, d):
     i = F.col("event_id")
@@ -170,22 +147,11 @@ def case_ends(spark, d):
     return O.case_ends(table(spark, d, "events").withColumn("stop", F.lit(999999999).cast("bigint")), "user_id", "event_id", "stop").select("event_id", "end_line")
 
 
-@query("due_counts", "SELECT * FROM (VALUES ('control', 6, 0), ('logger', 2, 2), ('slow', 1, 1)) t(task, due, deferred)")
-def due_counts(spark, d):
-    return O.due_counts(spark.createDataFrame([("control", 1, 10), ("worker", 2, None), ("logger", 3, 40), ("slow", 4, 90)], "task string, rank int, period int"), 50)
-
-
 @query("first_touch", "WITH f AS (SELECT user_id AS root, event_type AS module, min(event_id) AS line FROM events GROUP BY ALL) SELECT root, module, row_number() OVER (PARTITION BY root ORDER BY line, module) AS place FROM f")
 def first_touch(spark, d):
     return O.first_touch(table(spark, d, "events").select(F.col("user_id").alias("root"), F.col("event_type").alias("module"), F.lit(0).alias("depth"), F.col("event_id").alias("line")))
 
 
-@query("condition_stack", "SELECT * FROM (VALUES ('a.c', 1, 'A'), ('a.c', 2, 'A'), ('a.c', 3, 'A && defined(B)'), ('a.c', 4, 'A'), ('a.c', 5, '!(A)'), ('a.c', 6, '')) t(file, line, condition)")
-def condition_stack(spark, d):
-    text = ["#if A", "int x;", "#ifdef B", "#endif", "#else", "#endif"]
-    return O.condition_stack(spark.createDataFrame([("a.c", i + 1, t) for i, t in enumerate(text)], "file string, line bigint, text string"))
-
-
 @query("capped_units", f"WITH {ACCESS_SQL}, u AS (SELECT DISTINCT resource, unit FROM acc), r AS (SELECT *, row_number() OVER (PARTITION BY resource ORDER BY unit) AS k, count(*) OVER (PARTITION BY resource) AS n FROM u) SELECT resource, string_agg(unit, ',' ORDER BY unit) AS shown, greatest(max(n) - 3, 0) AS omitted FROM r WHERE k <= 3 GROUP BY resource")
 def capped_units(spark, d):
     return O.capped(accesses(spark, d), "resource", "unit", 3)
@@ -196,17 +162,6 @@ def page_of_units(spark, d):
     return accesses(spark, d).groupBy("unit").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "unit").offset(50).limit(50)
 
 
-@query("natural_pick", "SELECT * FROM (VALUES ('hal', 'lib-10.2.a'), ('rtos', 'k9.lib')) t(k, name)")
-def natural_pick(spark, d):
-    return O.natural_pick(spark.createDataFrame([("hal", "lib-9.11.a"), ("hal", "lib-10.2.a"), ("hal", "lib-2.30.a"), ("rtos", "k9.lib"), ("rtos", "k08.lib")], "k string, name string"), "k", "name")
-
-
-@query("merged_references", f"WITH {ACCESS_SQL} SELECT DISTINCT path, line, user_id AS \"column\" FROM acc WHERE event_id % 2 = 0 OR event_id % 3 = 0")
-def merged_references(spark, d):
-    a = accesses(spark, d).select("path", "line", F.col("user_id").alias("column"), "event_id")
-    return O.merged_references([a.where("event_id % 2 = 0").drop("event_id"), a.where("event_id % 3 = 0").drop("event_id")])
-
-
 @query("id_index", f"WITH {ACCESS_SQL}, t AS (SELECT unit AS id, 'execution' AS theme, min(event_id) AS place FROM acc WHERE unit_kind <> 'task' GROUP BY unit UNION ALL SELECT unit, 'timing', max(event_id) FROM acc WHERE unit_kind <> 'main' GROUP BY unit) SELECT id, theme, place FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY theme, place) = 1")
 def id_index(spark, d):
     a = accesses(spark, d)
@@ -244,115 +199,6 @@ def include_scan(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("target"))
 
 
-SOURCES = [("src/main.c", '#include "app/led.h"\n#include <stdint.h>\n#define LED 1 /* pin */\n// #define NO 2\nint main(void) { led_init(&cb, (f)g); }\n'), ("src/app/led.c", '#include "led.h"\n  #  define A(x) x\n'), ("src/app/led.h", "")]
-
-
-def sources(spark):
-    return spark.createDataFrame(SOURCES, "path string, text string")
-
-
-@query("include_directives", "SELECT * FROM (VALUES ('src/main.c', 1, 'app/led.h', true), ('src/main.c', 2, 'stdint.h', false), ('src/app/led.c', 1, 'led.h', true)) t(path, line, name, quoted)")
-def include_directives(spark, d):
-    return X.include_directives(sources(spark))
-
-
-@query("resolved_includes", "SELECT * FROM (VALUES ('src/main.c', 'src/app/led.h'), ('src/app/led.c', 'src/app/led.h')) t(source, target)")
-def resolved_includes(spark, d):
-    t = sources(spark)
-    return X.resolve_includes(X.include_directives(t), spark.createDataFrame([("src/main.c", 0, "inc"), ("src/app/led.c", 0, "src/app")], "path string, ordinal int, dir string"), t)
-
-
-@query("macro_definitions", "SELECT * FROM (VALUES ('src/main.c', 3, 'LED'), ('src/app/led.c', 2, 'A')) t(path, line, name)")
-def macro_definitions(spark, d):
-    return X.macro_definitions(sources(spark))
-
-
-@query("macro_tokens", "SELECT * FROM (VALUES ('a.c', 3, 5, 4), ('a.c', 5, 10, 2)) t(path, line, \"column\", length)")
-def macro_tokens(spark, d):
-    rows = [("a.c", 0, 0, 8, 4, "macro", 1), ("a.c", 1, 2, 4, 4, "macro", 0), ("a.c", 2, 2, 3, 3, "variable", 0), ("a.c", 3, 0, 6, 2, "macro", 0)]
-    return X.macro_tokens(spark.createDataFrame(rows, "path string, seq int, line_step int, column_step int, length int, kind string, flags int"))
-
-
-@query("text_edges", "SELECT * FROM (VALUES ('f', 'g', 'calls'), ('f', 'task_a', 'registers_task'), ('f', 'cb', 'address_of')) t(source, target, relation)")
-def text_edges(spark, d):
-    bodies = spark.createDataFrame([("f", 'g(1, h(2)); create("x", task_a, 3); if (x) set(&cb, (fn)local); // g2(cb)\n')], "function string, body string")
-    functions = spark.createDataFrame([("f",), ("g",), ("task_a",), ("cb",), ("local",), ("g2",)], "name string")
-    return X.text_edges(bodies, functions, [("creat*", "task", 1)], spark.createDataFrame([("f", "local")], "function string, name string"))
-
-
-ASSEMBLY = "  AREA x\n__Vectors:\n  DCD __initial_sp ; stack\n  DCD Reset_Handler\n" + "  DCD 0\n" * 13 + "  DCD SysTick_Handler\n  DCD TIM_IRQHandler @ first\n  .section .text\n  DCD Later\n"
-
-
-@query("vector_table", "SELECT * FROM (VALUES ('s.s', -15, 'Reset_Handler'), ('s.s', -1, 'SysTick_Handler'), ('s.s', 0, 'TIM_IRQHandler')) t(path, vector, handler)")
-def vector_table(spark, d):
-    return X.vector_entries(spark.createDataFrame([("s.s", ASSEMBLY)], "path string, text string"))
-
-
-MAP = "Image Symbol Table\n    led_init   0x08000100   Thumb Code   24   led.o(.text)\n    g_ctx   0x20000000   Data   8   led.o(.bss)\nImage component sizes\n      800   12   64   16   32   900   led.o\n      400    0    0    0   24   100   gpio.o\n"
-
-
-@query("map_symbols", "SELECT * FROM (VALUES ('led_init', '0x08000100', 'code', 24, 'led.o'), ('g_ctx', '0x20000000', 'data', 8, 'led.o')) t(name, address, kind, size_bytes, object)")
-def map_symbols(spark, d):
-    return X.map_symbols(spark.createDataFrame([("m", MAP)], "path string, text string"))
-
-
-@query("map_components", "SELECT * FROM (VALUES ('led.o', 800, 12, 64, 16, 32, 900), ('gpio.o', 400, 0, 0, 0, 24, 100)) t(object, code, inline_data, ro, rw, zi, debug)")
-def map_components(spark, d):
-    return X.map_components(spark.createDataFrame([("m", MAP)], "path string, text string"))
-
-
-COMMANDS = [("/w", "a.c", None, ["arm-none-eabi-gcc", "-I", "inc", "-Isrc", "-isystem", "sys", "-c", "a.c"], None), ("/w", "b.ino.cpp", "cc '-I my dir' -DX=1 b.ino", None, None)]
-
-
-def commands(spark):
-    return P.normal_commands(spark.createDataFrame(COMMANDS, P.COMMAND_FIELDS))
-
-
-@query("include_dirs", "SELECT * FROM (VALUES ('a.c', 0, 'inc'), ('a.c', 1, 'src'), ('a.c', 2, 'sys'), ('b.ino', 0, ' my dir')) t(file, ordinal, dir)")
-def include_dirs(spark, d):
-    return P.include_dirs(commands(spark))
-
-
-@query("local_commands", "SELECT * FROM (VALUES ('a.c', 'clang --target=arm-none-eabi -I inc -Isrc -isystem sys -c a.c'), ('b.ino', 'clang -I my dir -DX=1 b.ino')) t(file, line)")
-def local_commands(spark, d):
-    return P.local_commands(commands(spark)).select("file", F.array_join("arguments", " ").alias("line"))
-
-
-@query("path_mapping", "SELECT * FROM (VALUES ('/build/x', 3)) t(prefix, n)")
-def path_mapping(spark, d):
-    return P.infer_mapping(spark.createDataFrame([("/build/x/src/a.c",), ("/build/x/src/b.c",), ("/build/x/lib/c.c",), ("/other/src/d.c",)], "path string"), ["src", "lib"])
-
-
-@query("mapped_paths", "SELECT * FROM (VALUES ('/build/a.c', '/home/a.c'), ('/build/b.c', '/build/b.c'), ('/build/c.c', '/home/c.c')) t(path, mapped)")
-def mapped_paths(spark, d):
-    return P.map_paths(spark.createDataFrame([("/build/a.c",), ("/build/b.c",), ("/build/c.c",)], "path string"), "/build", "/home", spark.createDataFrame([("/home/a.c",), ("/build/b.c",)], "path string"))
-
-
-@query("c_integer", "SELECT * FROM (VALUES ('10', 10), ('0x1F', 31), ('017', 15), ('0b101UL', 5), ('-0x10', -16), ('089', NULL), ('abc', NULL), ('0', 0), (' 7u ', 7), ('1.5', NULL)) t(text, value)")
-def c_integer(spark, d):
-    rows = ["10", "0x1F", "017", "0b101UL", "-0x10", "089", "abc", "0", " 7u ", "1.5"]
-    return spark.createDataFrame([(r,) for r in rows], "text string").select("text", S.c_integer(F.col("text")).alias("value"))
-
-
-@query("folded_constants", "SELECT * FROM (VALUES ('3', 3, 'literal'), ('tskIDLE + 2', 2, 'expression'), ('(MAX - 1)', 6, 'expression'), ('(prio_t) NORMAL', 24, 'symbol'), ('MY_PRIO', NULL, 'unresolved'), ('2*3+1', 7, 'expression'), ('ALIAS', 7, 'symbol')) t(text, value, basis)")
-def folded_constants(spark, d):
-    fold = S.fold_constants({"tskIDLE": "0", "MAX": "7", "NORMAL": "24", "ALIAS": "MAX"})
-    rows = ["3", "tskIDLE + 2", "(MAX - 1)", "(prio_t) NORMAL", "MY_PRIO", "2*3+1", "ALIAS"]
-    return spark.createDataFrame([(r,) for r in rows], "text string").select("text", fold("text").alias("f")).select("text", "f.value", "f.basis")
-
-
-@query("negations", "SELECT * FROM (VALUES ('ready', '!ready'), ('!ready', 'ready'), ('a && b', '!(a && b)'), ('!f(x)', 'f(x)')) t(text, opposite)")
-def negations(spark, d):
-    return spark.createDataFrame([("ready",), ("!ready",), ("a && b",), ("!f(x)",)], "text string").select("text", S.negation(F.col("text")).alias("opposite"))
-
-
-@query("atomicity", "SELECT * FROM (VALUES ('volatile uint8_t', 1, 'single-word'), ('uint64_t', 8, 'wide'), ('struct s', NULL, 'composite'), ('int[4]', NULL, 'composite'), ('char *', 4, 'single-word'), ('state_t', NULL, 'unknown'), ('long long', 8, 'wide'), ('unsigned int', 4, 'single-word')) t(type, width, atomicity)")
-def atomicity(spark, d):
-    rows = ["volatile uint8_t", "uint64_t", "struct s", "int[4]", "char *", "state_t", "long long", "unsigned int"]
-    t = F.col("type")
-    return spark.createDataFrame([(r,) for r in rows], "type string").select("type", S.width_bytes(t).alias("width"), S.atomicity(t).alias("atomicity"))
-
-
 @query("hashes", "SELECT p_partkey, substr(sha256(p_name), 1, 12) AS short_hash FROM part")
 def hashes(spark, d):
     return table(spark, d, "part").select("p_partkey", S.short_hash(F.col("p_name")).alias("short_hash"))
@@ -361,9 +207,3 @@ def hashes(spark, d):
 @query("path_modules", f"WITH {PATHS_SQL}, p AS (SELECT DISTINCT path, string_split(path, '/') AS s FROM paths) SELECT path, CASE WHEN len(s) = 1 THEN '(root)' ELSE array_to_string(s[1:least(2, len(s) - 1)], '/') END AS module FROM p")
 def path_modules(spark, d):
     return page_paths(spark, d).select("path").distinct().select("path", S.module_of(F.col("path")).alias("module"))
-
-
-@query("rule_tables", "SELECT * FROM (VALUES ('rt.create', 'rt_create', 'task'), ('p.task_create.1', 'spawn', NULL)) t(rule_id, function, kind)")
-def rule_tables(spark, d):
-    profiles = [{"name": "p", "task_create": [{"id": "rt.create", "function": "rt_create", "entry_argument": 0, "kind": "task"}, {"function": "spawn"}]}]
-    return P.rule_tables(spark, profiles)["task_create"].select("rule_id", "function", "kind")

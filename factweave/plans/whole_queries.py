@@ -1,38 +1,23 @@
-"""Reachability from all roots that the data gives. The queries of the same names without _all start from 20 roots, as their SQL does."""
+"""Reachability from all roots that the data gives, over the sparse part graph."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import joins as J
-from .bindings import part_graph, part_graph_sql, query
+from .bindings import ROOTS_SQL, TOP_SQL, all_roots, part_graph, part_graph_sql, query, top_roots
 from .graph_queries import CLOSURE_SQL, HOPS_SQL, REACH_SQL
 
 
-def all_roots(edges: DataFrame) -> DataFrame:
-    """Every node that has an edge out, each as its own root."""
-    return edges.select(F.col("source").alias("root")).distinct().withColumn("node", F.col("root"))
-
-
-def top_roots(edges: DataFrame) -> DataFrame:
-    """Every node that has an edge out and none in, each as its own root."""
-    return all_roots(edges).join(edges.select(F.col("target").alias("root")).distinct(), "root", "left_anti").select("root", "node")
-
-
-ALL_SQL = "roots AS (SELECT DISTINCT source AS root FROM edges)"
-TOP_SQL = "roots AS (SELECT DISTINCT source AS root FROM edges WHERE source NOT IN (SELECT target FROM edges))"
-
-
-@query("closure_roots_all", f"WITH RECURSIVE {part_graph_sql()}, {CLOSURE_SQL} SELECT root, node FROM walk UNION SELECT source, source FROM edges")
-def closure_roots_all(spark, d):
+@query("closure_roots", f"WITH RECURSIVE {part_graph_sql()}, {CLOSURE_SQL} SELECT root, node FROM walk UNION SELECT source, source FROM edges")
+def closure_roots(spark, d):
     e = part_graph(spark, d)
     return G.reach(e, all_roots(e)).select("root", "node")
 
 
-@query("unreached_all", f"WITH RECURSIVE {part_graph_sql()}, {TOP_SQL}, {REACH_SQL} SELECT node FROM (SELECT source AS node FROM edges UNION SELECT target FROM edges) n WHERE node NOT IN (SELECT node FROM far)")
-def unreached_all(spark, d):
+@query("unreached", f"WITH RECURSIVE {part_graph_sql()}, {TOP_SQL}, {REACH_SQL} SELECT node FROM (SELECT source AS node FROM edges UNION SELECT target FROM edges) n WHERE node NOT IN (SELECT node FROM far)")
+def unreached(spark, d):
     """Nodes that no node without an edge in reaches: those of cycles that nothing leads to, and what only these lead to."""
     e = part_graph(spark, d)
     top = top_roots(e).select(F.lit(0).alias("root"), "node")
@@ -40,20 +25,26 @@ def unreached_all(spark, d):
     return nodes.join(G.reach(e, top).select("node"), "node", "left_anti")
 
 
-@query("closure_bounded3_all", f"WITH RECURSIVE {part_graph_sql()}, {ALL_SQL}, {HOPS_SQL.format(n=3)} SELECT root, node, min(hops) AS hops FROM hop GROUP BY root, node")
-def closure_bounded3_all(spark, d):
+@query("closure_bounded3", f"WITH RECURSIVE {part_graph_sql()}, {ROOTS_SQL}, {HOPS_SQL.format(n=3)} SELECT root, node, min(hops) AS hops FROM hop GROUP BY root, node")
+def closure_bounded3(spark, d):
     e = part_graph(spark, d)
     return G.reach_within(e, all_roots(e), 3)
 
 
-@query("shortest_chain_all")
-def shortest_chain_all(spark, d):
+@query(
+    "shortest_chain",
+    f"""WITH RECURSIVE {part_graph_sql()}, near(root, node, hops) USING KEY (root, node) AS (SELECT DISTINCT source, source, 0 FROM edges UNION SELECT n.root, e.target, n.hops + 1 FROM near n JOIN edges e ON n.node = e.source
+    WHERE NOT EXISTS (SELECT 1 FROM recurring.near r WHERE r.root = n.root AND r.node = e.target))
+    SELECT n.root, n.node, n.hops, min(p.node) AS parent FROM near n LEFT JOIN (SELECT p.root, p.node, p.hops, e.target FROM near p JOIN edges e ON e.source = p.node) p
+    ON p.root = n.root AND p.target = n.node AND p.hops + 1 = n.hops GROUP BY n.root, n.node, n.hops""",
+)
+def shortest_chain(spark, d):
     e = part_graph(spark, d)
     return G.shortest_chains(e, all_roots(e))
 
 
-@query("compared_roots_all", f"WITH RECURSIVE {part_graph_sql()}, {ALL_SQL}, {REACH_SQL}, two AS (SELECT root, row_number() OVER (ORDER BY count(*) DESC, root) AS r FROM far GROUP BY root) SELECT node FROM far WHERE root = (SELECT root FROM two WHERE r = 1) INTERSECT SELECT node FROM far WHERE root = (SELECT root FROM two WHERE r = 2)")
-def compared_roots_all(spark, d):
+@query("compared_roots", f"WITH RECURSIVE {part_graph_sql()}, {ROOTS_SQL}, {REACH_SQL}, two AS (SELECT root, row_number() OVER (ORDER BY count(*) DESC, root) AS r FROM far GROUP BY root) SELECT node FROM far WHERE root = (SELECT root FROM two WHERE r = 1) INTERSECT SELECT node FROM far WHERE root = (SELECT root FROM two WHERE r = 2)")
+def compared_roots(spark, d):
     e = part_graph(spark, d)
     far = G.reach(e, all_roots(e))
     two = [r["root"] for r in far.groupBy("root").count().orderBy(F.desc("count"), "root").limit(2).collect()]

@@ -34,15 +34,15 @@ def brute(edges):
 def test_reach_starts_from_all_roots(spark, long_chain):
     want = brute(long_chain)
     assert len(want) == 62
-    assert tuples(QUERIES["closure_roots_all"](spark, ""), "root", "node") == sorted((r, n) for r, x in want.items() for n in x)
-    assert tuples(QUERIES["closure_bounded3_all"](spark, ""), "root", "node", "hops") == sorted((r, n, h) for r, x in want.items() for n, h in x.items() if h <= 3)
-    assert tuples(QUERIES["unreached_all"](spark, ""), "node") == [(100,), (101,), (102,)]
-    assert tuples(QUERIES["compared_roots_all"](spark, ""), "node") == [(n,) for n in range(1, 61)]
+    assert tuples(QUERIES["closure_roots"](spark, ""), "root", "node") == sorted((r, n) for r, x in want.items() for n in x)
+    assert tuples(QUERIES["closure_bounded3"](spark, ""), "root", "node", "hops") == sorted((r, n, h) for r, x in want.items() for n, h in x.items() if h <= 3)
+    assert tuples(QUERIES["unreached"](spark, ""), "node") == [(100,), (101,), (102,)]
+    assert tuples(QUERIES["compared_roots"](spark, ""), "node") == [(n,) for n in range(1, 61)]
 
 
 def test_chains_have_no_bound_on_hops(spark, long_chain):
     want = brute(long_chain)
     before = lambda x, n, h: min((a for a, b in long_chain if b == n and x.get(a) == h - 1), default=None)
-    got = {(r["root"], r["node"]): (r["hops"], r["parent"]) for r in QUERIES["shortest_chain_all"](spark, "").collect()}
+    got = {(r["root"], r["node"]): (r["hops"], r["parent"]) for r in QUERIES["shortest_chain"](spark, "").collect()}
     assert got == {(r, n): (h, before(x, n, h)) for r, x in want.items() for n, h in x.items()}
     assert got[4, 59][0] == 55
