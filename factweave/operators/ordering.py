@@ -140,8 +140,8 @@ def at_path(value, path: str):
 
 
 def find_functions(functions: DataFrame, text: str, region: str = "", most: int = 12) -> DataFrame:
-    """The first functions, by name and path, that hold the text, in the region and not external."""
-    return functions.where(F.col("name").contains(text) & F.col("path").startswith(region) & ~F.col("symbol_id").startswith("external:")).orderBy("name", "path").limit(most)
+    """The first functions, by name, path and id, that hold the text, in the region and not external."""
+    return functions.where(F.col("name").contains(text) & F.col("path").startswith(region) & ~F.col("symbol_id").startswith("external:")).orderBy("name", "path", "symbol_id").limit(most)
 
 
 def snapshot_difference(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -683,6 +683,17 @@ def boot_tree(spark, d):
     return D.boot_tree(calls, installs, top[0]["source"] if top else "")
 
 
+@query(
+    "unreached_definitions",
+    f"""WITH RECURSIVE {part_graph_sql()}, far(node) AS (SELECT p_partkey FROM part WHERE p_type = 'PROMO' UNION SELECT e.target FROM far f JOIN edges e ON e.source = f.node) SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT node FROM far)""",
+)
+def unreached_definitions(spark, d):
+    """Parts that no part of the type PROMO, the entries, leads to."""
+    part = table(spark, d, "part")
+    entries_ = part.where("p_type = 'PROMO'").select(F.lit(0).alias("root"), F.col("p_partkey").alias("node"))
+    return part.select(F.col("p_partkey").alias("node")).join(G.reach(part_graph(spark, d), entries_).select("node"), "node", "left_anti")
+
+
 PRUNE = {
     "site": "SELECT (s * 100000 + t) * 4 + n AS site, s AS caller, t AS callee FROM e CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2) ns WHERE n <= (s + t) % 3",
     "arg": "SELECT site, 0 AS position, CASE WHEN site % 29 <> 0 THEN CAST(callee % 3 AS INT) END AS value FROM site",

@@ -52,12 +52,14 @@ def nearest_blocking(spark, d):
 
 @query(
     "tick_counters",
-    f"""WITH {ACCESS_SQL}, isr AS (SELECT DISTINCT function FROM acc WHERE unit_kind = 'isr'), a AS (SELECT acc.*, acc.function IN (SELECT function FROM isr) AS i FROM acc)
+    f"""WITH {ACCESS_SQL}, fine AS (SELECT resource || '/' || (event_id % 3) AS resource, function || unit_kind AS function, kind, unit_kind FROM acc), isr AS (SELECT DISTINCT function FROM fine WHERE unit_kind = 'isr'), a AS (SELECT fine.*, fine.function IN (SELECT function FROM isr) AS i FROM fine)
     SELECT resource, count(*) FILTER ({W}) AS writes, count(*) FILTER (kind = 'read' AND NOT i) AS reads FROM a GROUP BY resource
     HAVING count(*) FILTER ({W}) BETWEEN 1 AND 3 AND count(*) FILTER ({W} AND (kind <> 'read_write' OR unit_kind <> 'isr')) = 0 AND count(*) FILTER (kind = 'read' AND NOT i) > 0""",
 )
 def tick_counters(spark, d):
-    return A.tick_counters(accesses(spark, d))
+    """Over finer variables and functions of one kind of unit, so that some are written by interrupts alone."""
+    a = accesses(spark, d)
+    return A.tick_counters(a.select(F.concat("resource", F.lit("/"), (F.col("event_id") % 3).cast("string")).alias("resource"), F.concat("function", "unit_kind").alias("function"), "kind", "unit_kind"))
 
 
 @query("merged_references", f"WITH {ACCESS_SQL} SELECT DISTINCT path, line, user_id AS \"column\" FROM acc")

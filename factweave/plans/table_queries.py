@@ -181,10 +181,11 @@ def partition_files(spark, d):
     return O.project_partition(inc, symbols, calls, "Blog.**")["files"]
 
 
-@query("function_search", "SELECT p_name AS name, 'src/' || p_brand AS path, CAST(p_partkey AS VARCHAR) AS symbol_id FROM part WHERE contains(p_name, 'ring') AND starts_with('src/' || p_brand, 'src/Brand#1') AND p_partkey < 0")
+@query("function_search", "SELECT p_name AS name, 'src/' || p_brand AS path, CASE WHEN p_size % 5 = 0 THEN 'external:' ELSE 'function:' END || p_partkey AS symbol_id FROM part WHERE contains(p_name, 'ring') AND starts_with('src/' || p_brand, 'src/Brand#1') AND p_size % 5 <> 0 ORDER BY name, path, symbol_id LIMIT 12")
 def function_search(spark, d):
-    p = table(spark, d, "part").select(F.col("p_name").alias("name"), F.concat(F.lit("src/"), "p_brand").alias("path"), F.col("p_partkey").cast("string").alias("symbol_id"))
-    return O.find_functions(p.where("symbol_id < ''"), "ring", "src/Brand#1")
+    kind = F.when(F.col("p_size") % 5 == 0, "external:").otherwise("function:")
+    p = table(spark, d, "part").select(F.col("p_name").alias("name"), F.concat(F.lit("src/"), "p_brand").alias("path"), F.concat(kind, F.col("p_partkey").cast("string")).alias("symbol_id"))
+    return O.find_functions(p, "ring", "src/Brand#1")
 
 
 @query("snapshot_difference", "WITH a AS (SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey % 5 <> 0), b AS (SELECT p_partkey, p_name, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part WHERE p_partkey % 3 <> 0) SELECT coalesce(a.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN a.p_partkey IS NULL THEN 'added' WHEN b.p_partkey IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.p_partkey = b.p_partkey WHERE a.p_partkey IS NULL OR b.p_partkey IS NULL OR a.p_size <> b.p_size")
