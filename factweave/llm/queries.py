@@ -11,6 +11,7 @@ from .quality_trees import op6
 from .repeats import op9
 from .sentencepiece_rounds import op7
 from .url_rules import op5
+from .vector_codes import SQL12, op12
 from .word_backoff import op4
 
 QUERIES = {
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_decontamination": op8,
     "op9_suffix_dedup": op9,
     "op10_minhash": op10,
+    "op12_vector_codes": op12,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_vector_codes": SQL12}
