@@ -59,6 +59,13 @@ def drop_written(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def remember(spark: SparkSession, path: str, gone: bool = False) -> None:
+    """Counts a folder in the shared folder among the tables that drop_written() deletes, or deletes it now."""
+    _written.append(path)
+    if gone:
+        drop_written(spark, len(_written) - 1)
+
+
 def tables_written() -> int:
     return len(_written)
 

@@ -12,6 +12,7 @@ from .repeats import op9
 from .sentencepiece_rounds import op7
 from .url_rules import op5
 from .vector_codes import SQL12, op12
+from .warc_archives import SQL11, op11
 from .word_backoff import op4
 
 QUERIES = {
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_decontamination": op8,
     "op9_suffix_dedup": op9,
     "op10_minhash": op10,
+    "op11_warc": op11,
     "op12_vector_codes": op12,
 }
-ORACLE_SQL: dict[str, str] = {"op12_vector_codes": SQL12}
+ORACLE_SQL: dict[str, str] = {"op11_warc": SQL11, "op12_vector_codes": SQL12}
