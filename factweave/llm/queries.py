@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .attention_mil import op1
 from .decontaminate import op8
+from .lexical_search import SQL13, op13
 from .license_scan import op3
 from .near_duplicates import op10
 from .pii_votes import op2
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_minhash": op10,
     "op11_warc": op11,
     "op12_vector_codes": op12,
+    "op13_lexical_search": op13,
 }
-ORACLE_SQL: dict[str, str] = {"op11_warc": SQL11, "op12_vector_codes": SQL12}
+ORACLE_SQL: dict[str, str] = {"op11_warc": SQL11, "op12_vector_codes": SQL12, "op13_lexical_search": SQL13}
