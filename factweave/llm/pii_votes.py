@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from collections import Counter
 from itertools import accumulate
 
 import numpy as np
@@ -37,6 +38,9 @@ LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+# What a secret can hold beside digits: stripped of it, a span goes from its first digit to its last.
+NO_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_-"
+LETTER = re.compile(r"[A-Za-z]")
 PROPOSE = {
     "secret": re.compile(r"(?<![A-Za-z0-9_\-])[A-Za-z0-9_\-]{20,}+"),
     "local_phone": re.compile(r"(?<![0-9+.\-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9.\-])"),
@@ -115,14 +119,14 @@ def proposed_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[st
 
 
 def _entropy(s: str) -> float:
-    n = np.array([s.count(c) for c in set(s)], float) / len(s)
+    n = np.array(list(Counter(s).values()), float) / len(s)
     return float(-(n * np.log2(n)).sum())
 
 
 def _format(kind: str, s: str) -> int:
     d = _digits(s)
     if kind == "secret":
-        return 1 if re.fullmatch(r"[0-9a-f]{32,}|[0-9A-F]{32,}", s) else -1 if not d or s.isdigit() or "-" in s.strip("-") and not re.search(r"[0-9].*[A-Za-z].*[0-9]", s) else 0
+        return 1 if re.fullmatch(r"[0-9a-f]{32,}|[0-9A-F]{32,}", s) else -1 if not d or s.isdigit() or "-" in s.strip("-") and not LETTER.search(s.strip(NO_DIGITS)) else 0
     if kind == "iban":
         turned = s.replace(" ", "")
         turned = turned[4:] + turned[:4]

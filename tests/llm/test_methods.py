@@ -139,6 +139,23 @@ def test_op2_overlaps_in_linear_time():
     assert time.time() - began < 60
 
 
+@pytest.mark.parametrize("text", ["9-" * 1_600_000 + "a" * 1_600_000, "1-1-" * 1_250_000, "a-" * 2_500_000, "9a-" * 1_600_000, "+1(" * 1_600_000, "1." * 2_500_000, "a@b." * 1_250_000, "a" * 5_000_000, "(555) " * 800_000])
+def test_op2_long_tokens_in_linear_time(text):
+    began = time.time()
+    pii_votes.accepted_spans(text, np.zeros(len(pii_votes.KINDS) + 4 * pii_votes.FEATURES))
+    for kind in ("secret", "email"):
+        pii_votes.votes(kind, text, 0, len(text))
+    assert time.time() - began < 30
+
+
+def test_op2_letters_between_digits():
+    draw = random.Random(6)
+    for _ in range(3000):
+        s = "".join(draw.choice("09aZ-_") for _ in range(draw.randrange(1, 9)))
+        plain = any(a.isdigit() and b.isalpha() and c.isdigit() for i, a in enumerate(s) for j, b in enumerate(s[i:], i) for c in s[j:])
+        assert bool(pii_votes.LETTER.search(s.strip(pii_votes.NO_DIGITS))) == plain
+
+
 def test_op4_plain_backoff(spark, rows):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     model = word_backoff.learn(docs, F.col("doc_id") % 3 != 0)
