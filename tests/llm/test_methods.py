@@ -1,7 +1,9 @@
 """Methods against plain versions, and rows that a method could lose: ties, missing ids, long texts, hot keys."""
 
+import hashlib
 import math
 import random
+import re
 import time
 from collections import Counter, defaultdict
 
@@ -292,11 +294,49 @@ def test_op8_german_items_with_other_numbers_and_rows_without_id(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in left.collect()) == [(0, free), (2, free), (3, free)]
 
 
+def removed_by_row(rows, length=100):
+    """Brute force over rows of which several may share a doc_id: a string is covered by a smaller doc_id or by its own row's earlier start."""
+    least, out = {}, []
+    for doc, text in rows:
+        data = (text or "").encode()
+        for p in range(len(data) - length + 1 if doc is not None else 0):
+            s = data[p : p + length]
+            least[s] = min(least.get(s, doc), doc)
+    for doc, text in rows:
+        data, seen = (text or "").encode(), set()
+        gone = bytearray(len(data))
+        for p in range(len(data) - length + 1 if doc is not None else 0):
+            s = data[p : p + length]
+            if s in seen or least[s] < doc:
+                gone[p : p + length] = b"\1" * length
+            seen.add(s)
+        out.append((doc, len(data), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(bytes(b for b, g in zip(data, gone) if not g)).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def op9_rows(spark, rows):
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    return sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got), key=repr)
+
+
 def test_op9_texts_that_share_an_id(spark):
-    line = "".join(random.Random(1).choices("abcdefghij", k=240))
-    docs = spark.createDataFrame([(1, line), (2, "x" + line), (3, line), (3, "y" + line + "z"), (4, line), (4, line)], "doc_id long, text string")
-    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in repeats.remove_repeats(docs).collect())
-    assert got == [(1, 240, 0), (2, 241, 240), (3, 240, 0), (3, 242, 0), (4, 240, 240), (4, 240, 240)]
+    draw = random.Random(1)
+    line, other = ("".join(draw.choices("abcdefghij", k=300)) for _ in range(2))
+    rows = [(1, line), (7, line + "x" * 20), (7, line + "y"), (9, other), (8, "q" + other), (8, other + "z"), (10, other[:150] + other[:150])]
+    got = op9_rows(spark, rows)
+    assert got == removed_by_row(rows)
+    assert [r[2] for r in got if r[0] == 7] == [300, 300] and [r[2] for r in got if r[0] == 9] == [300] and [r[2] for r in got if r[0] == 8] == [0, 0]
+    rows = [(1, line), (2, "x" + line), (3, line), (3, "y" + line + "z"), (4, line), (4, line), (None, line), (5, None), (5, ""), (5, "é" * 130)]
+    assert op9_rows(spark, rows) == removed_by_row(rows)
+
+
+def test_op9_many_rows_share_ids(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK", 128)
+    monkeypatch.setattr(common, "HOT_SHARE", 3)
+    draw = random.Random(5)
+    pieces = ["".join(draw.choices("abcdefgh é", k=draw.randrange(60, 160))) for _ in range(8)]
+    rows = [(draw.choice([1, 2, 3, 3, 3, 4, 5, 6, 7, 8, 9, 10, None]), "".join(draw.choices(pieces, k=draw.randrange(5)))) for _ in range(60)]
+    assert op9_rows(spark, rows) == removed_by_row(rows)
 
 
 def test_op9_hot_keys(spark, monkeypatch):
