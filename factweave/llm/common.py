@@ -119,6 +119,9 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
         for piece in slices(batches):
             got = f({name: piece.column(i).to_pylist() for i, name in enumerate(piece.schema.names)})
             yield pa.RecordBatch.from_arrays([pa.array(got[x.name], x.type) for x in arrow], schema=arrow)
+        # Workers live on between tasks; what they have freed goes back to the machine.
+        del f
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, out)
 
