@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.conditions import condition_atoms
 from . import graph as G
 from .joins import first_by, in_spans
 
@@ -302,6 +303,19 @@ def state_panel(transitions: DataFrame, conditions: DataFrame) -> DataFrame:
     return got.select("machine", F.col("source").alias("state"), "number", "target", F.col("nth").alias("atom"), F.when(guard, F.substring("kind", 7, 40)).otherwise(F.col("kind")).alias("tag"), text.alias("text"))
 
 
+def atom_rows(steps: DataFrame, *key: str) -> DataFrame:
+    """(key, nth, tag, text): the atoms of condition steps (key, kind: if | else | guard-<word>, text), one row each.
+
+    A step that must hold gives if rows, one that must not else rows with the opposite text, a guard rows with its word.
+    From the second of several alternatives on the tag is or.
+    """
+    guard, holds = F.col("kind").startswith("guard-"), F.col("kind") == "if"
+    split = steps.select(*key, "kind", F.posexplode(condition_atoms(F.col("text"), holds)).alias("nth", "atom"))
+    word = F.when(guard, F.substring("kind", 7, 40)).when(holds, "if").otherwise("else")
+    text = F.when(guard | holds, F.col("atom.text")).otherwise(S.negation(F.col("atom.text")))
+    return split.select(*key, (F.col("nth") + 1).alias("nth"), F.when(F.col("atom.any_of") & (F.col("nth") > 0), "or").otherwise(word).alias("tag"), text.alias("text"))
+
+
 def condition_steps(places: DataFrame, blocks: DataFrame) -> DataFrame:
     """(place_id, nth, line, kind, text) of the if and else blocks (function, line, end_line, kind, text) around each place (place_id, function, line), in line order."""
     hit = in_spans(places.select("place_id", "function", F.col("line").alias("at")), blocks, ["function"], "at", "line", "end_line")
