@@ -152,21 +152,25 @@ def merge_machines(machines: DataFrame) -> DataFrame:
     return got.select("dispatch", "machine", "parts", F.when(F.col("r") == 3, "high").when(F.col("r") == 2, "medium").otherwise("low").alias("confidence"))
 
 
-def machine_edges(steps: DataFrame) -> DataFrame:
-    """(machine, source, target, kind, times) of (machine, place, source, target): states in order of first place; next goes one
-    on, back goes back, self stays, jump skips, exit goes to a state that nothing leaves."""
-    order = steps.groupBy("machine", F.col("source").alias("state")).agg(F.min("place").alias("p")).withColumn("rank", F.row_number().over(Window.partitionBy("machine").orderBy("p", "state"))).select("machine", "state", "rank")
-    edges = steps.groupBy("machine", "source", "target").agg(F.count(F.lit(1)).alias("times"))
-    a, b = order.select("machine", F.col("state").alias("source"), F.col("rank").alias("ra")), order.select("machine", F.col("state").alias("target"), F.col("rank").alias("rb"))
-    kind = F.when(F.col("source") == F.col("target"), "self").when(F.col("rb").isNull(), "exit").when(F.col("rb") == F.col("ra") + 1, "next").when(F.col("rb") < F.col("ra"), "back").otherwise("jump")
-    return edges.join(a, ["machine", "source"]).join(b, ["machine", "target"], "left").select("machine", "source", "target", kind.alias("kind"), "times")
-
-
-def machine_statistics(edges: DataFrame) -> DataFrame:
-    """(machine, edges, sequential, verdict): sequential if at least 60 % of edges go on, mesh if more jump or go back than go on."""
-    k = lambda *names: F.count_if(F.col("kind").isin(*names))
-    got = edges.where("kind <> 'self'").groupBy("machine").agg(F.count(F.lit(1)).alias("edges"), k("next", "exit").alias("on"), k("back", "jump").alias("off"))
-    return got.select("machine", "edges", F.col("on").alias("sequential"), F.when(F.col("on") >= 0.6 * F.col("edges"), "sequential").when(F.col("off") > F.col("on"), "mesh").otherwise("mixed").alias("verdict"))
+def machine_edges(transitions: DataFrame, orders: DataFrame) -> DataFrame:
+    """(machine, source, target, kind, times) of transitions (machine, source, target) between states of orders (machine, state, place,
+    terminal): self stays, exit goes to a terminal state, next goes one place on, jump goes farther, back goes back."""
+    edges = transitions.groupBy("machine", "source", "target").agg(F.count(F.lit(1)).alias("times"))
+    a = orders.select("machine", F.col("state").alias("source"), F.col("place").alias("a"))
+    b = orders.select("machine", F.col("state").alias("target"), F.col("place").alias("b"), "terminal")
+    step = F.col("b") - F.col("a")
+    kind = F.when(step == 0, "self").when(F.col("terminal"), "exit").when(step == 1, "next").when(step > 1, "jump").otherwise("back")
+    return edges.join(a, ["machine", "source"]).join(b, ["machine", "target"]).select("machine", "source", "target", kind.alias("kind"), "times")
+
+
+def machine_statistics(orders: DataFrame, edges: DataFrame) -> DataFrame:
+    """(machine, total, next, jump, back, self, exit, verdict) of machines: dispatch without transitions, sequential if at least 60 % of
+    them (rounded) go to the next state, mesh if more jump or go back than go on, else mixed."""
+    kinds = ("next", "jump", "back", "self", "exit")
+    count = edges.groupBy("machine").agg(F.sum("times").alias("total"), *[F.sum(F.when(F.col("kind") == k, F.col("times")).otherwise(0)).alias(k) for k in kinds])
+    got = orders.select("machine").distinct().join(count, "machine", "left").fillna(0, ["total", *kinds])
+    share = F.floor(F.col("next") * 100 / F.col("total") + 0.5)
+    return got.withColumn("verdict", F.when(F.col("total") == 0, "dispatch").when(share >= 60, "sequential").when(F.col("back") + F.col("jump") > F.col("next"), "mesh").otherwise("mixed"))
 
 
 def beat_segments(steps: DataFrame) -> DataFrame:

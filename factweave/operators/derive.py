@@ -219,60 +219,72 @@ def round_columns(range_: DataFrame, loops: DataFrame, calls: DataFrame) -> Data
     return a.unionByName(b)
 
 
-def state_orders(transitions: DataFrame, labels: DataFrame) -> DataFrame:
-    """(machine, state, place, terminal, depth) of each state: depth first along the transitions (machine, source, target, line)
-    from states that nothing leads to, in the order of their labels (machine, state, line), terminal ones last, then targets
-    that have no label. depth is the longest way along later states; terminal states are one below all others.
+def state_orders(transitions: DataFrame, labels: DataFrame, helpers: DataFrame | None = None) -> DataFrame:
+    """(machine, state, place, terminal, via_helper, layer) of each state of machines with transitions (machine, source, target,
+    line) and case labels (machine, state, line).
+
+    States come depth first along the transitions, from those that nothing leads to, in the order of their labels; then those
+    that nothing labelled follows; then targets without label. helpers (machine, state) are states whose case calls a function
+    that sets the state variable. A state without transition is terminal, or leaves via its helper if it has one. layer is the
+    longest way from states placed before; terminal states are one below all others.
 
     Each machine, which has few states, is one group.
     """
-    both = labels.select("machine", "state", F.lit(None).cast("string").alias("target"), "line").unionByName(transitions.select("machine", F.col("source").alias("state"), "target", "line"))
+    none = F.lit(None).cast("string")
+    both = labels.select("machine", "state", none.alias("target"), "line", F.lit("label").alias("what")).unionByName(transitions.select("machine", F.col("source").alias("state"), "target", "line", F.lit("step").alias("what")))
+    if helpers is not None:
+        both = both.unionByName(helpers.select("machine", "state", none.alias("target"), F.lit(0).cast(dict(both.dtypes)["line"]).alias("line"), F.lit("helper").alias("what")))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        named = rows[rows["target"].isna()].sort_values(["line", "state"])["state"].drop_duplicates().tolist()
-        steps = rows[rows["target"].notna()].sort_values(["line", "state", "target"])
+        rows = rows.sort_values(["line", "state", "target"])
+        named = rows.loc[rows["what"] == "label", "state"].drop_duplicates().tolist()
+        steps = rows[rows["what"] == "step"]
         steps = list(dict.fromkeys(zip(steps["state"], steps["target"])))
-        names, last = order_of_states(named, steps)
-        depth = depth_of_states(names, last, set(names) - set(named), steps)
-        return pd.DataFrame([(rows["machine"].iloc[0], n, i, n in last, depth[n]) for i, n in enumerate(names)], columns=["machine", "state", "place", "terminal", "depth"])
-
-    return both.groupBy("machine").applyInPandas(run, f"machine {dict(both.dtypes)['machine']}, state string, place int, terminal boolean, depth int")
-
-
-def order_of_states(named: list[str], steps: list[tuple[str, str]]) -> tuple[list[str], set[str]]:
-    known = set(named)
-    after: dict = {n: [b for a, b in steps if a == n and b in known and b != n] for n in named}
-    ends = {n for n in named if not after[n]}
-    led_to = {b for bs in after.values() for b in bs}
-    order: list[str] = []
-    for start in [n for n in named if n not in led_to] + named:
-        todo = [start]
-        while todo:
-            n = todo.pop()
-            if n not in ends and n not in order:
-                order.append(n)
-                todo += reversed(after[n])
-    order += [n for n in named if n in ends]
-    order += list(dict.fromkeys(b for _, b in steps if b not in known))
-    leaves = {a for a, b in steps if a in known}
-    return order, {n for n in order if n not in leaves}
-
-
-def depth_of_states(names: list[str], last: set[str], extra: set[str], steps: list[tuple[str, str]]) -> dict[str, int]:
-    at = {n: i for i, n in enumerate(names)}
-    onward = [(a, b) for a, b in steps if a in at and at[b] > at[a]]
-    led_to = {b for _, b in onward}
-    depth = dict.fromkeys(names, 0)
-    for i, n in enumerate(names):
-        if n in last:
-            continue
-        if i and n not in led_to and n not in extra:
-            depth[n] = max(depth[n], depth[names[i - 1]] + 1)
-        for a, b in onward:
-            if a == n and b not in last:
-                depth[b] = max(depth[b], depth[n] + 1)
-    deepest = max((depth[n] for n in names if n not in last), default=0)
-    return depth | {n: deepest + 1 for n in names if n in last}
+        helped = set(rows.loc[rows["what"] == "helper", "state"])
+        order = order_of_states(named, steps)
+        still = set(order) - {a for a, b in steps if b in order}
+        layer = layers_of_states(order, still - helped, set(order) - set(named), steps)
+        return pd.DataFrame([(rows["machine"].iloc[0], n, i, n in still - helped, n in still & helped, layer[i]) for i, n in enumerate(order)], columns=["machine", "state", "place", "terminal", "via_helper", "layer"])
+
+    return both.groupBy("machine").applyInPandas(run, f"machine {dict(both.dtypes)['machine']}, state string, place int, terminal boolean, via_helper boolean, layer int")
+
+
+def order_of_states(named: list[str], steps: list[tuple[str, str]]) -> list[str]:
+    """Three zones: what is walked through, in the order of the walk; labels that lead to no other label; targets without label."""
+    after: dict[str, list[str]] = {n: [] for n in named}
+    for a, b in steps:
+        if a != b and a in after and b in after:
+            after[a].append(b)
+    entered = {b for bs in after.values() for b in bs}
+    zone = {n: (1, i) for i, n in enumerate(named) if not after[n]}
+    todo = [n for n in [*(n for n in named if n not in entered), *named] if after[n]][::-1]
+    while todo:
+        n = todo.pop()
+        if n not in zone:
+            zone[n] = (0, len(zone))
+            todo.extend(reversed(after[n]))
+    for i, (a, b) in enumerate(steps):
+        if a in after:
+            zone.setdefault(b, (2, i))
+    return sorted(zone, key=zone.__getitem__)
+
+
+def layers_of_states(order: list[str], ends: set[str], unlabelled: set[str], steps: list[tuple[str, str]]) -> list[int]:
+    """The layer at each place: one below the lowest earlier place that leads there, or that stands just before if none does.
+
+    Unlabelled states that nothing earlier leads to are in the first layer. Ends weigh nothing for others and go below all.
+    """
+    place = {n: i for i, n in enumerate(order)}
+    above: list[set[int]] = [set() for _ in order]
+    for a, b in steps:
+        if a in place and b in place and place[a] < place[b]:
+            above[place[b]].add(place[a])
+    layer: list[int] = []
+    for i, n in enumerate(order):
+        held_by = above[i] or ({i - 1} if i and n not in unlabelled else set())
+        layer.append(0 if n in ends else max((layer[j] + 1 for j in held_by), default=0))
+    bottom = max((x for x, n in zip(layer, order) if n not in ends), default=0) + 1
+    return [bottom if n in ends else x for x, n in zip(layer, order)]
 
 
 def machine_nesting(machines: DataFrame, cases: DataFrame, calls: DataFrame, hops: int = 3) -> DataFrame:

@@ -630,14 +630,6 @@ def condition_steps(spark, d, p, b):
     return D.condition_steps(p, b)
 
 
-@query("state_orders")
-def state_orders(spark, d):
-    """States of each user's events by what follows what; a test holds the order against a plain walk."""
-    t = facts(spark, d, "SELECT user_id AS machine, event_type AS source, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS target, event_id AS line FROM {events}").where("target is not null")
-    first = t.groupBy("machine", "source", "target").agg(F.min("line").alias("line"))
-    return D.state_orders(first, t.groupBy("machine", F.col("source").alias("state")).agg(F.min("line").alias("line")))
-
-
 ROUNDS = {
     "u": "SELECT 'u' || user_id AS unit, 'f' || user_id AS function, min(event_id) AS line, max(event_id) AS end_line, user_id % 5 = 0 AS superloop FROM {events} GROUP BY user_id",
     "l": "SELECT 'f' || user_id AS function, event_id AS line, event_id + event_id % 900 AS end_line, CAST(event_id % 3 AS INT) AS depth, event_id % 2 = 0 AND user_id % 3 <> 0 AS infinite FROM {events} WHERE event_type = 'error'",

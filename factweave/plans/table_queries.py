@@ -95,20 +95,6 @@ def loop_classes(spark, d):
     return table(spark, d, "events").select("event_id", A.loop_class(i % 11 == 0, F.col("value") > 90, F.col("event_type") == "view", i % 5 == 0, i % 3, i % 2 == 0, i % 7 == 0, F.col("user_id") % 2 == 0).alias("loop_class"))
 
 
-EDGES_SQL = STEPS_SQL + """, ord AS (SELECT machine, source AS state, row_number() OVER (PARTITION BY machine ORDER BY min(place), source) AS rank FROM steps GROUP BY machine, source), e AS (SELECT machine, source, target, count(*) AS times FROM steps GROUP BY machine, source, target),
-    k AS (SELECT e.machine, e.source, e.target, CASE WHEN e.source = e.target THEN 'self' WHEN b.rank IS NULL THEN 'exit' WHEN b.rank = a.rank + 1 THEN 'next' WHEN b.rank < a.rank THEN 'back' ELSE 'jump' END AS kind, times FROM e JOIN ord a ON a.machine = e.machine AND a.state = e.source LEFT JOIN ord b ON b.machine = e.machine AND b.state = e.target)"""
-
-
-@query("fsm_edges", f"WITH {EDGES_SQL} SELECT * FROM k")
-def fsm_edges(spark, d):
-    return A.machine_edges(role_steps(spark, d))
-
-
-@query("fsm_statistics", f"WITH {EDGES_SQL}, g AS (SELECT machine, count(*) AS edges, count(*) FILTER (kind IN ('next', 'exit')) AS s, count(*) FILTER (kind IN ('back', 'jump')) AS o FROM k WHERE kind <> 'self' GROUP BY machine) SELECT machine, edges, s AS sequential, CASE WHEN s >= 0.6 * edges THEN 'sequential' WHEN o > s THEN 'mesh' ELSE 'mixed' END AS verdict FROM g")
-def fsm_statistics(spark, d):
-    return A.machine_statistics(A.machine_edges(role_steps(spark, d)))
-
-
 @query("fsm_machines", f"WITH {STEPS_SQL}, s AS (SELECT machine, source AS state, bool_and(source <> 'error') AS is_enum, count(DISTINCT target) AS transitions FROM steps GROUP BY machine, source) SELECT machine, count(*) AS states, sum(transitions)::BIGINT AS transitions, CASE WHEN bool_and(is_enum) THEN 'high' ELSE 'medium' END AS confidence FROM s GROUP BY machine HAVING count(*) > 1 AND sum(transitions) > 0")
 def fsm_machines(spark, d):
     s = role_steps(spark, d).groupBy("machine", F.col("source").alias("state")).agg(F.bool_and(F.col("source") != "error").alias("is_enum"), F.count_distinct("target").alias("transitions"))

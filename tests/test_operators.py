@@ -158,7 +158,7 @@ def test_pairs_within_three_edges(spark):
 def test_orders_of_states(steps):
     steps = list(dict.fromkeys(steps))
     named = [n for n in "ABCDE" if any(n in s for s in steps)]
-    order, last = D.order_of_states(named, steps)
+    order = D.order_of_states(named, steps)
     assert sorted(order) == sorted(set(named) | {b for _, b in steps})
     after = {n: [b for a, b in steps if a == n and b in named and b != n] for n in named}
     walk = []
@@ -172,10 +172,28 @@ def test_orders_of_states(steps):
     for n in [n for n in named if not any(n in bs for bs in after.values())] + named:
         visit(n)
     walk += [n for n in named if not after[n]]
-    assert order[: len(named)] == walk and last == {n for n in order if not any(a == n for a, _ in steps)}
-    depth = D.depth_of_states(order, last, set(order) - set(named), steps)
+    assert order[: len(named)] == walk
     at = {n: i for i, n in enumerate(order)}
-    assert all(depth[b] > depth[a] for a, b in steps if at[b] > at[a] and a not in last)
+    for ends in (set(order) - {a for a, _ in steps}, set()):
+
+        def longest(i):
+            if order[i] in ends:
+                return 0
+            ways = [longest(at[a]) + 1 for a, b in steps if b == order[i] and at[a] < i]
+            return max(ways) if ways else longest(i - 1) + 1 if i and order[i] in named else 0
+
+        low = max((longest(at[n]) for n in order if n not in ends), default=0) + 1
+        assert D.layers_of_states(order, ends, set(order) - set(named), steps) == [low if n in ends else longest(i) for i, n in enumerate(order)]
+
+
+def test_a_machine_of_three_states(spark):
+    labels = spark.createDataFrame([("m", "OFF", 10), ("m", "ON", 20), ("m", "FAULT", 30), ("d", "A", 1), ("h", "A", 1), ("h", "B", 2)], "machine string, state string, line int")
+    steps = spark.createDataFrame([("m", "OFF", "ON", 11), ("m", "ON", "OFF", 21), ("m", "ON", "FAULT", 22), ("h", "A", "B", 1), ("h", "A", "C", 1)], "machine string, source string, target string, line int")
+    orders = D.state_orders(steps, labels, spark.createDataFrame([("h", "B")], "machine string, state string"))
+    assert sorted(tuple(r) for r in orders.where("machine <> 'd'").collect()) == [("h", "A", 0, False, False, 0), ("h", "B", 1, False, True, 1), ("h", "C", 2, True, False, 2), ("m", "FAULT", 2, True, False, 2), ("m", "OFF", 0, False, False, 0), ("m", "ON", 1, False, False, 1)]
+    edges = A.machine_edges(steps, orders)
+    assert rows(edges, "source", "target", "kind") == [("A", "B", "next"), ("A", "C", "exit"), ("OFF", "ON", "next"), ("ON", "FAULT", "exit"), ("ON", "OFF", "back")]
+    assert rows(A.machine_statistics(orders, edges), "machine", "verdict") == [("d", "dispatch"), ("h", "mixed"), ("m", "mixed")]
 
 
 def test_upserts_of_streams_with_checkpoints_of_their_own(spark, tmp_path):
