@@ -83,6 +83,14 @@ def module_of(path: Column) -> Column:
     return F.when(F.size(parts) == 1, F.lit("(root)")).otherwise(F.array_join(F.slice(parts, F.lit(1), F.least(F.lit(2), F.size(parts) - 1)), "/"))
 
 
+def default_node(path: Column) -> Column:
+    """The architecture node of a file: its first two folders; up to three, but never the file, within components; a file without folder is its own."""
+    parts = F.split(path, "/")
+    n = F.size(parts)
+    take = F.when((parts[0] == "components") & (n > 3), F.least(F.lit(3), n - 1)).otherwise(F.least(F.lit(2), n))
+    return F.when(F.coalesce(path, F.lit("")) == "", "unassigned").otherwise(F.array_join(F.slice(parts, 1, take), "/"))
+
+
 def shared_prefix(a: Column, b: Column) -> Column:
     """How many leading path parts two paths share."""
     same = F.zip_with(F.split(a, "/"), F.split(b, "/"), lambda x, y: x.eqNullSafe(y))

@@ -106,14 +106,29 @@ def interrupt_matrix(reached: DataFrame) -> DataFrame:
 
 
 def stability(runs: DataFrame) -> DataFrame:
-    """(node, stability) of clusterings (seed, node, cluster): how often its mates of the first seed stay with a node, on average."""
+    """(node, stability) of clusterings (seed, node, cluster): how often its mates of the first seed stay with a node, on average, to
+    three places; 1 for a node that is alone there.
+
+    Counts of nodes by cluster of the first seed and cluster of each seed say it all: nodes never meet their mates.
+    """
+    first = runs.select(F.min("seed").alias("s"), F.count_distinct("seed").alias("seeds"))
+    base = runs.join(F.broadcast(first), runs["seed"] == first["s"]).select("node", F.col("cluster").alias("home"), "seeds")
+    both = base.join(runs, "node")
+    cells = both.groupBy("home", "seed", "cluster").agg((F.count(F.lit(1)) - 1).alias("together"))
+    mates = base.groupBy("home").agg((F.count(F.lit(1)) - 1).alias("mates"))
+    kept = both.join(cells, ["home", "seed", "cluster"]).groupBy("node", "home", "seeds").agg(F.sum("together").alias("together"))
+    share = F.when(F.col("mates") == 0, 1.0).otherwise(F.round(F.col("together") / (F.col("mates") * F.col("seeds")), 3))
+    return kept.join(mates, "home").select("node", share.alias("stability"))
+
+
+def directory_agreement(runs: DataFrame, directories: DataFrame) -> DataFrame:
+    """(directory, files, main_cluster, in_main, ratio) of directories (node, directory): the cluster of the first seed that holds most of
+    a directory's nodes, the least of equals. Nodes in no cluster count as -1."""
     first = runs.select(F.min("seed").alias("s"))
     base = runs.join(F.broadcast(first), runs["seed"] == first["s"]).select("node", "cluster")
-    mates = base.join(base.select(F.col("node").alias("mate"), "cluster"), "cluster").where("node <> mate").select("node", "mate")
-    n = runs.select(F.count_distinct("seed").alias("seeds"))
-    other = runs.select("seed", F.col("node").alias("mate"), F.col("cluster").alias("mc"))
-    kept = mates.join(runs, "node").join(other, ["seed", "mate"]).groupBy("node", "mate").agg(F.count_if(F.col("cluster") == F.col("mc")).alias("k"))
-    return kept.join(F.broadcast(n)).groupBy("node").agg(F.avg(F.col("k") / F.col("seeds")).alias("stability"))
+    cells = directories.join(base, "node", "left").groupBy("directory", F.coalesce("cluster", F.lit(-1)).alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
+    got = cells.groupBy("directory").agg(F.sum("n").alias("files"), F.min_by(F.struct("cluster", "n"), F.struct(-F.col("n"), "cluster")).alias("m"))
+    return got.select("directory", "files", F.col("m.cluster").alias("main_cluster"), F.col("m.n").alias("in_main"), F.round(F.col("m.n") / F.col("files"), 3).alias("ratio"))
 
 
 def loop_class(from_macro: Column, infinite: Column, in_main: Column, waits: Column, calls: Column, reads_shared: Column, reads_register: Column, bounded: Column) -> Column:

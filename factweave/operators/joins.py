@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .graph import _cut
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -241,6 +245,62 @@ def pair_sections(calls: DataFrame) -> DataFrame:
     return acts.withColumn("end_line", F.lead("line").over(w)).where("what = 'begin'").select("function", F.col("line").cast("bigint").alias("begin_line"), F.col("end_line").cast("bigint").alias("end_line"))
 
 
+def argument_sections(statements: DataFrame, per_lock: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Critical sections by lock: ((function, rule, argument, begin_line, end_line: null if unterminated), (function, nested: begins left out)).
+
+    statements: function, block, block_from, block_end, nth, line, what (begin | end), rule, argument. A begin is closed by the
+    first later end of its rule and argument in its block (arguments are null for rules that don't match them), or lasts to
+    the block's end. A begin inside a section that is open already opens none: inside any section of the function, or with
+    per_lock inside one of its own rule and argument. Outer blocks come first, then places in order.
+    """
+    same = Window.partitionBy("function", "block", "rule", "argument").orderBy("nth")
+    ends = F.when(F.col("what") == "end", F.struct("nth", "line"))
+    begins = statements.withColumn("close", F.min(ends).over(same.rowsBetween(1, Window.unboundedFollowing))).where("what = 'begin'")
+    begins = begins.select("function", "rule", "argument", "block_from", "block", "nth", "line", F.col("close.line").alias("end_line"), F.coalesce("close.line", F.col("block_end") + 1).alias("stop"))
+    lock = ["function", "rule", "argument"] if per_lock else ["function"]
+    types = dict(begins.dtypes)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["block_from", "block", "nth"])
+        starts, stops, opened = [], [], []
+        for line, stop in zip(rows["line"], rows["stop"]):
+            # Sections that are open don't overlap, so the last that starts before decides.
+            at = bisect_right(starts, line)
+            inside = at > 0 and line < stops[at - 1]
+            opened.append(not inside)
+            if not inside:
+                starts.insert(at, line)
+                stops.insert(at, stop)
+        return rows.assign(opened=opened)[["function", "rule", "argument", "line", "end_line", "opened"]].astype({"end_line": "Int64"})
+
+    found = begins.groupBy(*lock).applyInPandas(run, f"function {types['function']}, rule {types['rule']}, argument {types['argument']}, line long, end_line long, opened boolean")
+    nested = found.groupBy("function").agg(F.count_if(~F.col("opened")).alias("nested"))
+    return found.where("opened").select("function", "rule", "argument", F.col("line").alias("begin_line"), "end_line"), nested
+
+
+def unique_ids(paths: DataFrame) -> DataFrame:
+    """(path, id, level): an id for each distinct path, its last part, or with a part from farther up before it where that is taken.
+
+    Paths have precedence in their order: each gets the first of its names that no earlier path gets. The names are the last
+    part, then the last part after each part above it in turn, then after the word module, and then with a hash of the path. All paths
+    ask at once; a name goes to the earliest that asks, even if another had it, and who is refused asks for the next name, so
+    there are as many rounds as the longest chain of refusals and never a loop over paths.
+    """
+    parts = F.transform(F.split("path", "/"), lambda x: F.replace(x, F.lit("-"), F.lit("_")))
+    n = F.size("parts")
+    base = F.when(F.element_at("parts", -1) == "", "module").otherwise(F.element_at("parts", -1))
+    up = F.get("parts", n - 1 - F.col("level"))
+    name = F.when(F.col("level") == 0, base).when(F.col("level") < n, F.concat_ws("_", up, base)).when(F.col("level") == n, F.concat(F.lit("module_"), base)).otherwise(F.concat_ws("_", F.lit("module"), base, F.expr("substring(sha1(path), 1, 8 * (level - size(parts)))")))
+    state = _cut(paths.select("path").distinct().select("path", parts.alias("parts"), F.lit(0).alias("level")))
+    while True:
+        asked = state.withColumn("id", name)
+        won = asked.groupBy("id").agg(F.min("path").alias("first"))
+        told = _cut(asked.join(won, "id").withColumn("refused", F.col("path") != F.col("first")))
+        if told.where("refused").isEmpty():
+            return told.select("path", "id", "level")
+        state = told.select("path", "parts", (F.col("level") + F.col("refused").cast("int")).alias("level"))
+
+
 def wrapper_roles(calls: DataFrame) -> DataFrame:
     """(function, rule, what) of wrappers, from (function, rule, what: begin | end): a function that begins one rule it never ends, and ends none, or the reverse."""
     sides = calls.groupBy("function", "rule").agg(F.bool_or(F.col("what") == "begin").alias("b"), F.bool_or(F.col("what") == "end").alias("e")).where("b <> e")
