@@ -5,7 +5,8 @@ of WIDTH tokens (whole items, if shorter) of texts and benchmark items meet by h
 Along one alignment of a text and an item, slots must be filled consistently: equal values of the item stand for equal
 values in the text. So re-parameterised questions are caught, and texts that only share a pattern with other fillings
 in each place are not. A document is contaminated by an item of which it holds LEAST of the windows, or a run of windows
-that covers RUN consecutive words, however long the item is.
+that covers RUN consecutive words, however long the item is. Of an alignment that is not consistent the windows that stand
+word for word remain: they count if a run of them covers RUN words.
 
 Whether a word is a placeholder can depend on its place and case, so windows meet in three more forms: with the first token
 as a word if only its neighbour or case made it a placeholder, with all capitalised words that are no known names as words
@@ -196,9 +197,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, ru
     left = windows(docs.select(row, "text", F.col("doc_id").alias("id")), widths, bitmap_of(items, "h")).withColumnRenamed("id", "doc_id").drop("counts", "n_tokens")
     of = ["row", "doc_id", "item_row", "item_id", "n_windows"]
     met = left.join(right, ["h", "template"]).withColumn("filled", F.when(F.col("item_form") == PLAIN, F.col("meant")).otherwise(F.col("filled"))).select(*of, F.struct("nth", "item_at", "width", "own").alias("place"), (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip("meant", "filled").alias("slots"))
-    lines = met.groupBy(*of, "shift").agg(F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    lines = lines.where(F.size("slots") == F.size(F.array_distinct(F.col("slots.meant"))))
-    lines = lines.withColumn("changed", F.size(F.filter("slots", lambda s: s["meant"] != s["filled"]))).withColumn("run_words", run_words(F.col("places")))
+    verbatim = F.when(F.forall("slots", lambda s: s["meant"] == s["filled"]), F.col("place"))
+    lines = met.groupBy(*of, "shift").agg(F.collect_set("place").alias("places"), F.collect_set(verbatim).alias("verbatim"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    consistent = F.size("slots") == F.size(F.array_distinct(F.col("slots.meant")))
+    changed = F.when(consistent, F.size(F.filter("slots", lambda s: s["meant"] != s["filled"]))).otherwise(0)
+    lines = lines.select(*of, F.when(consistent, F.col("places")).otherwise(F.col("verbatim")).alias("places"), changed.alias("changed"), consistent.alias("consistent")).withColumn("run_words", run_words(F.col("places")))
+    lines = lines.where(F.col("consistent") | (F.col("run_words") >= run))
     counted = F.array_distinct(F.flatten(F.collect_list(F.transform(F.filter("places", lambda p: p["own"]), lambda p: p["item_at"]))))
     held = lines.groupBy(*of).agg(F.size(counted).cast("long").alias("n_matched"), F.max("run_words").cast("long").alias("run_words"), F.max("changed").cast("long").alias("changed_slots"))
     held = held.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where((F.col("coverage") >= least) | (F.col("run_words") >= run))

@@ -199,11 +199,13 @@ def test_op8(spark):
             (3, item.replace("120", "75", 1)),
             (4, "a train leaves the station at noon and nobody knows how fast it was on the way back home"),
             (5, None),
+            (6, item.replace("120", "75", 1).replace("3 hours", "5 hours")),
         ],
         "doc_id long, text string",
     )
     got = {r["doc_id"]: r for r in decontaminate.contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
-    assert set(got) == {1, 2} and got[1]["changed_slots"] == 0 and got[2]["changed_slots"] > 0
+    # One value meets two fillings in 3 and 6; 3 holds a run of 21 words all the same, the runs of 6 have 11 words at most.
+    assert set(got) == {1, 2, 3} and got[1]["changed_slots"] == 0 and got[2]["changed_slots"] > 0 and got[3]["run_words"] == 21
 
 
 def test_op8_planted(spark, texts):
