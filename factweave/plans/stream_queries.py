@@ -35,3 +35,18 @@ def stream_windows(spark, d):
     got = N.changes_per_window(rows, "ts").select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "ids", "rows")
     got.writeStream.outputMode("append").format("parquet").option("path", f"{at}/table").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(got.schema).parquet(f"{at}/table")
+
+
+@query(
+    "stream_sessions",
+    """WITH t AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM t)
+    SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 12 HOUR AS session_end, count(*) AS "rows" FROM s GROUP BY user_id, n HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+)
+def stream_sessions(spark, d):
+    """Runs of a user's events of which each follows within 12 hours, as far as the watermark has closed them."""
+    at = f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}"
+    rows = stream_of(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    got = N.sessions(rows, "user_id", "ts", "12 hours").select("user_id", F.col("start").cast("timestamp_ntz").alias("session_start"), F.col("end").cast("timestamp_ntz").alias("session_end"), "rows")
+    got.writeStream.outputMode("append").format("parquet").option("path", f"{at}/table").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(got.schema).parquet(f"{at}/table")
