@@ -314,19 +314,6 @@ def traced_constants(spark, d, a):
     return J.trace_constants(a)
 
 
-@bound(
-    "object_sources",
-    """c AS (SELECT object, path, count(*) AS n FROM v GROUP BY object, path), t AS (SELECT *, max(n) OVER (PARTITION BY object) AS m FROM c), top AS (SELECT object, min(path) AS path FROM t WHERE n = m GROUP BY object HAVING count(*) = 1),
-    u AS (SELECT regexp_extract(path, '([^/]*)\\.c$', 1) AS base, min(path) AS path FROM f GROUP BY 1 HAVING count(*) = 1) SELECT o.object, coalesce(top.path, u.path) AS source_path, CASE WHEN top.path IS NOT NULL THEN 'functions' WHEN u.path IS NOT NULL THEN 'name' ELSE 'none' END AS match
-    FROM o LEFT JOIN top USING (object) LEFT JOIN u ON u.base || '.o' = o.object""",
-    v="SELECT 'c' || o_custkey || '.o' AS object, 'src/' || o_orderpriority || '.c' AS path FROM {orders}",
-    o="SELECT 'c' || c_custkey || '.o' AS object FROM {customer}",
-    f="SELECT 'src/' || c_nationkey || '/c' || (c_custkey - c_custkey % (1 + c_custkey % 2)) || '.c' AS path FROM {customer}",
-)
-def object_sources(spark, d, v, o, f):
-    return J.object_sources(v, o, f)
-
-
 @bound(
     "interrupt_handlers",
     "SELECT irq, handler FROM i JOIN v ON handler = replace(irq, '_IRQn', '_IRQHandler') OR handler = replace(irq, '_IRQn', '_Handler') OR vector = try_cast(irq AS INT) QUALIFY row_number() OVER (PARTITION BY irq ORDER BY handler LIKE '%_IRQHandler' DESC, handler) = 1",
@@ -430,18 +417,6 @@ def inherited_modes(spark, d, m, h):
     return D.inherit_modes(m, h)
 
 
-@bound(
-    "innermost_hosts",
-    """f AS (SELECT DISTINCT callback, unit FROM dsp JOIN r USING (function) WHERE unit <> callback), o AS (SELECT DISTINCT a.callback, a.unit FROM f a JOIN f b ON b.callback = a.callback AND b.unit <> a.unit JOIN e ON e.unit = b.unit JOIN r ON r.unit = a.unit AND r.function = e.function)
-    SELECT callback, string_agg(unit, ',' ORDER BY unit) AS hosts, CASE WHEN count(*) = 1 THEN 'high' ELSE 'medium' END AS confidence FROM f WHERE (callback, unit) NOT IN (SELECT callback, unit FROM o) GROUP BY callback""",
-    dsp="SELECT DISTINCT 'callback:' || user_id AS callback, 'f' || (event_id % 300) AS function FROM {events} WHERE event_type = 'click'",
-    r="SELECT DISTINCT 'task:' || (user_id % 30) AS unit, 'f' || (event_id % 300) AS function FROM {events} WHERE event_type = 'purchase'",
-    e="SELECT DISTINCT 'task:' || (user_id % 30) AS unit, 'f' || (2 * (user_id % 30)) AS function FROM {events}",
-)
-def innermost_hosts(spark, d, dsp, r, e):
-    return C.host_units(dsp, r, e)
-
-
 @bound("tick_of", "SELECT project, coalesce(min(tick_ms) FILTER (basis = 'code'), min(tick_ms)) AS tick_ms FROM t WHERE tick_ms IS NOT NULL GROUP BY project", t="SELECT c_custkey % 200 AS project, CASE WHEN c_custkey % 3 = 0 THEN 'code' ELSE 'declared' END AS basis, CASE WHEN c_custkey % 4 <> 0 THEN CAST(c_custkey % 17 AS DOUBLE) END AS tick_ms FROM {customer}")
 def tick_of(spark, d, t):
     return D.tick_of(t)
@@ -688,8 +663,8 @@ def unreached_definitions(spark, d):
 
 PRUNE = {
     "site": "SELECT (s * 100000 + t) * 4 + n AS site, s AS caller, t AS callee FROM e CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2) ns WHERE n <= (s + t) % 3",
-    "arg": "SELECT site, 0 AS position, CASE WHEN site % 29 <> 0 THEN CAST(callee % 3 AS INT) END AS value FROM site",
-    "guard": "SELECT site, 0 AS position, CASE WHEN site % 5 = 0 THEN CAST(caller % 3 AS INT) ELSE 9 END AS equals FROM site WHERE (caller + callee) % 4 < 2 AND site % 7 <> 0",
+    "arg": "SELECT site, 0 AS position, CASE WHEN site % 29 = 0 THEN NULL WHEN callee % 4 = 0 THEN CAST(callee % 3 AS INT) ELSE CAST((caller + site) % 4 AS INT) END AS value FROM site",
+    "guard": "SELECT site, 0 AS position, CASE WHEN site % 5 = 0 THEN CAST(caller % 3 AS INT) ELSE CAST(site % 6 AS INT) END AS equals FROM site WHERE (caller + callee) % 4 < 2 AND site % 7 <> 0",
 }
 
 

@@ -87,35 +87,6 @@ def run_map(spark, d):
     return C.run_map(accesses(spark, d))
 
 
-@query("function_domains", f"WITH {ACCESS_SQL} SELECT function, CASE WHEN count(DISTINCT unit_kind) > 1 THEN 'mixed' ELSE min(unit_kind) END AS domain FROM acc GROUP BY function")
-def function_domains(spark, d):
-    return C.domains(accesses(spark, d).select("unit_kind", "function"))
-
-
-@query(
-    "execution_units",
-    f"""WITH {ACCESS_SQL}, reg AS (SELECT unit_kind AS kind, 'function:' || path || ':n' || (user_id % 40) AS target, CASE WHEN event_id % 3 = 0 THEN 'ast.call' ELSE 'rtos.create' END AS rule, path, line, function FROM acc),
-    f AS (SELECT *, row_number() OVER (PARTITION BY kind, target ORDER BY rule LIKE 'ast.%', path, line, function) AS r, count(*) OVER (PARTITION BY kind, target) - 1 AS also FROM reg),
-    n AS (SELECT *, regexp_extract(target, '([^:]+)$', 1) AS name FROM f WHERE r = 1), t AS (SELECT *, row_number() OVER (PARTITION BY kind, name ORDER BY target) AS k FROM n)
-    SELECT kind || ':' || name || CASE WHEN k > 1 THEN '#' || k ELSE '' END AS unit, kind, target, rule, function, line, also FROM t""",
-)
-def execution_units(spark, d):
-    a = accesses(spark, d)
-    reg = a.select(F.col("unit_kind").alias("kind"), F.concat(F.lit("function:"), "path", F.lit(":n"), F.pmod("user_id", F.lit(40)).cast("string")).alias("target"), F.when(F.col("event_id") % 3 == 0, "ast.call").otherwise("rtos.create").alias("rule"), "path", "line", "function")
-    return C.execution_units(reg)
-
-
-@query(
-    "host_units",
-    f"""WITH {ACCESS_SQL}, disp AS (SELECT DISTINCT unit AS callback, 'f' || ((user_id * 7) % 50) AS function FROM acc WHERE unit_kind = 'callback'), reached AS (SELECT DISTINCT unit, function FROM acc WHERE unit_kind IN ('task', 'main'))
-    SELECT callback, string_agg(DISTINCT unit, ',' ORDER BY unit) AS hosts, CASE WHEN count(DISTINCT unit) = 1 THEN 'high' ELSE 'medium' END AS confidence FROM disp JOIN reached USING (function) WHERE unit <> callback GROUP BY callback""",
-)
-def host_units(spark, d):
-    a = accesses(spark, d)
-    disp = a.where("unit_kind = 'callback'").select(F.col("unit").alias("callback"), F.concat(F.lit("f"), F.pmod(F.col("user_id") * 7, F.lit(50)).cast("string")).alias("function")).distinct()
-    return C.host_units(disp, a.where("unit_kind in ('task', 'main')").select("unit", "function").distinct())
-
-
 @query(
     "interrupt_matrix",
     f"""WITH {ACCESS_SQL}, r AS (SELECT DISTINCT unit, unit_kind, resource FROM acc) SELECT a.unit AS isr, b.unit AS other, count(DISTINCT a.resource) AS shared FROM r a JOIN r b USING (resource) WHERE a.unit_kind = 'isr' AND b.unit_kind = 'task' GROUP BY a.unit, b.unit""",
@@ -151,16 +122,6 @@ def run_variables(spark, d):
     return C.run_variables(a, *run_facts(a))
 
 
-@query(
-    "worst_of_units",
-    CONFLICT_SQL + f""", {SIDE_SQL}, bad AS (SELECT resource FROM one UNION SELECT resource FROM two), m AS (SELECT side.unit, CASE WHEN run.resource IN (SELECT resource FROM bad) THEN 3 WHEN pollution AND w AND unit_kind <> 'isr' THEN 2 WHEN mismatch THEN 1 ELSE 0 END AS k FROM side JOIN run USING (resource))
-    SELECT unit, CASE max(k) WHEN 3 THEN 'conflict' WHEN 2 THEN 'pollution' WHEN 1 THEN 'mismatch' ELSE 'shared' END AS worst FROM m GROUP BY unit""",
-)
-def worst_of_units(spark, d):
-    a = accesses(spark, d)
-    return C.worst_of_units(a, C.run_variables(a, *run_facts(a)), C.conflicts(a))
-
-
 @query("dependency_lists", f"WITH {ACCESS_SQL}, w AS (SELECT DISTINCT resource, unit FROM acc WHERE {W}), r AS (SELECT DISTINCT resource, unit FROM acc WHERE {R}) SELECT w.unit AS from_unit, r.unit AS to_unit, string_agg(resource, ',' ORDER BY resource) AS resources FROM w JOIN r USING (resource) WHERE w.unit <> r.unit GROUP BY w.unit, r.unit")
 def dependency_lists(spark, d):
     return C.dependency_resources(accesses(spark, d)).withColumn("resources", F.array_join("resources", ","))

@@ -85,15 +85,6 @@ EDGE8_SQL = f"""tagged AS (SELECT a.p_brand AS source, b.p_brand AS target, m FR
     (SELECT DISTINCT s AS source, t AS target, CASE f WHEN 'R' THEN 'includes' WHEN 'A' THEN 'calls' ELSE 'reads' END AS m FROM ({STEP_SQL}) x WHERE t IS NOT NULL AND s <> t) e {BRAND_SQL})"""
 
 
-@query(
-    "edge_measures",
-    f"""WITH {EDGE8_SQL} SELECT source, target, count(*) FILTER (m = 'includes') AS includes, count(*) FILTER (m = 'calls') AS calls, 0::BIGINT AS bypass_calls, 0::BIGINT AS type_only_includes,
-    0::BIGINT AS types, 0::BIGINT AS macros, count(*) FILTER (m = 'reads') AS reads, 0::BIGINT AS writes FROM tagged WHERE source <> target GROUP BY source, target""",
-)
-def edge_measures(spark, d):
-    return A.edge_measures(tagged_edges(spark, d))
-
-
 @query("module_summary", f"WITH {EDGE8_SQL}, e AS (SELECT * FROM tagged WHERE source <> target AND (source LIKE 'Brand#1%' OR target LIKE 'Brand#1%')) SELECT module, CASE WHEN module LIKE 'Brand#1%' THEN 'focus' ELSE 'boundary' END AS side, count(*) AS edges FROM (SELECT source AS module FROM e UNION ALL SELECT target FROM e) x GROUP BY module")
 def module_summary(spark, d):
     return A.module_summary(tagged_edges(spark, d), lambda c: c.startswith("Brand#1"))

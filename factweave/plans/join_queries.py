@@ -113,13 +113,6 @@ def macro_resolution(spark, d):
     return J.resolve_names(uses, table(spark, d, "benchmark").select(F.col("item_id").alias("path"), word("text")).distinct())
 
 
-@query("external_refs", "WITH def AS (SELECT split_part(p_name, ' ', 1) AS name, min('function:' || p_partkey) AS symbol_id FROM part GROUP BY 1) SELECT p_partkey AS source, coalesce(symbol_id, 'external:' || split_part(p_name, ' ', 2)) AS target FROM part LEFT JOIN def ON def.name = split_part(p_name, ' ', 2)")
-def external_refs(spark, d):
-    p = table(spark, d, "part")
-    word = lambda k: F.split_part("p_name", F.lit(" "), F.lit(k)).alias("name")
-    return J.call_edges(p.select(F.col("p_partkey").alias("source"), word(2)), p.select(word(1), F.concat(F.lit("function:"), F.col("p_partkey").cast("string")).alias("symbol_id")))
-
-
 @query(
     "displaced_locations",
     """WITH flat AS (SELECT DISTINCT l_suppkey AS source, l_partkey % 50 AS target, CASE WHEN l_returnflag = 'R' THEN 'address_of' ELSE 'calls' END AS relation, l_linenumber AS line FROM lineitem),
@@ -137,16 +130,6 @@ def text_only_calls(spark, d):
     return J.text_only(whole_graph(spark, d), whole_graph(spark, d, "N"))
 
 
-@query(
-    "enum_of_states",
-    """WITH s AS (SELECT DISTINCT user_id AS machine, event_type AS member FROM events), m(enum, member, named) AS (VALUES ('flow', 'view', true), ('flow', 'click', true), ('flow', 'purchase', true), ('anon', 'error', false), ('anon', 'view', false), ('anon', 'click', false), ('acct', 'signup', true), ('acct', 'purchase', true)),
-    g AS (SELECT machine, enum, named, count(*) AS shared FROM s JOIN m USING (member) GROUP BY machine, enum, named) SELECT machine, enum, shared FROM g QUALIFY row_number() OVER (PARTITION BY machine ORDER BY shared DESC, named DESC, enum) = 1""",
-)
-def enum_of_states(spark, d):
-    rows = [("flow", "view", True), ("flow", "click", True), ("flow", "purchase", True), ("anon", "error", False), ("anon", "view", False), ("anon", "click", False), ("acct", "signup", True), ("acct", "purchase", True)]
-    return J.enum_of_states(table(spark, d, "events").select(F.col("user_id").alias("machine"), F.col("event_type").alias("state")), spark.createDataFrame(rows, "enum string, member string, named boolean"))
-
-
 @query("control_targets", "SELECT p_partkey AS control_id, CASE WHEN p_size % 5 = 0 THEN 'f' || p_partkey WHEN n = 1 THEN o END AS target FROM part LEFT JOIN (SELECT CAST(s_nationkey AS VARCHAR) AS k, count(*) AS n, min('t' || s_suppkey) AS o FROM supplier GROUP BY 1) x ON k = CAST(p_size AS VARCHAR) AND p_size % 5 <> 0")
 def control_targets(spark, d):
     c = table(spark, d, "part").select(F.col("p_partkey").alias("control_id"), F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("function"), F.when(F.col("p_size") % 5 != 0, F.col("p_size").cast("string")).alias("argument"))

@@ -15,41 +15,9 @@ from .concurrency_queries import W
 FIELD_SQL = "stores AS (SELECT p_partkey AS callback, p_brand AS struct_type, p_type || p_size AS field FROM part), calls AS (SELECT callback AS call_id, struct_type, field FROM stores)"
 
 
-@query(
-    "slot_match",
-    f"""WITH {FIELD_SQL}, strong AS (SELECT DISTINCT call_id, callback FROM calls JOIN stores USING (struct_type, field)) SELECT call_id, callback, false AS weak_match FROM strong
-    UNION ALL SELECT DISTINCT c.call_id, s.callback, true FROM calls c JOIN stores s USING (field) WHERE c.call_id NOT IN (SELECT call_id FROM strong)""",
-)
-def slot_match(spark, d):
-    p = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("struct_type"), F.concat("p_type", F.col("p_size").cast("string")).alias("field"))
-    return J.slot_match(p.withColumnRenamed("p_partkey", "callback"), p.withColumnRenamed("p_partkey", "call_id"))
-
-
-@query(
-    "variable_symbols",
-    f"""WITH {ACCESS_SQL}, v AS (SELECT resource AS name, path AS var_path, 'variable:' || path || ':' || resource AS symbol_id, bool_and(user_id % 3 = 0) AS is_static FROM acc GROUP BY resource, path),
-    sh AS (SELECT name, min(symbol_id) AS s FROM v WHERE NOT is_static GROUP BY name)
-    SELECT a.event_id AS access_id, a.resource AS name, coalesce(v.symbol_id, sh.s) AS symbol_id FROM acc a LEFT JOIN v ON v.name = a.resource AND v.var_path = a.path LEFT JOIN sh ON sh.name = a.resource""",
-)
-def variable_symbols(spark, d):
-    a = accesses(spark, d)
-    v = a.groupBy(F.col("resource").alias("name"), F.col("path").alias("var_path"), F.concat(F.lit("variable:"), "path", F.lit(":"), "resource").alias("symbol_id")).agg(F.bool_and(F.col("user_id") % 3 == 0).alias("is_static"))
-    return J.variable_symbols(a.select(F.col("event_id").alias("access_id"), "path", F.col("resource").alias("name")), v)
-
-
 CALL_SQL = "blk AS (SELECT p_partkey AS function, p_name AS callee, CASE WHEN p_size % 2 = 0 THEN 'wait' ELSE 'delay' END AS kind, p_size AS line FROM part)"
 
 
-@query(
-    "nearest_blocking",
-    f"""WITH RECURSIVE {part_graph_sql()}, {CALL_SQL}, h(root, node, hops) AS (SELECT node, node, 0 FROM (SELECT source AS node FROM edges UNION SELECT target FROM edges UNION SELECT function FROM blk) x UNION SELECT h.root, e.target, h.hops + 1 FROM h JOIN edges e ON h.node = e.source WHERE h.hops < 3),
-    m AS (SELECT root, node, min(hops) AS hops FROM h GROUP BY root, node) SELECT root AS function, callee, kind, hops FROM m JOIN blk ON blk.function = m.node QUALIFY row_number() OVER (PARTITION BY root ORDER BY hops, kind <> 'wait', line, callee) = 1""",
-)
-def nearest_blocking(spark, d):
-    b = table(spark, d, "part").select(F.col("p_partkey").alias("function"), F.col("p_name").alias("callee"), F.when(F.col("p_size") % 2 == 0, "wait").otherwise("delay").alias("kind"), F.col("p_size").alias("line"))
-    return D.nearest_blocking(part_graph(spark, d), b)
-
-
 @query(
     "tick_counters",
     f"""WITH {ACCESS_SQL}, fine AS (SELECT resource || '/' || (event_id % 3) AS resource, function || unit_kind AS function, kind, unit_kind FROM acc), isr AS (SELECT DISTINCT function FROM fine WHERE unit_kind = 'isr'), a AS (SELECT fine.*, fine.function IN (SELECT function FROM isr) AS i FROM fine)

@@ -26,10 +26,10 @@ def _sql(text: str) -> str:
 
 _BODY = _node("b<k>", "13", "3", "3", "3", "13") + "," + _node("g<k>", "12", "4", "6", "4", "7", _node("c<k>", "13", "5", "5", "5", "8"))
 _WHOLE = "[" + _node("n<c>", "3", "0", "7", "0", "10", _node("a<k>", "13", "1", "1", "1", "11") + "," + _node("f<k>", "<m>", "2", "6", "2", "4", _BODY)) + "]"
-_BARE = "[" + _node("a<k>", "13", "1", "2", "1", "11") + "," + _node("f<k>", "<m>", "3", "3", "3", "4") + "," + _node("t<c>", "23", "4", "4", "4", "0", _node("f<k>", "<m>", "4", "4", "4", "4")) + "]"
-_DECLARED = {"F": "static int a<k> = { 1, <c> };", "O": "extern int a<k>;", "P": "int /* static = { */ a<k>;"}
+_BARE = "[" + _node("a<k>", "13", "1", "2", "1", "11") + "," + _node("f<k>", "<m>", "3", "3", "3", "4") + "," + _node("t<c>", "23", "4", "4", "4", "0", _node("m<k>", "<m>", "4", "4", "4", "4")) + "]"
+_DECLARED = {"F": "static int a<k> = { 1, <c> };", "O": "extern int a<k>;", "P": "int a<k> = 3; /* { */"}
 _TEXT = "\n".join(["namespace n<c> {", "<v>", "int f<k>(int x) {", "  static int b<k> = 0;", "  auto g<k> = [](int y) {", "    int c<k>[] = { y };", "  }; }", "}"])
-_PLAIN = "\n".join(["// { static", "<v>", "  ;", "int f<k>(int x); /* { */", 'struct t<c> ' + "{ int f<k>() { return 0; } };"])
+_PLAIN = "\n".join(["// { static", "<v>", "  ;", "int f<k>(int x); /* { */", 'struct t<c> ' + "{ int m<k>() { return 0; } };"])
 _V = "CASE o_orderstatus " + " ".join(f"WHEN '{s}' THEN {_sql(t.replace('<k>', '<o_orderkey>').replace('<c>', '<o_custkey>'))}" for s, t in _DECLARED.items()) + " ELSE '' END"
 FILES = f"""SELECT path, CASE WHEN deep THEN {_sql(_WHOLE)} ELSE {_sql(_BARE)} END AS answer, CASE WHEN deep THEN {_sql(_TEXT)} ELSE {_sql(_PLAIN)} END AS text
     FROM (SELECT 'src/' || o_custkey || '/o' || o_orderkey || '.c' AS path, o_orderkey AS k, o_custkey AS c, o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AS deep,

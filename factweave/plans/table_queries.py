@@ -60,12 +60,6 @@ def cross_file_globals(spark, d):
     return accesses(spark, d).groupBy("resource").agg(F.count_distinct("path").alias("files")).where("files > 1")
 
 
-@query("deduplicated_edges", "SELECT l_suppkey, l_returnflag, string_agg(DISTINCT CAST(l_linenumber AS VARCHAR), ',' ORDER BY CAST(l_linenumber AS VARCHAR)) AS lines FROM lineitem GROUP BY l_suppkey, l_returnflag")
-def deduplicated_edges(spark, d):
-    rows = table(spark, d, "lineitem").select("l_suppkey", "l_returnflag", F.col("l_linenumber").alias("line"))
-    return A.dedup_edges(rows, "l_suppkey", "l_returnflag").withColumn("lines", F.array_join(F.array_sort(F.col("lines").cast("array<string>")), ","))
-
-
 @query("last_definition", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def last_definition(spark, d):
     return A.last_wins(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
@@ -95,18 +89,6 @@ def loop_classes(spark, d):
     return table(spark, d, "events").select("event_id", A.loop_class(i % 11 == 0, F.col("value") > 90, F.col("event_type") == "view", i % 5 == 0, i % 3, i % 2 == 0, i % 7 == 0, F.col("user_id") % 2 == 0).alias("loop_class"))
 
 
-@query("fsm_machines", f"WITH {STEPS_SQL}, s AS (SELECT machine, source AS state, bool_and(source <> 'error') AS is_enum, count(DISTINCT target) AS transitions FROM steps GROUP BY machine, source) SELECT machine, count(*) AS states, sum(transitions)::BIGINT AS transitions, CASE WHEN bool_and(is_enum) THEN 'high' ELSE 'medium' END AS confidence FROM s GROUP BY machine HAVING count(*) > 1 AND sum(transitions) > 0")
-def fsm_machines(spark, d):
-    s = role_steps(spark, d).groupBy("machine", F.col("source").alias("state")).agg(F.bool_and(F.col("source") != "error").alias("is_enum"), F.count_distinct("target").alias("transitions"))
-    return A.machine_confidence(s)
-
-
-@query("merged_machines", "SELECT user_id % 20 AS dispatch, arg_min(event_id, (event_id % 3 = 0)::INT * 1000000000 + event_id) AS machine, count(*) AS parts, CASE max(CASE event_type WHEN 'click' THEN 3 WHEN 'view' THEN 2 ELSE 1 END) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS confidence FROM events GROUP BY user_id % 20")
-def merged_machines(spark, d):
-    m = table(spark, d, "events").select(F.pmod("user_id", F.lit(20)).alias("dispatch"), F.col("event_id").alias("machine"), F.col("event_id").alias("line"), F.when(F.col("event_id") % 3 != 0, F.col("event_id") + 9).alias("end_line"), F.when(F.col("event_type") == "click", "high").when(F.col("event_type") == "view", "medium").otherwise("low").alias("confidence"))
-    return A.merge_machines(m)
-
-
 @query("beat_segments", "WITH s AS (SELECT user_id AS unit, CAST(value AS BIGINT) AS bound, coalesce(sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS segment FROM events) SELECT unit, segment, count(*) AS steps, sum(bound)::BIGINT AS bound FROM s GROUP BY unit, segment")
 def beat_segments(spark, d):
     return A.beat_segments(table(spark, d, "events").select(F.col("user_id").alias("unit"), F.col("event_id").alias("place"), (F.col("event_type") == "error").alias("is_wait"), F.rint("value").cast("bigint").alias("bound")))

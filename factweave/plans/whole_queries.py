@@ -16,15 +16,6 @@ def closure_roots(spark, d):
     return G.reach(e, all_roots(e)).select("root", "node")
 
 
-@query("unreached", f"WITH RECURSIVE {part_graph_sql()}, {TOP_SQL}, {REACH_SQL} SELECT node FROM (SELECT source AS node FROM edges UNION SELECT target FROM edges) n WHERE node NOT IN (SELECT node FROM far)")
-def unreached(spark, d):
-    """Nodes that no node without an edge in reaches: those of cycles that nothing leads to, and what only these lead to."""
-    e = part_graph(spark, d)
-    top = top_roots(e).select(F.lit(0).alias("root"), "node")
-    nodes = e.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-    return nodes.join(G.reach(e, top).select("node"), "node", "left_anti")
-
-
 @query("closure_bounded3", f"WITH RECURSIVE {part_graph_sql()}, {ROOTS_SQL}, {HOPS_SQL.format(n=3)} SELECT root, node, min(hops) AS hops FROM hop GROUP BY root, node")
 def closure_bounded3(spark, d):
     e = part_graph(spark, d)
