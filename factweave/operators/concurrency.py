@@ -159,6 +159,40 @@ def glyph_rows(accesses: DataFrame) -> DataFrame:
     return k.select("resource", "unit", F.when(F.col("w") & F.col("r"), "rw").when(F.col("w"), "w").when(F.col("r"), "r").otherwise("addr").alias("glyph"))
 
 
+def matrix_rows(accesses: DataFrame, wakes: DataFrame) -> DataFrame:
+    """(resource, units, confidence, wake, rank): the rows of the matrix in order: high conflicts first, then medium, low and none, those
+    without a wake relation (resource) before those with one, then more units, then by name.
+
+    The rank counts rows in ranges of (confidence, wake) and ranks within each, so that no task sorts all of them.
+    """
+    rows = shared_resources(accesses).where("units > 1 and isr_units > 0").select("resource", "units")
+    level = F.element_at(F.create_map(F.lit("high"), F.lit(3), F.lit("medium"), F.lit(2), F.lit("low"), F.lit(1)), F.col("confidence"))
+    worst = conflicts(accesses).groupBy("resource").agg(F.max_by("confidence", level).alias("confidence"))
+    got = rows.join(worst, "resource", "left").join(wakes.select("resource").distinct().withColumn("wake", F.lit(True)), "resource", "left").withColumn("wake", F.coalesce("wake", F.lit(False)))
+    got = got.withColumn("band", (3 - F.coalesce(level, F.lit(0))) * 2 + F.col("wake").cast("int"))
+    # Eight bands and the numbers of units that there are: few counts, which place all rows with so many units of a band.
+    size = got.groupBy("band", "units").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("band", F.desc("units")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = got.join(F.broadcast(size.withColumn("before", before).drop("n")), ["band", "units"])
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("band", "units").orderBy("resource"))
+    return placed.select("resource", "units", "confidence", "wake", rank.cast("bigint").alias("rank"))
+
+
+def main_phases(accesses: DataFrame, main_unit: str, loops: DataFrame, reached: DataFrame) -> DataFrame:
+    """The accesses with phase: run, or init for what the main unit does outside its endless loop.
+
+    loops: function, line, end_line, body_calls (array of functions) of the main function's loop, a row or none; reached: root,
+    node of what each function reaches, itself included. Inside are the lines of the loop and all that its calls reach.
+    Without a loop all of main is initialisation.
+    """
+    inside = loops.select(F.explode("body_calls").alias("root")).join(reached, "root").select(F.col("node").alias("function")).distinct().withColumn("_in", F.lit(True))
+    span = loops.select("function", F.col("line").alias("_a"), F.col("end_line").alias("_b"))
+    got = accesses.join(inside, "function", "left").join(F.broadcast(span), "function", "left")
+    # Of the main function itself the lines decide, even if its loop calls it.
+    in_loop = F.when(F.col("_a").isNotNull(), F.col("line").between(F.col("_a"), F.col("_b"))).otherwise(F.coalesce("_in", F.lit(False)))
+    return got.withColumn("phase", F.when((F.col("unit") != main_unit) | in_loop, "run").otherwise("init")).drop("_in", "_a", "_b")
+
+
 def run_map(accesses: DataFrame) -> DataFrame:
     """Per resource: owner (the writer with most writes, then the least), writers, flow, protection mismatch."""
     write, read = F.col("kind").isin(*WRITES), F.col("kind").isin(*READS)

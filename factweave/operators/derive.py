@@ -378,9 +378,15 @@ def tick_of(facts: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """rows with place, their number in the order (key, order): the rows of a key are numbered among themselves, after the count of all rows of lesser keys."""
-    size = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    before = size.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(key, "before")
+    """rows with place, their number in the order (key, order): the rows of a key are numbered among themselves, after the count of all rows of lesser keys.
+
+    Counts by key are dealt in ranges of keys; a running sum goes over each range, and one over the ranges, as many as partitions.
+    """
+    size = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).repartitionByRange(key)
+    size = G._cut(size.withColumn("_range", F.spark_partition_id()))
+    lesser = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = size.groupBy("_range").agg(F.sum("n").alias("n")).select("_range", lesser(Window.orderBy("_range")).alias("_start"))
+    before = size.withColumn("_before", lesser(Window.partitionBy("_range").orderBy(key))).join(F.broadcast(ranges), "_range").select(key, (F.col("_before") + F.col("_start")).alias("before"))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).join(before, key).withColumn("place", (F.col("place") + F.col("before")).cast("bigint")).drop("before")
 
 

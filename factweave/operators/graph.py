@@ -388,7 +388,7 @@ def clusters(edges: DataFrame, seeds: list[int], **params) -> DataFrame:
     smallest node of the cluster.
     """
     kind = dict(edges.dtypes)["source"]
-    dealt = edges.select("source", "target", "weight").crossJoin(edges.sparkSession.createDataFrame([(s,) for s in seeds], "seed int"))
+    dealt = edges.select("source", "target", "weight", F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         seed = int(rows["seed"].iloc[0])

@@ -32,6 +32,9 @@ CASES = {
     "document_variables": ("concat(scope, '/', storage, if(is_aggregate, '/aggregate', ''))", {"local/static", "local/global", "static/static/aggregate", "global/global", "extern/extern"}),
     "round_chains": ("calls", {1, 2, 3, 4, 5, 6, 7}),
     "argument_sections": ("concat_ws('/', rule, argument)", {"lock/m0", "lock/m1", "disable"}),
+    "time_base": ("concat_ws('/', kind, if(kind = 'systick', basis, null), if(value is null, 'open', null))", {"tick-counter", "timeout-loop", "timeout-loop/open"}),
+    "matrix_rows": ("concat_ws('/', coalesce(confidence, 'none'), if(wake, 'wake', null))", {"high", "medium", "low", "none", "none/wake"}),
+    "main_phases": ("phase", {"run", "init"}),
     "tree_order": ("kind", {"sink", "source", "tear"}),
 }
 
@@ -48,5 +51,7 @@ def test_all_measures_and_cycles(spark):
     total = QUERIES["edge_measures"](spark, DATA).groupBy().sum().first()
     assert min(total) >= 0.01 * sum(total)
     assert QUERIES["unreached"](spark, DATA).count() > 1000
+    base = {(r["kind"], r["basis"]) for r in QUERIES["time_base"](spark, DATA).select("kind", "basis").distinct().collect()}
+    assert {("core-clock", "initializer"), ("systick", "expression"), ("systick", "unresolved")} <= base
     assert QUERIES["draft_module_ids"](spark, DATA).select("level").distinct().count() == 5
     assert QUERIES["pruned_calls"](spark, DATA).select("round").distinct().count() > 1
