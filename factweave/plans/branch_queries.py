@@ -21,8 +21,8 @@ from .graph_queries import BRAND_SQL
     "slot_match",
     """strong AS (SELECT DISTINCT call_id, callback FROM c JOIN s USING (struct_type, field)) SELECT call_id, callback, false AS weak_match FROM strong
     UNION ALL SELECT DISTINCT c.call_id, s.callback, true FROM c JOIN s USING (field) WHERE c.call_id NOT IN (SELECT call_id FROM strong)""",
-    s="SELECT p_partkey AS callback, p_brand AS struct_type, p_type || p_size AS field FROM {part} WHERE p_partkey % 2 = 0",
-    c="SELECT p_partkey AS call_id, p_brand AS struct_type, p_type || CASE WHEN p_partkey % 20 = 1 THEN p_partkey ELSE p_size END AS field FROM {part} WHERE p_partkey % 2 = 1",
+    s="SELECT p_partkey AS callback, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'any' END AS struct_type, p_type || p_size AS field FROM {part}",
+    c="SELECT p_partkey AS call_id, p_brand AS struct_type, p_type || p_size AS field FROM {part}",
 )
 def slot_match(spark, d, s, c):
     return J.slot_match(s, c)
@@ -32,8 +32,8 @@ def slot_match(spark, d, s, c):
     "variable_symbols",
     """sh AS (SELECT name, min(symbol_id) AS s FROM v WHERE NOT is_static GROUP BY name)
     SELECT a.access_id, a.name, coalesce(v.symbol_id, sh.s) AS symbol_id FROM a LEFT JOIN v ON v.name = a.name AND v.var_path = a.path LEFT JOIN sh ON sh.name = a.name""",
-    a="SELECT o_orderkey AS access_id, 'f' || (o_custkey % 40) || '.c' AS path, 'v' || (o_orderkey % 250) AS name FROM {orders}",
-    v="SELECT 'v' || (c_custkey % 200) AS name, 'f' || c_nationkey || '.c' AS var_path, 'variable:f' || c_nationkey || '.c:v' || (c_custkey % 200) AS symbol_id, bool_and(c_mktsegment IN ('BUILDING', 'MACHINERY')) AS is_static FROM {customer} GROUP BY 1, 2, 3",
+    a="SELECT event_id AS access_id, 'f' || (user_id % 40) || '.c' AS path, 'v' || (event_id % 250) AS name FROM {events}",
+    v="SELECT 'v' || (event_id % 250) AS name, 'f' || (user_id % 25) || '.c' AS var_path, 'variable:f' || (user_id % 25) || '.c:v' || (event_id % 250) AS symbol_id, bool_and((event_id - event_id % 250) % 750 = 250) AS is_static FROM {events} GROUP BY 1, 2, 3",
 )
 def variable_symbols(spark, d, a, v):
     return J.variable_symbols(a, v)
@@ -72,14 +72,19 @@ def enum_of_states(spark, d, s, m):
     return J.enum_of_states(s, m)
 
 
+# Besides the graph of parts, each part leads to one of a lower number, and so in three calls at most to one that blocks.
+_DOWN = "SELECT p_partkey AS source, p_partkey - CASE WHEN p_partkey % 11 < 6 THEN p_partkey % 11 ELSE 3 END AS target FROM {part} WHERE p_partkey % 11 > 0"
+
+
 @bound(
     "nearest_blocking",
-    """RECURSIVE h(root, node, hops) AS (SELECT node, node, 0 FROM (SELECT source AS node FROM edges UNION SELECT target FROM edges UNION SELECT function FROM b) x UNION SELECT h.root, e.target, h.hops + 1 FROM h JOIN edges e ON h.node = e.source WHERE h.hops < 3),
-    m AS (SELECT root, node, min(hops) AS hops FROM h GROUP BY root, node) SELECT root AS function, callee, kind, hops FROM m JOIN b ON b.function = m.node QUALIFY row_number() OVER (PARTITION BY root ORDER BY hops, kind <> 'wait', line, callee) = 1""".replace("RECURSIVE h", f"RECURSIVE {part_graph_sql()}, h"),
+    f"""RECURSIVE {part_graph_sql('own')}, edges AS (SELECT source, target FROM own UNION SELECT source, target FROM g), h(root, node, hops) AS (SELECT node, node, 0 FROM (SELECT source AS node FROM edges UNION SELECT target FROM edges UNION SELECT function FROM b) x UNION SELECT h.root, e.target, h.hops + 1 FROM h JOIN edges e ON h.node = e.source WHERE h.hops < 3),
+    m AS (SELECT root, node, min(hops) AS hops FROM h GROUP BY root, node) SELECT root AS function, callee, kind, hops FROM m JOIN b ON b.function = m.node QUALIFY row_number() OVER (PARTITION BY root ORDER BY hops, kind <> 'wait', line, callee) = 1""",
+    g=_DOWN,
     b="SELECT p_partkey AS function, p_name AS callee, CASE WHEN p_size % 2 = 0 THEN 'wait' ELSE 'delay' END AS kind, p_size AS line FROM {part} WHERE p_partkey % 11 = 0",
 )
-def nearest_blocking(spark, d, b):
-    return D.nearest_blocking(part_graph(spark, d), b)
+def nearest_blocking(spark, d, g, b):
+    return D.nearest_blocking(part_graph(spark, d).union(g), b)
 
 
 # ---- units and hosts
@@ -204,12 +209,12 @@ def edge_measures(spark, d):
 
 
 @bound(
-    "unreached",
+    "unreached_cycles",
     """RECURSIVE far(node) AS (SELECT source FROM e WHERE source NOT IN (SELECT target FROM e) UNION SELECT e.target FROM far JOIN e ON e.source = far.node) SELECT node FROM (SELECT source AS node FROM e UNION SELECT target FROM e) n WHERE node NOT IN (SELECT node FROM far)""",
     e="""SELECT DISTINCT k AS source, CASE WHEN one IS NULL AND c % 4 = 0 THEN root WHEN one IS NOT NULL THEN one ELSE k + 100000000 END AS target FROM (
         SELECT o_orderkey AS k, o_custkey AS c, lead(o_orderkey) OVER w AS one, first_value(o_orderkey) OVER w AS root FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) x""",
 )
-def unreached(spark, d, e):
+def unreached_cycles(spark, d, e):
     """Nodes that no node without an edge in reaches: those of cycles that nothing leads to, and what only these lead to."""
     top = e.select("source").distinct().join(e.select(F.col("target").alias("source")), "source", "left_anti").select(F.lit(0).alias("root"), F.col("source").alias("node"))
     nodes = e.select(F.explode(F.array("source", "target")).alias("node")).distinct()

@@ -10,7 +10,6 @@ from factweave.plans.registry import QUERIES
 DATA = "/root/testdata/sf0.01"
 CASES = {
     "slot_match": ("weak_match", {False, True}),
-    "variable_symbols": ("symbol_id is null", {False, True}),
     "external_refs": ("split_part(target, ':', 1)", {"external", "function"}),
     "object_sources": ("match", {"functions", "name", "none"}),
     "enum_of_states": ("enum", None),
@@ -48,9 +47,12 @@ def test_each_branch_has_rows(spark, name):
 
 
 def test_all_measures_and_cycles(spark):
+    own = F.concat(F.lit("f"), (F.col("user_id") % 40).cast("string"), F.lit(".c"))
+    found = QUERIES["variable_symbols"](spark, DATA).join(spark.read.parquet(f"{DATA}/events.parquet").withColumnRenamed("event_id", "access_id"), "access_id")
+    assert all(n > 100 for _, n in found.groupBy(F.split_part("symbol_id", F.lit(":"), F.lit(2)) == own).count().collect()) and found.select(F.split_part("symbol_id", F.lit(":"), F.lit(2)) == own).distinct().count() == 2
     total = QUERIES["edge_measures"](spark, DATA).groupBy().sum().first()
     assert min(total) >= 0.01 * sum(total)
-    assert QUERIES["unreached"](spark, DATA).count() > 1000
+    assert QUERIES["unreached_cycles"](spark, DATA).count() > 1000
     base = {(r["kind"], r["basis"]) for r in QUERIES["time_base"](spark, DATA).select("kind", "basis").distinct().collect()}
     assert {("core-clock", "initializer"), ("systick", "expression"), ("systick", "unresolved")} <= base
     assert QUERIES["draft_module_ids"](spark, DATA).select("level").distinct().count() == 5
