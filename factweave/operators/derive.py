@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import scalars as S
 from ..functions.conditions import condition_atoms
@@ -228,25 +232,48 @@ def state_orders(transitions: DataFrame, labels: DataFrame, helpers: DataFrame |
     that sets the state variable. A state without transition is terminal, or leaves via its helper if it has one. layer is the
     longest way from states placed before; terminal states are one below all others.
 
-    Each machine, which has few states, is one group.
+    Machines are dealt by name and come to a task in order; it holds one machine, which has few states, at a time.
     """
     none = F.lit(None).cast("string")
     both = labels.select("machine", "state", none.alias("target"), "line", F.lit("label").alias("what")).unionByName(transitions.select("machine", F.col("source").alias("state"), "target", "line", F.lit("step").alias("what")))
     if helpers is not None:
         both = both.unionByName(helpers.select("machine", "state", none.alias("target"), F.lit(0).cast(dict(both.dtypes)["line"]).alias("line"), F.lit("helper").alias("what")))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["line", "state", "target"])
-        named = rows.loc[rows["what"] == "label", "state"].drop_duplicates().tolist()
-        steps = rows[rows["what"] == "step"]
-        steps = list(dict.fromkeys(zip(steps["state"], steps["target"])))
-        helped = set(rows.loc[rows["what"] == "helper", "state"])
-        order = order_of_states(named, steps)
-        still = set(order) - {a for a, b in steps if b in order}
-        layer = layers_of_states(order, still - helped, set(order) - set(named), steps)
-        return pd.DataFrame([(rows["machine"].iloc[0], n, i, n in still - helped, n in still & helped, layer[i]) for i, n in enumerate(order)], columns=["machine", "state", "place", "terminal", "via_helper", "layer"])
+    schema = T._parse_datatype_string(f"machine {dict(both.dtypes)['machine']}, state string, place int, terminal boolean, via_helper boolean, layer int")
+    arrow = to_arrow_schema(schema)
 
-    return both.groupBy("machine").applyInPandas(run, f"machine {dict(both.dtypes)['machine']}, state string, place int, terminal boolean, via_helper boolean, layer int")
+    def ordered(machine, named: list[str], steps: list[tuple[str, str]], helped: set[str]) -> Iterator[tuple]:
+        order = order_of_states(named, steps)
+        known = set(order)
+        still = known - {a for a, b in steps if b in known}
+        layer = layers_of_states(order, still - helped, known - set(named), steps)
+        for i, n in enumerate(order):
+            yield machine, n, i, n in still and n not in helped, n in still and n in helped, layer[i]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Machines as they come, one after the other; a machine may go on in the next batch."""
+        at, named, steps, helped, out = [], {}, {}, set(), []
+        for batch in batches:
+            for machine, state, target, what in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != [machine]:
+                    if at:
+                        out += ordered(*at, list(named), list(steps), helped)
+                    at, named, steps, helped = [machine], {}, {}, set()
+                if what == "label":
+                    named[state] = None
+                elif what == "step":
+                    steps[state, target] = None
+                else:
+                    helped.add(state)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), arrow)] if out else [pa.array([], t.type) for t in arrow], schema=arrow)
+            out = []
+        if at:
+            out = list(ordered(*at, list(named), list(steps), helped))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), arrow)], schema=arrow)
+
+    dealt = both.repartition("machine").sortWithinPartitions("machine", "line", "state", "target")
+    return dealt.select("machine", "state", "target", "what").mapInArrow(run, schema)
 
 
 def order_of_states(named: list[str], steps: list[tuple[str, str]]) -> list[str]:
