@@ -153,7 +153,7 @@ def tick_counters(accesses: DataFrame) -> DataFrame:
 def machine_confidence(states: DataFrame) -> DataFrame:
     """(machine, states, transitions, confidence) of (machine, state, is_enum, transitions): high if enum states change in the
     switch itself, medium if only some do; machines with fewer than two states or no transition are left out."""
-    got = states.groupBy("machine").agg(F.count("state").alias("states"), F.sum("transitions").alias("transitions"), F.bool_and("is_enum").alias("enums"))
+    got = states.groupBy("machine").agg(F.count(F.lit(1)).alias("states"), F.sum("transitions").alias("transitions"), F.bool_and("is_enum").alias("enums"))
     return got.where("states > 1 and transitions > 0").select("machine", "states", "transitions", F.when(F.col("enums"), "high").otherwise("medium").alias("confidence"))
 
 

@@ -94,13 +94,13 @@ ACCESS_SQL = """acc AS (SELECT json_extract_string(props, '$.k') || '/' || CAST(
 
 def role_steps(spark: SparkSession, d: str) -> DataFrame:
     """(machine, place, source, target): event types that follow each other for a user."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    w = Window.partitionBy("user_id").orderBy(*[F.asc_nulls_last(c) for c in ("ts", "event_id", "event_type")])
     rows = table(spark, d, "events").select(F.col("user_id").alias("machine"), F.row_number().over(w).cast("bigint").alias("place"), F.col("event_type").alias("source"), F.lead("event_type").over(w).alias("target"))
     return rows.where("target is not null")
 
 
 STEPS_SQL = """steps AS (SELECT * FROM (SELECT user_id AS machine, row_number() OVER w AS place, event_type AS source, lead(event_type) OVER w AS target FROM events
-    WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) x WHERE target IS NOT NULL)"""
+    WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id, event_type)) x WHERE target IS NOT NULL)"""
 
 
 def page_paths(spark: SparkSession, d: str) -> DataFrame:

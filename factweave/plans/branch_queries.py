@@ -9,7 +9,7 @@ from ..operators import concurrency as C
 from ..operators import derive as D
 from ..operators import graph as G
 from ..operators import joins as J
-from .bindings import ACCESS_SQL, STEP_SQL, part_graph, part_graph_sql, part_steps, query, table
+from .bindings import ACCESS_SQL, STEP_SQL, STEPS_SQL, part_graph, part_graph_sql, part_steps, query, role_steps, table
 from .bound_queries import bound
 from .concurrency_queries import CONFLICT_SQL, SIDE_SQL, run_facts
 from .graph_queries import BRAND_SQL
@@ -160,11 +160,14 @@ def innermost_hosts(spark, d, p, r, e):
 
 @bound(
     "fsm_machines",
-    "SELECT machine, count(*) AS states, sum(transitions)::BIGINT AS transitions, CASE WHEN bool_and(is_enum) THEN 'high' ELSE 'medium' END AS confidence FROM s GROUP BY machine HAVING count(*) > 1 AND sum(transitions) > 0",
-    s="SELECT o_custkey AS machine, 's' || o_orderkey AS state, o_custkey % 2 = 0 OR o_orderpriority <> '5-LOW' AS is_enum, CASE WHEN o_custkey % 7 = 0 OR o_orderstatus = 'P' THEN CAST(0 AS BIGINT) ELSE CAST(left(o_orderpriority, 1) AS BIGINT) END AS transitions FROM {orders}",
+    f"""{STEPS_SQL}, labels_ AS (SELECT machine, is_enum, transitions FROM s UNION ALL SELECT concat_ws(':', 'user', machine), bool_and(source <> 'error'), count(DISTINCT target) FROM steps GROUP BY machine, source)
+    SELECT machine, count(*) AS states, sum(transitions)::BIGINT AS transitions, CASE WHEN bool_and(is_enum) THEN 'high' ELSE 'medium' END AS confidence FROM labels_ GROUP BY machine HAVING count(*) > 1 AND sum(transitions) > 0""",
+    s="SELECT concat_ws(':', 'customer', o_custkey) AS machine, 's' || o_orderkey AS state, o_custkey % 2 = 0 OR o_orderpriority <> '5-LOW' AS is_enum, CASE WHEN o_custkey % 7 = 0 OR o_orderstatus = 'P' THEN CAST(0 AS BIGINT) ELSE CAST(left(o_orderpriority, 1) AS BIGINT) END AS transitions FROM {orders}",
 )
 def fsm_machines(spark, d, s):
-    return A.machine_confidence(s)
+    """Customers with their orders as states, and users with the types of all their events, which lead to the types that follow them."""
+    u = role_steps(spark, d).groupBy("machine", F.col("source").alias("state")).agg(F.bool_and(F.col("source") != "error").alias("is_enum"), F.count_distinct("target").alias("transitions"))
+    return A.machine_confidence(s.unionByName(u.withColumn("machine", F.concat_ws(":", F.lit("user"), F.col("machine").cast("string")))))
 
 
 @bound(
