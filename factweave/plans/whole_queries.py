@@ -12,7 +12,7 @@ from .graph_queries import CLOSURE_SQL, HOPS_SQL, REACH_SQL
 
 @query("closure_roots", f"WITH RECURSIVE {part_graph_sql()}, {CLOSURE_SQL} SELECT root, node FROM walk UNION SELECT source, source FROM edges")
 def closure_roots(spark, d):
-    e = part_graph(spark, d)
+    e = G._cut(part_graph(spark, d))
     return G.reach(e, all_roots(e)).select("root", "node")
 
 

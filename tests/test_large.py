@@ -37,3 +37,45 @@ def test_units_are_met_at_any_depth(spark):
     entries = spark.createDataFrame([("p", "f0")], "project string, function string")
     assert G.polling_order(calls, regs, entries, most_depth=None).count() == n + 1
     assert G.polling_order(calls, regs, entries).count() == 15
+
+
+def counted(spark, pairs):
+    """Edges that count how many of them are computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for rows in batches:
+            seen.add(rows.num_rows)
+            yield rows
+
+    return spark.createDataFrame(pairs, "source int, target int").mapInArrow(tell, "source int, target int"), seen
+
+
+def plain_reach(pairs, root):
+    hops, front = {root: 0}, [root]
+    while front:
+        front = sorted({b for a, b in pairs if a in front and b not in hops})
+        hops |= {n: hops[m] + 1 for m in list(hops) for n in front if (m, n) in pairs and n not in hops}
+    return hops
+
+
+@pytest.mark.parametrize("small", [0, G.PACKED_GRAPH])
+def test_reach_computes_edges_once(spark, small):
+    edges, seen = counted(spark, [(i, i + 1) for i in range(6)])
+    assert G.reach(edges, spark.createDataFrame([(0, 0), (3, 3)], "root int, node int"), small=small).count() == 11
+    assert seen.value == 6
+
+
+def test_walks_of_many_roots(spark, monkeypatch):
+    monkeypatch.setattr(G, "HELD_ROWS", 50)
+    r = random.Random(8)
+    pairs = {(r.randrange(60), r.randrange(60)) for _ in range(90)}
+    edges = spark.createDataFrame(sorted(pairs), "source int, target int")
+    roots = spark.range(70).select(F.col("id").cast("int").alias("root"), F.col("id").cast("int").alias("node"))
+    want = sorted((n, m, h) for n in range(70) for m, h in plain_reach(pairs, n).items())
+    assert rows(G.reach(edges, roots), "root", "node", "hops") == want
+    named = edges.selectExpr("'f' || source AS source", "'f' || target AS target")
+    got = G.reach(named, roots.select("root", F.concat(F.lit("f"), "node").alias("node")), with_roots=False)
+    assert rows(got, "root", "node") == sorted((n, f"f{m}") for n, m, h in want if h)
+    many = spark.createDataFrame([(n % 2, n) for n in range(60)], "root int, node int")
+    assert rows(G.reach(edges, many), "root", "node", "hops") == rows(G.reach(edges, many, small=0), "root", "node", "hops")
