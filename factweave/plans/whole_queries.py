@@ -45,8 +45,8 @@ def shortest_chain(spark, d):
 
 @query("compared_roots", f"WITH RECURSIVE {part_graph_sql()}, {ROOTS_SQL}, {REACH_SQL}, two AS (SELECT root, row_number() OVER (ORDER BY count(*) DESC, root) AS r FROM far GROUP BY root) SELECT node FROM far WHERE root = (SELECT root FROM two WHERE r = 1) INTERSECT SELECT node FROM far WHERE root = (SELECT root FROM two WHERE r = 2)")
 def compared_roots(spark, d):
-    e = part_graph(spark, d)
-    far = G.reach(e, all_roots(e))
-    two = [r["root"] for r in far.groupBy("root").count().orderBy(F.desc("count"), "root").limit(2).collect()]
+    e = G._cut(part_graph(spark, d))
+    two = [r["root"] for r in G.reach(e, all_roots(e)).groupBy("root").count().orderBy(F.desc("count"), "root").limit(2).collect()]
     a, b = (two + [None, None])[:2]
+    far = G.reach(e, all_roots(e).where(F.col("root").isin([x for x in (a, b) if x is not None])))
     return J.compare_roots(far, F.lit(a), F.lit(b))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factweave.operators import graph as G
-from factweave.plans import graph_queries
+from factweave.plans import graph_queries, whole_queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -79,3 +79,10 @@ def test_walks_of_many_roots(spark, monkeypatch):
     assert rows(got, "root", "node") == sorted((n, f"f{m}") for n, m, h in want if h)
     many = spark.createDataFrame([(n % 2, n) for n in range(60)], "root int, node int")
     assert rows(G.reach(edges, many), "root", "node", "hops") == rows(G.reach(edges, many, small=0), "root", "node", "hops")
+
+
+def test_roots_are_compared_over_edges_read_once(spark, monkeypatch):
+    edges, seen = counted(spark, [(1, 2), (2, 3), (5, 2), (5, 6)])
+    monkeypatch.setattr(whole_queries, "part_graph", lambda spark, d: edges)
+    assert rows(whole_queries.compared_roots(spark, DATA), "node") == [(2,), (3,)]
+    assert seen.value == 4
