@@ -86,3 +86,18 @@ def test_roots_are_compared_over_edges_read_once(spark, monkeypatch):
     monkeypatch.setattr(whole_queries, "part_graph", lambda spark, d: edges)
     assert rows(whole_queries.compared_roots(spark, DATA), "node") == [(2,), (3,)]
     assert seen.value == 4
+
+
+def test_parents_of_packed_and_joined_walks_agree(spark):
+    r = random.Random(9)
+    edges = spark.createDataFrame(sorted({(r.randrange(40), r.randrange(40)) for _ in range(90)}), "source int, target int")
+    roots = spark.range(45).select(F.col("id").cast("int").alias("root"), F.col("id").cast("int").alias("node"))
+    at = ("root", "node", "hops", "parent")
+    key = lambda x: tuple(-1 if v is None else v for v in x)
+    told = [sorted((tuple(x[c] for c in at) for x in G.shortest_chains(edges, roots, small=small).collect()), key=key) for small in (0, G.PACKED_GRAPH)]
+    assert told[0] == told[1]
+
+
+def test_chains_shuffle_no_closure(spark):
+    plan = whole_queries.shortest_chain(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
