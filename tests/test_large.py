@@ -101,3 +101,10 @@ def test_parents_of_packed_and_joined_walks_agree(spark):
 def test_chains_shuffle_no_closure(spark):
     plan = whole_queries.shortest_chain(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_unreached_reads_edges_once(spark, monkeypatch):
+    edges, seen = counted(spark, [(1, 2), (3, 4), (4, 3), (4, 5)])
+    monkeypatch.setattr(whole_queries, "part_graph", lambda spark, d: edges)
+    assert rows(whole_queries.unreached(spark, DATA), "node") == [(3,), (4,), (5,)]
+    assert seen.value == 4
