@@ -108,3 +108,13 @@ def test_unreached_reads_edges_once(spark, monkeypatch):
     monkeypatch.setattr(whole_queries, "part_graph", lambda spark, d: edges)
     assert rows(whole_queries.unreached(spark, DATA), "node") == [(3,), (4,), (5,)]
     assert seen.value == 4
+
+
+@pytest.mark.parametrize("small", [0, 3, 12])
+def test_depths_with_cycles_below_chains(spark, small):
+    r = random.Random(small)
+    pairs = [(i, i + 1) for i in range(12)] + [(20, 21), (21, 20), (21, 9), (30, 20), (30, 31), (12, 12)] + [(r.randrange(40), 40 + r.randrange(20)) for _ in range(20)]
+    edges, seen = counted(spark, sorted(set(pairs)))
+    got = rows(G.depths(edges, small=small), "node", "component", "in_cycle", "depth")
+    assert seen.value == len(set(pairs))
+    assert got == rows(G.depths(edges), "node", "component", "in_cycle", "depth")
