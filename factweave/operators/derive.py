@@ -118,9 +118,10 @@ def staleness(image: DataFrame, sources: DataFrame) -> DataFrame:
 def boot_tree(calls: DataFrame, installs: DataFrame, root: str, depth: int = 8) -> DataFrame:
     """(node, hops): functions that main reaches in so many calls and from which something is installed, itself or below."""
     start = calls.sparkSession.createDataFrame([(root, root)], "root string, node string")
-    down = G.reach(calls, start, depth).select("node", "hops")
-    goals = installs.select("function").distinct()
-    up = G.reach(calls.select(F.col("target").alias("source"), F.col("source").alias("target")), goals.select(F.col("function").alias("root"), F.col("function").alias("node")), depth)
+    # A few calls deep, so large graphs of names are joined and not packed; from which goal a function is seen doesn't matter.
+    down = G.reach(calls, start, depth, small=G.SMALL_GRAPH).select("node", "hops")
+    goals = installs.select(F.lit(0).alias("root"), F.col("function").alias("node")).distinct()
+    up = G.reach(calls.select(F.col("target").alias("source"), F.col("source").alias("target")), goals, depth, small=G.SMALL_GRAPH)
     return down.join(up.select("node").distinct(), "node", "left_semi")
 
 
