@@ -185,8 +185,10 @@ def machine_owners(machines: DataFrame, reached: DataFrame) -> DataFrame:
 
 def machine_coupling(conditions: DataFrame, functions: DataFrame, homes: DataFrame) -> DataFrame:
     """(machine, other): a condition calls a function of a file that holds another machine. homes: machine, path."""
-    called = conditions.select("machine", F.explode(F.regexp_extract_all("condition", F.lit(r"([A-Za-z_]\w*)\s*\("), F.lit(1))).alias("name"))
-    return called.join(functions, "name").join(homes.select(F.col("machine").alias("other"), "path"), "path").where("machine <> other").select("machine", "other").distinct()
+    called = conditions.select("machine", F.explode(F.regexp_extract_all("condition", F.lit(r"([A-Za-z_]\w*)\s*\("), F.lit(1))).alias("name")).distinct()
+    # What repeats goes before each join: names called, then files led to.
+    files = called.join(functions.select("name", "path").distinct(), "name").select("machine", "path").distinct()
+    return files.join(homes.select(F.col("machine").alias("other"), "path").distinct(), "path").where("machine <> other").select("machine", "other").distinct()
 
 
 def machine_transitions(labels: DataFrame, writes: DataFrame, helpers: DataFrame) -> DataFrame:
