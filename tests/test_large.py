@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factweave.operators import derive
+from factweave.operators import aggregates, concurrency, derive, pairs
 from factweave.operators import graph as G
 from factweave.plans import graph_queries, whole_queries
 
@@ -148,3 +148,83 @@ def test_couplings_meet_files_once(spark):
     got = derive.machine_coupling(conditions, functions, homes)
     assert rows(got, "machine", "other") == [("m1", "m3"), ("m2", "m3")]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") >= 4
+
+
+def test_steps_meet_what_is_told_for_their_functions(spark):
+    steps = spark.createDataFrame([(1, "f"), (1, "g"), (2, "f"), (3, "f")], "step int, function string")
+    sites = spark.createDataFrame([("f", "x", "read", True, "task", "t"), ("g", "x", "write", False, "isr", "i"), ("g", "y", "read", True, "task", "t")], "function string, resource string, kind string, protected boolean, unit_kind string, unit string")
+    none = sites.where("false").select("resource")
+    got = concurrency.step_variables(steps, sites, none, none)
+    assert rows(got, "step", "resource", "kinds", "in_critical", "isr_writers") == [(1, "x", "read,write", False, "i"), (1, "y", "read", True, ""), (2, "x", "read", True, "i"), (3, "x", "read", True, "i")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not any("Aggregate [step#" in x and "resource#" in x.split("]")[0] for x in plan)
+
+
+def test_hosts_compare_units_before_callbacks(spark):
+    r = random.Random(2)
+    found = {(f"c{r.randrange(8)}", f"f{r.randrange(9)}") for _ in range(25)}
+    reach = {(f"t{r.randrange(6)}", f"f{r.randrange(9)}") for _ in range(20)}
+    entry = {(f"t{i}", f"f{r.randrange(9)}") for i in range(6)}
+    pairs = {(c, u) for c, f in found for u, g in reach if f == g}
+    outer = {(c, u) for c, u in pairs for d, o in pairs if d == c and o != u for v, f in entry if v == o and (u, f) in reach}
+    want = sorted((c, ",".join(sorted(u for d, u in pairs - outer if d == c))) for c in {c for c, _ in pairs - outer})
+    got = concurrency.host_units(*(spark.createDataFrame(sorted(x), s) for x, s in ((found, "callback string, function string"), (reach, "unit string, function string"), (entry, "unit string, function string"))))
+    assert rows(got, "callback", "hosts") == want
+    assert "function#" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def meeting(spark):
+    r = random.Random(6)
+    kinds = ("isr", "task", "main")
+    some = sorted({(f"r{r.randrange(12)}", i, r.choice(("read", "write", "read_write"))) for i in range(14) for _ in range(9)})
+    return [(x, f"u{i}", kinds[i % 3], k) for x, i, k in some]
+
+
+@pytest.mark.parametrize("most", [3, 1000])
+def test_pairs_meet_in_cells(spark, monkeypatch, most):
+    monkeypatch.setattr(pairs, "MADE", most)
+    told = meeting(spark)
+    sides = {}
+    for x, u, _, k in told:
+        w, n = sides.get((x, u), (0, 0))
+        sides[x, u] = (w + (k != "read"), n + (k != "write"))
+    a = spark.createDataFrame([(x, u, w) for (x, u), (w, n) in sides.items() if w], "resource string, unit string, w long")
+    b = spark.createDataFrame([(x, u, n) for (x, u), (w, n) in sides.items() if n], "resource string, unit string, n long")
+    want = {}
+    for (x, u), (w, _) in sides.items():
+        for (y, v), (_, n) in sides.items():
+            if x == y and w and n:
+                p = want.setdefault((u, v), [0, 0, 0, []])
+                p[0], p[1], p[2] = p[0] + 1, p[1] + w, p[2] + n
+                p[3].append(x)
+    got = pairs.met_pairs(a, b, ["unit"], [], ("w", "n"), True, held=most, streamed=most)
+    assert [(*x[:5], list(x[5])) for x in rows(got, "a_unit", "b_unit", "n", "left_sum", "right_sum", "resources")] == sorted((u, v, n, w, m, sorted(x)) for (u, v), (n, w, m, x) in want.items())
+
+
+def no_join(df):
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_data_dependencies_shuffle_no_pairs(spark):
+    a = spark.createDataFrame(meeting(spark), "resource string, unit string, unit_kind string, kind string")
+    places = a.where("unit_kind = 'task'").groupBy("unit").agg(F.min("resource").alias("place"))
+    got = concurrency.data_dependencies(a, places, "cooperative")
+    no_join(got)
+    hosted = concurrency.data_dependencies(a.withColumns({"context": F.col("unit"), "context_kind": F.col("unit_kind")}), places, "cooperative")
+    at = ("from_unit", "to_unit", "order", "resource_count", "writes", "reads")
+    assert rows(got, *at) == rows(hosted, *at) and got.count() > 20
+
+
+def test_dependency_lists_shuffle_no_pairs(spark):
+    told = [(*x, True) for x in meeting(spark)]
+    got = concurrency.dependency_resources(spark.createDataFrame(told, "resource string, unit string, unit_kind string, kind string, protected boolean"))
+    no_join(got)
+    want = sorted({(u, v): sorted({x for x, a, _, k, _ in told if a == u and k != "read"} & {x for x, a, _, k, _ in told if a == v and k != "write"}) for _, u, *_ in told for _, v, *_ in told if u != v}.items())
+    assert [((x[0], x[1]), list(x[2])) for x in rows(got, "from_unit", "to_unit", "resources")] == [x for x in want if x[1]]
+
+
+def test_interrupt_matrix_shuffles_no_pairs(spark):
+    reached = spark.createDataFrame([("i", "isr", "f"), ("i", "isr", "g"), ("t", "task", "f"), ("t", "task", "g"), ("s", "task", "g"), ("s", "task", "h")], "unit string, unit_kind string, function string")
+    got = aggregates.interrupt_matrix(reached)
+    no_join(got)
+    assert rows(got, "isr", "other", "shared") == [("i", "s", 1), ("i", "t", 2)]
