@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .graph import _cut
 from .joins import first_by
+from .pairs import met_pairs
 
 MEASURES = ("includes", "calls", "bypass_calls", "type_only_includes", "types", "macros", "reads", "writes")
 
@@ -100,9 +102,9 @@ def memory_by_module(objects: DataFrame, module: str) -> DataFrame:
 
 def interrupt_matrix(reached: DataFrame) -> DataFrame:
     """(isr, other, shared): how many functions an interrupt and another unit both reach; reached is (unit, unit_kind, function)."""
-    a = reached.where("unit_kind = 'isr'").select(F.col("unit").alias("isr"), "function")
-    b = reached.where("unit_kind <> 'isr'").select(F.col("unit").alias("other"), "function")
-    return a.join(b, "function").groupBy("isr", "other").agg(F.count_distinct("function").alias("shared"))
+    rows = _cut(reached.select(F.col("function").alias("resource"), "unit", (F.col("unit_kind") == "isr").alias("isr")).distinct())
+    pairs = met_pairs(rows.where("isr"), rows.where("not isr"), ["unit"], [])
+    return pairs.select(F.col("a_unit").alias("isr"), F.col("b_unit").alias("other"), F.col("n").alias("shared"))
 
 
 def stability(runs: DataFrame) -> DataFrame:
