@@ -59,12 +59,17 @@ def visible_rows(paths: DataFrame, open_: list[str] | None = None) -> DataFrame:
     return paths.select("tree", "leaf", row.alias("row"), F.slice("path", 1, F.array_position("path", row).cast("int")).alias("path"))
 
 
+def _between(edges: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each edge (tree, source, target) with the rows a and b that show its ends, and their paths."""
+    a = rows.select("tree", F.col("leaf").alias("source"), F.col("row").alias("a"), F.col("path").alias("a_path"))
+    b = rows.select("tree", F.col("leaf").alias("target"), F.col("row").alias("b"), F.col("path").alias("b_path"))
+    return edges.join(a, ["tree", "source"]).join(b, ["tree", "target"])
+
+
 def row_edges(edges: DataFrame, rows: DataFrame, measures: tuple[str, ...] = ("weight",)) -> DataFrame:
     """(tree, source, target, measures, pairs, a_path, b_path) of edges (tree, source, target, measures) between the rows that show
     their leaves, summed; edges within a row have it as source and target."""
-    a = rows.select("tree", F.col("leaf").alias("source"), F.col("row").alias("a"), F.col("path").alias("a_path"))
-    b = rows.select("tree", F.col("leaf").alias("target"), F.col("row").alias("b"), F.col("path").alias("b_path"))
-    got = edges.join(a, ["tree", "source"]).join(b, ["tree", "target"]).groupBy("tree", "a", "b").agg(*[F.sum(m).alias(m) for m in measures], F.count(F.lit(1)).alias("pairs"), F.any_value("a_path").alias("a_path"), F.any_value("b_path").alias("b_path"))
+    got = _between(edges, rows).groupBy("tree", "a", "b").agg(*[F.sum(m).alias(m) for m in measures], F.count(F.lit(1)).alias("pairs"), F.any_value("a_path").alias("a_path"), F.any_value("b_path").alias("b_path"))
     return got.withColumnsRenamed({"a": "source", "b": "target"})
 
 
@@ -136,16 +141,18 @@ def tree_order(paths: DataFrame, edges: DataFrame, open_: list[str] | None = Non
     and last are the rows under the child in the order of the whole tree, from 0.
     """
     rows = visible_rows(paths, open_)
-    between = row_edges(edges, rows)
+    # Lifted as they are: rows of a large tree have nearly as many pairs as there are edges, groups have few.
+    between = _between(edges, rows).select("tree", F.col("a").alias("source"), F.col("b").alias("target"), "weight", F.lit(1).alias("pairs"), "a_path", "b_path")
     for a, b in invert:
         between = between.where(~((F.col("source") == a) & (F.col("target") == b)))
     kids = children(rows)
-    steps = peeled(kids.select("tree", "group", "child"), lifted(between))
+    steps = peeled(kids.select("tree", "group", "child"), G._cut(lifted(between)))
     pins = F.create_map(*[F.lit(x) for i, n in enumerate(bottom) for x in (n, i + 1)], *[F.lit(x) for i, n in enumerate(top) for x in (n, i - len(top))]) if top or bottom else F.lit(None)
     pin = F.coalesce(pins[F.col("child")], F.lit(0)) if top or bottom else F.lit(0)
     w = Window.partitionBy("tree", "group").orderBy(pin, "base")
     own = kids.join(steps, ["tree", "group", "child"]).withColumn("place", (F.row_number().over(w) - 1).cast("int"))
     own = own.withColumn("before", F.coalesce(F.sum("rows").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = G._cut(own)
     # A node's first row is the sum, over the nodes on its path, of the rows of the siblings before them.
     nodes = rows.select("tree", F.explode(F.transform(F.sequence(F.lit(2), F.size("path")), lambda i: F.slice("path", 1, i))).alias("way")).distinct()
     nodes = nodes.select("tree", F.element_at("way", -1).alias("node"), F.explode(F.slice("way", 2, F.size("way"))).alias("child"))

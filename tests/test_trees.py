@@ -129,3 +129,18 @@ def test_region_regroup_and_clusters(spark):
     members = spark.createDataFrame([("t", "u", 0, "u.c"), ("t", "u", 1, "u.h"), ("t", "v", 0, "v.c"), ("t", "v", 1, "v.h"), ("t", "v", 2, "v.i"), ("t", "w", 0, "w.c")], "tree string, unit string, place int, member string")
     clusters = spark.createDataFrame([("t", "u.c", 9), ("t", "u.h", 1), ("t", "v.c", 9), ("t", "v.h", 1), ("t", "v.i", 1)], "tree string, member string, cluster int")
     assert {r["leaf"]: list(r["path"]) for r in T.cluster_paths(members, clusters).collect()} == {"u": ["", "cl:9", "u"], "v": ["", "cl:1", "v"], "w": ["", "cl:none", "w"]}
+
+
+def test_tree_order_lifts_edges_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for rows in batches:
+            seen.add(rows.num_rows)
+            yield rows
+
+    kinds = "tree string, source string, target string, weight long"
+    edges = spark.createDataFrame([("t", "a/x", "b/y", 2), ("t", "a/x", "a/z", 1), ("t", "b/y", "a/z", 1)], kinds).mapInArrow(tell, kinds)
+    paths = T.directory_paths(spark.createDataFrame([("t", "a/x"), ("t", "a/z"), ("t", "b/y")], "tree string, unit string"))
+    assert T.tree_order(paths, edges).count() == 5
+    assert seen.value == 3
